@@ -126,5 +126,5 @@ def search_index(spark: SparkSession, queries: DataFrame | str, index_dir: str =
     """``search`` over a stored index; a single query may be given as a string."""
     index = load_index(spark, index_dir)
     if isinstance(queries, str):
-        queries = spark.range(1).select(F.lit(0).cast("bigint").alias("query_id"), F.lit(queries).alias("query"))
+        queries = spark.createDataFrame([(0, queries)], "query_id bigint, query string")
     return search(index, queries, **options)
