@@ -15,8 +15,25 @@ from lineseek.sources.index import Index
 DIM = 64
 
 
+HEAVY = ("documents", "events")  # tables whose rows cost more to process than to move
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in HEAVY else rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small table out to all cores.
+
+    A Parquet row group is read by one task, so a table of one row group keeps
+    every later step on one core. Only tables of less than one input split per
+    core are dealt out; anything larger stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

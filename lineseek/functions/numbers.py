@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lineseek.session import let
+
 # Size units, 1024 steps, the last one is not exceeded.
 SIZE_UNITS = ["B", "KB", "MB", "GB", "TB"]
 
@@ -16,32 +18,42 @@ def number_text_length(value: Column) -> Column:
     plain digits up to 21 places, a leading ``0.`` down to 1e-6, otherwise an
     exponent with an explicit sign and no trailing ``.0``.
     """
-    magnitude = F.abs(value)
-    text = magnitude.cast("string")
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.", "")
-    lead = F.length(F.substring_index(F.substring_index(text, "E", 1), ".", 1))
+
+    def length(x: Column) -> Column:
+        size = F.abs(x)
+        integral = (size < 2.0**53) & (size == F.floor(size))
+        plain = (size >= 1e-3) & (size < 1e7)  # Spark prints these without an exponent
+        unsigned = (
+            F.when(integral, F.length(F.floor(size).cast("string")))
+            .when(plain, F.length(size.cast("string")))
+            .when(size == float("inf"), 8)
+            .otherwise(let(size.cast("string"), _scientific_length))
+        )
+        return unsigned + F.when(x < 0, 1).otherwise(0)
+
+    return let(value, length).cast("bigint")
+
+
+def _scientific_length(text: Column) -> Column:
+    """ECMAScript length from Spark's ``d.dddE±x`` text of a positive double."""
+    mantissa = F.substring_index(text, "E", 1)
+    figures = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "^0+|0+$", "")
     power = F.when(text.contains("E"), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
-    zeros = F.length(F.regexp_extract(mantissa, "^0*", 0))
-    digits = F.length(F.regexp_replace(mantissa, "^0+|0+$", ""))
-    point = lead + power - zeros
-    exponent = F.length(F.abs(point - 1).cast("string"))
-    plain = (
-        F.when((point >= digits) & (point <= 21), point)
-        .when((point > 0) & (point <= 21), digits + 1)
-        .when((point > -6) & (point <= 0), 2 - point + digits)
-        .when(digits == 1, 3 + exponent)
-        .otherwise(digits + 3 + exponent)
-    )
-    unsigned = (
-        F.when(magnitude == 0, 1)
-        .when(magnitude == float("inf"), 8)
-        .when(
-            (magnitude < 2.0**53) & (magnitude == F.floor(magnitude)),
-            F.length(F.floor(magnitude).cast("string")),
+    leading = F.length(F.regexp_extract(F.regexp_replace(mantissa, r"\.", ""), "^0*", 0))
+    whole = F.length(F.substring_index(mantissa, ".", 1))
+
+    def laid_out(part: Column) -> Column:
+        digits, point = part["digits"], part["point"]
+        exponent = F.length(F.abs(point - 1).cast("string"))
+        return (
+            F.when((point >= digits) & (point <= 21), point)
+            .when((point > 0) & (point <= 21), digits + 1)
+            .when((point > -6) & (point <= 0), 2 - point + digits)
+            .when(digits == 1, 3 + exponent)
+            .otherwise(digits + 3 + exponent)
         )
-        .otherwise(plain)
-    )
-    return (unsigned + F.when(value < 0, 1).otherwise(0)).cast("bigint")
+
+    return let(F.struct(F.length(figures).alias("digits"), (whole + power - leading).alias("point")), laid_out)
 
 
 def to_fixed(value: Column, places: int) -> Column:

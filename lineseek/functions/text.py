@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WORD = "[a-z0-9_]+"
 WORD_GAP = "[^a-z0-9_]+"
 
 # Spark ML's default English stopwords
@@ -40,7 +41,7 @@ def normalise(text: Column) -> Column:
 
 def tokenise(text: Column) -> Column:
     """Words of the normalised text, in order, straight from the raw text."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def split_words(processed: Column) -> Column:

@@ -19,48 +19,53 @@ def string_of(value: Column, kind: Column) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def value_type(value: Column, kind: Column) -> Column:
-    """``null``, ``string``, ``number``, ``boolean``, ``object``, ``empty_array``
-    or ``array_of_<type of element 0>``, at any nesting depth.
+def array_head(value: Column, kind: Column) -> Column:
+    """JSON text of element 0 of an array; null for an empty array or another type."""
+    return F.when(kind.startswith("ARRAY"), F.to_json(F.variant_get(value, "$[0]", "variant")))
+
 
-    ``schema_of_variant`` merges all elements of an array, so an array's type is
-    read from the JSON text of element 0: its leading brackets give the depth and
-    the character after them gives the innermost type.
+def array_type(head: Column) -> Column:
+    """``array_of_<type of element 0>`` from ``array_head``, at any nesting depth.
+
+    The leading brackets of the text give the depth and the character after them
+    the innermost type. (``schema_of_variant`` would merge all elements.)
     """
-    head = F.to_json(F.variant_get(value, "$[0]", "variant"))
     depth = F.length(F.regexp_extract(head, r"^\[*", 0))
-    mark = F.substr(head, depth + 1, F.lit(1))
+    mark = F.regexp_extract(head, r"^\[*(.)", 1)
     inner = (
-        F.when(mark == '"', "string")
-        .when(mark == "{", "object")
-        .when(mark.isin("t", "f"), "boolean")
-        .when(mark == "n", "null")
-        .otherwise("number")
-    )
-    array_type = (
-        F.when(head.isNull(), "empty_array")
-        .when(mark == "]", F.concat(F.repeat(F.lit("array_of_"), depth), F.lit("empty_array")))
-        .otherwise(F.concat(F.repeat(F.lit("array_of_"), depth + 1), inner))
+        F.when(mark == '"', "array_of_string")
+        .when(mark == "{", "array_of_object")
+        .when(mark.isin("t", "f"), "array_of_boolean")
+        .when(mark == "n", "array_of_null")
+        .when(mark == "]", "empty_array")
+        .otherwise("array_of_number")
     )
+    return F.concat(F.repeat(F.lit("array_of_"), depth), inner)
+
+
+def value_type(kind: Column, head: Column) -> Column:
+    """``null``, ``string``, ``number``, ``boolean``, ``object``, ``empty_array``
+    or ``array_of_<type>``."""
     return (
         F.when(kind == "STRING", "string")
         .when(kind == "VOID", "null")
         .when(kind == "BOOLEAN", "boolean")
         .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), array_type)
-        .otherwise("number")
+        .when(kind.startswith("ARRAY"), F.coalesce(array_type(head), F.lit("empty_array")))
+        .when(kind.isNotNull(), "number")
     )
 
 
-def value_length(value: Column, kind: Column) -> Column:
-    """String length, element count, key count, or length of the printed scalar."""
+def value_length(value: Column, kind: Column, text: Column) -> Column:
+    """String length, element count, key count, or length of the printed scalar;
+    ``text`` is ``string_of`` the value."""
     return (
-        F.when(kind == "STRING", utf16_length(F.try_variant_get(value, "$", "string")))
+        F.when(kind == "STRING", utf16_length(text))
         .when(kind == "VOID", 0)
         .when(kind == "BOOLEAN", F.length(F.try_variant_get(value, "$", "string")))
         .when(kind.startswith("OBJECT"), F.size(F.try_variant_get(value, "$", "map<string,variant>")))
         .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(value, "$", "array<variant>")))
-        .otherwise(number_text_length(F.try_variant_get(value, "$", "double")))
+        .when(kind.isNotNull(), number_text_length(F.try_variant_get(value, "$", "double")))
         .cast("bigint")
     )
 

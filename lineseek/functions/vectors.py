@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lineseek.session import let
+
 
 def zero_vector(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dim)
@@ -24,9 +26,7 @@ def cosine_similarity(a: Column, b: Column) -> Column:
         norms = F.sqrt(_dot(left, left)) * F.sqrt(_dot(right, right))
         return F.when(norms > 0, _dot(left, right) / norms).otherwise(0.0)
 
-    # The one-element array binds the cut vectors once instead of once per use.
-    cut = F.array(
-        F.struct(F.slice(a, F.lit(1), common).alias("left"), F.slice(b, F.lit(1), common).alias("right"))
+    cut = F.struct(
+        F.slice(a, F.lit(1), common).alias("left"), F.slice(b, F.lit(1), common).alias("right")
     )
-    known = a.isNotNull() & b.isNotNull()
-    return F.when(known, F.element_at(F.transform(cut, of_cut), 1)).otherwise(0.0)
+    return F.when(a.isNotNull() & b.isNotNull(), let(cut, of_cut)).otherwise(0.0)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineseek.session import let
+
 TITLE_REPEATS = 3  # title words count this many times in the keyword index
 K1, B = 1.2, 0.75
 
@@ -24,8 +26,7 @@ def count_tokens(tokens: Column) -> Column:
 
     Counts run lengths of the sorted tokens. A document is one row, so counting
     inside the row needs no shuffle; grouping (document, term) pairs would move
-    every pair across the network. The one-element arrays bind intermediate
-    values so that they are computed once per row.
+    every pair across the network.
     """
 
     def runs(words: Column) -> Column:
@@ -33,7 +34,7 @@ def count_tokens(tokens: Column) -> Column:
         first_of_run = F.filter(
             places, lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2))
         )
-        return F.element_at(F.transform(F.array(first_of_run), lambda starts: lengths(words, starts)), 1)
+        return let(first_of_run, lambda starts: lengths(words, starts))
 
     def lengths(words: Column, starts: Column) -> Column:
         end = F.size(words) + 1
@@ -45,8 +46,7 @@ def count_tokens(tokens: Column) -> Column:
             ),
         )
 
-    counted = F.element_at(F.transform(F.array(F.sort_array(tokens)), runs), 1)
-    return F.when(F.size(tokens) > 0, counted)
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs))
 
 
 def postings(documents: DataFrame) -> DataFrame:

@@ -14,11 +14,12 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 QUERIES_PER_SCAN = 4096  # query vectors held by a task; more queries scan again
-CELLS = 2_000_000  # document x query cells computed at a time
+STRONG_HITS = 200_000  # keyword hits sent along to all documents, over all queries
+CELLS = 1_000_000  # document x query cells computed at a time
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,21 +56,37 @@ def _cosines(column: pa.Array, queries: np.ndarray, squares: np.ndarray) -> np.n
 class _QueryBlock:
     """Queries of one vector length, as arrays."""
 
-    def __init__(self, rows: list[tuple]):
-        width = len(rows[0][1])
-        self.ids = [row[0] for row in rows]
-        self.vectors = np.array([row[1] for row in rows], dtype=np.float64).reshape(len(rows), width)
+    def __init__(self, rows: list[Row]):
+        self.ids = [row["query_id"] for row in rows]
+        width = len(rows[0]["query_vec"])
+        self.vectors = np.array([row["query_vec"] for row in rows], dtype=np.float64).reshape(len(rows), width)
         self.squares = np.pad(np.cumsum(self.vectors**2, axis=1), ((0, 0), (1, 0)))
-        self.text_lengths = np.array([row[2] for row in rows], dtype=np.float64)
+        self.text_lengths = np.array([[row["text_length"]] for row in rows], dtype=np.float64)
+        self.weak_keyword = np.array([[row["weak_keyword"]] for row in rows], dtype=np.float64)
+        self.place = {query_id: i for i, query_id in enumerate(self.ids)}
+
+    def keyword(self, hits: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the keyword relevance of each query and document: the known
+        value where a strong hit is listed, else from 0 to the query's weak limit."""
+        low = np.zeros((len(self.ids), len(hits)))
+        high = np.repeat(self.weak_keyword, len(hits), axis=1)
+        counts = pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False)
+        listed = hits.flatten()
+        if len(listed):
+            places = np.array([self.place.get(q, -1) for q in listed.field("query_id").to_pylist()])
+            docs, mine = np.repeat(np.arange(len(hits)), counts), places >= 0
+            values = listed.field("keyword").to_numpy(zero_copy_only=False)
+            low[places[mine], docs[mine]] = high[places[mine], docs[mine]] = values[mine]
+        return low, high
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[list[_QueryBlock]]:
     """Blocks of at most ``QUERIES_PER_SCAN`` queries each, one list per scan."""
     rows = queries.toLocalIterator()
     while chunk := list(islice(rows, QUERIES_PER_SCAN)):
-        by_width: dict[int, list[tuple]] = {}
-        for query_id, vector, length in chunk:
-            by_width.setdefault(len(vector), []).append((query_id, vector, length))
+        by_width: dict[int, list[Row]] = {}
+        for row in chunk:
+            by_width.setdefault(len(row["query_vec"]), []).append(row)
         yield [_QueryBlock(group) for group in by_width.values()]
 
 
@@ -88,13 +105,27 @@ class _TopBounds:
         return self.best[:, :1]
 
 
+def strong_hits(hits: DataFrame, per_query: int) -> tuple[DataFrame, DataFrame]:
+    """Splits keyword hits ``query_id, id, keyword`` at the ``per_query`` best.
+
+    Returns those best hits, and ``query_id, weak_keyword``: what any other
+    document of the query can have at most (queries with fewer hits are absent,
+    their other documents have 0).
+    """
+    order = Window.partitionBy("query_id").orderBy(F.col("keyword").desc(), F.col("id").asc())
+    strong = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_query)
+    weak = strong.where(F.col("place") == per_query).select("query_id", F.col("keyword").alias("weak_keyword"))
+    return strong.drop("place"), weak
+
+
 def candidate_pairs(
     signals: DataFrame,
     queries: DataFrame,
     *,
     semantic_weight: float,
     title_weight: float,
-    keyword_weight: float,
+    keyword_weight: float = 0.0,
+    hits: DataFrame | None = None,
     threshold: float | None,
     limit: int | None,
     margin: float = 1e-9,
@@ -103,34 +134,47 @@ def candidate_pairs(
     may score at least ``threshold`` and be among the ``limit`` best of a query.
 
     ``signals`` has ``id, title, content_vec, title_vec``; ``queries`` has
-    ``query_id, query, query_vec``. The final score is semantic + keyword + title
-    part. The keyword part and the title's text match are unknown here but lie
-    between bounds: relevance in [0, 1], and text similarity at most the ratio of
-    the two lengths. A pair is dropped only if its upper bound is below the
-    threshold, or below the lower bounds of ``limit`` documents already seen for
-    that query. ``margin`` keeps pairs whose difference is a matter of rounding.
+    ``query_id, query, query_vec``; ``hits`` has ``query_id, id, keyword``, the
+    keyword relevance of every pair where it is not 0, in [0, 1].
+
+    A score is the weighted sum of vector, keyword and title parts. Here the
+    vector parts are exact. The best keyword hits of each query, a number of rows
+    that is fixed beforehand, are sent to the documents; any other pair's
+    relevance lies between 0 and the weakest of those. The title's text
+    similarity is at most the ratio of the two lengths. A pair is dropped only if
+    its upper bound is below the threshold, or below the lower bounds of
+    ``limit`` documents already seen for the query. ``margin`` keeps pairs whose
+    difference is a matter of rounding.
     """
     half_title = title_weight / 2
     limit = limit if limit is None else max(limit, 1)
-    keyword_low, keyword_high = min(0.0, keyword_weight), max(0.0, keyword_weight)
     id_type = signals.schema["id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = (
         f"query_id {query_type}, id {id_type}, title string, "
         "semantic_similarity double, title_relevance double"
     )
-    asked = queries.select(
-        "query_id",
-        F.coalesce("query_vec", F.array().cast("array<float>")),
-        F.char_length(F.lower(F.coalesce("query", F.lit("")))),
-    )
     scanned = signals.select(
         "id", "title", "content_vec", "title_vec", F.char_length(F.lower("title")).alias("title_length")
     )
+    asked = queries.select(
+        "query_id",
+        F.coalesce("query_vec", F.array().cast("array<float>")).alias("query_vec"),
+        F.char_length(F.lower(F.coalesce("query", F.lit("")))).alias("text_length"),
+    )
+    if hits is None:
+        asked = asked.withColumn("weak_keyword", F.lit(0.0))
+        scanned = scanned.withColumn("hits", F.lit(None).cast(f"array<struct<query_id:{query_type},keyword:double>>"))
+    else:
+        strong, weak = strong_hits(hits, max(STRONG_HITS // max(queries.count(), 1), 1))
+        asked = asked.join(weak, "query_id", "left").withColumn(
+            "weak_keyword", F.coalesce("weak_keyword", F.lit(0.0))
+        )
+        by_document = strong.groupBy("id").agg(F.collect_list(F.struct("query_id", "keyword")).alias("hits"))
+        scanned = scanned.join(F.broadcast(by_document), "id", "left")
 
     def scan_with(blocks: list[_QueryBlock]) -> DataFrame:
-        n_queries = sum(len(block.ids) for block in blocks)
-        step = max(1, CELLS // n_queries)
+        step = max(1, CELLS // sum(len(block.ids) for block in blocks))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tops = [_TopBounds(len(block.ids), limit) for block in blocks]
@@ -142,19 +186,23 @@ def candidate_pairs(
 
         def survivors(part: pa.RecordBatch, block: _QueryBlock, top: _TopBounds) -> Iterator[pa.RecordBatch]:
             content = _cosines(part.column("content_vec"), block.vectors, block.squares)
-            known = semantic_weight * content
-            title_match = 0.0
-            if title_weight:
+            title = np.zeros_like(content)
+            at_most = semantic_weight * content
+            if keyword_weight:
+                low, high = block.keyword(part.column("hits"))
+                bounds = keyword_weight * low, keyword_weight * high
+                at_least = at_most + np.minimum(*bounds)
+                at_most = at_most + np.maximum(*bounds)
+            else:
+                at_least = at_most
+            if half_title:
                 title = _cosines(part.column("title_vec"), block.vectors, block.squares)
-                known = known + half_title * title
                 lengths = pc.fill_null(part.column("title_length"), 0).to_numpy(zero_copy_only=False)
-                longer = np.maximum(block.text_lengths[:, None], lengths)
-                shorter = np.minimum(block.text_lengths[:, None], lengths)
-                title_match = half_title * np.divide(shorter, longer, out=np.zeros_like(longer), where=longer > 0)
-            else:
-                title = np.zeros_like(content)
-            at_most = known + np.maximum(title_match, 0.0) + keyword_high
-            at_least = known + np.minimum(title_match, 0.0) + keyword_low
+                longer = np.maximum(block.text_lengths, lengths)
+                shorter = np.minimum(block.text_lengths, lengths)
+                ratio = np.divide(shorter, longer, out=np.zeros_like(longer), where=longer > 0)
+                at_least = at_least + half_title * title + np.minimum(half_title * ratio, 0.0)
+                at_most = at_most + half_title * title + np.maximum(half_title * ratio, 0.0)
             keep = at_most >= top.floor(at_least) - margin
             if threshold is not None:
                 keep &= at_most >= threshold - margin
@@ -162,11 +210,10 @@ def candidate_pairs(
             if len(doc_at) == 0:
                 return
             take = pa.array(doc_at)
-            ids = part.column("id")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([block.ids[i] for i in query_at]),
-                    ids.take(take),
+                    pa.array(block.ids).take(pa.array(query_at)),
+                    part.column("id").take(take),
                     part.column("title").take(take),
                     pa.array(content[query_at, doc_at]),
                     pa.array(title[query_at, doc_at]),

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineseek.functions.text import utf16_length
-from lineseek.functions.values import kind_of, string_of, value_length, value_type
+from lineseek.functions.values import array_head, kind_of, string_of, value_length, value_type
 from lineseek.session import materialise
 from lineseek.sources.jsonl import running_start
 
@@ -59,11 +58,19 @@ def explode_fields(entries: DataFrame, fields: list[str] | None = None) -> DataF
     )
 
 
-def _short_text(exploded: DataFrame) -> DataFrame:
-    """Adds ``kind`` and ``short`` (the value if it is a short string)."""
-    text = string_of(F.col("value"), F.col("kind"))
-    return exploded.withColumn("kind", F.when(F.col("field").isNotNull(), kind_of(F.col("value")))).withColumn(
-        "short", F.when(utf16_length(text) < SHORT_TEXT, text)
+def _described(exploded: DataFrame) -> DataFrame:
+    """Adds ``type``, ``length`` and ``short`` (the value if it is a short string).
+
+    Each step is a projection of its own: what several later columns use is
+    computed once per value.
+    """
+    value, kind, text = F.col("value"), F.col("kind"), F.col("text")
+    return (
+        exploded.withColumn("kind", F.when(F.col("field").isNotNull(), kind_of(value)))
+        .withColumns({"text": string_of(value, kind), "head": array_head(value, kind)})
+        .withColumns({"type": value_type(kind, F.col("head")), "length": value_length(value, kind, text)})
+        .withColumn("short", F.when(F.col("length") < SHORT_TEXT, text))
+        .drop("value", "kind", "text", "head")
     )
 
 
@@ -74,16 +81,10 @@ def _field_totals(exploded: DataFrame) -> DataFrame:
     sum over fixed-width buffers that combines before the shuffle, so a field
     present in every entry, or a value shared by most of them, stays cheap.
     """
-    value, kind = F.col("value"), F.col("kind")
-    typed = _short_text(exploded).select(
-        "field",
-        F.when(F.col("field").isNotNull(), value_type(value, kind)).alias("type"),
-        "short",
-        F.when(F.col("field").isNotNull(), value_length(value, kind)).alias("length"),
-        F.col("opens_entry").cast("bigint").alias("opens"),
-    )
-    by_value = typed.groupBy("field", "type", "short").agg(
-        F.count("*").alias("n"), F.sum("length").alias("length"), F.sum("opens").alias("opens")
+    by_value = _described(exploded).groupBy("field", "type", "short").agg(
+        F.count("*").alias("n"),
+        F.sum("length").alias("length"),
+        F.sum(F.col("opens_entry").cast("bigint")).alias("opens"),
     )
     by_type = by_value.groupBy("field", "type").agg(
         F.sum("n").alias("n"),
@@ -111,7 +112,7 @@ def _full_at_last_value(exploded: DataFrame, full: DataFrame) -> DataFrame:
     """
     last = F.max(F.struct("last_pos", "n")).alias("last")
     return (
-        _short_text(exploded.join(full, "field", "left_semi"))
+        _described(exploded.join(full, "field", "left_semi"))
         .where(F.col("short").isNotNull())
         .groupBy("field", "short")
         .agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))

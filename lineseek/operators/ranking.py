@@ -35,22 +35,21 @@ def hybrid_score(
 
 
 def score_pairs(
-    pairs: DataFrame, queries: DataFrame, keyword: DataFrame,
+    pairs: DataFrame, queries: DataFrame, hits: DataFrame,
     semantic_weight: float, title_weight: float, decimals: int | None = None,
 ) -> DataFrame:
     """Adds ``keyword_relevance``, ``title_match`` and ``score`` to candidate pairs.
 
-    ``keyword`` has ``query_id, doc_id, keyword_relevance``; pairs without a row
-    there have relevance 0.
+    ``hits`` has ``query_id, id, keyword``; pairs without a row there have 0.
     """
-    hits = keyword.select("query_id", F.col("doc_id").alias("id"), "keyword_relevance")
     score = hybrid_score(
         F.col("semantic_similarity"), F.col("keyword_relevance"), F.col("title_relevance"), F.col("title_match"),
         semantic_weight, title_weight,
     )
     return (
         pairs.join(hits, ["query_id", "id"], "left")
-        .withColumn("keyword_relevance", F.coalesce("keyword_relevance", F.lit(0.0)))
+        .withColumn("keyword_relevance", F.coalesce("keyword", F.lit(0.0)))
+        .drop("keyword")
         .join(queries.select("query_id", "query"), "query_id")
         .withColumn("title_match", title_match(F.col("query"), F.col("title")))
         .drop("query")

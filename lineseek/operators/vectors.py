@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lineseek.functions.text import split_words
 from lineseek.functions.vectors import cosine_similarity, zero_vector
 from lineseek.operators.pair_scan import candidate_pairs
+from lineseek.session import bind, let
 
 DEFAULT_DIM = 384  # length of the zero vector given to texts without a vector
 
@@ -56,7 +57,6 @@ def nearest_exact(
         queries.select("query_id", F.lit("").alias("query"), "query_vec"),
         semantic_weight=1.0,
         title_weight=0.0,
-        keyword_weight=0.0,
         threshold=None,
         limit=limit,
         margin=1e-9 if decimals is None else 10.0**-decimals,
@@ -70,49 +70,51 @@ def nearest_approx(
     queries: DataFrame,
     limit: int,
     *,
-    bucket_length: float = 0.5,
-    tables: int = 8,
+    bands: int = 12,
+    hashes_per_band: int = 6,
+    bucket_length: float = 0.25,
     seed: int = 42,
 ) -> DataFrame:
-    """Like ``nearest_exact``, looking only at documents that share a random
-    projection bucket with the query in at least one hash table.
+    """Like ``nearest_exact``, looking only at documents that share all random
+    projection buckets of at least one band with the query.
 
     Documents are probed in place by the hashed queries; each pair is scored in
-    the first table in which it meets, so a bucket with very many documents is
+    the first band in which it meets, so a bucket with very many documents is
     neither collected nor shuffled and no pair needs to be de-duplicated.
     Vectors of norm zero have no direction and are left out.
     """
 
     def unit(vec: Column) -> Column:
-        values = vec.cast("array<double>")
-        norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda total, x: total + x * x))
-        return F.transform(values, lambda x: x / norm)
+        def scaled(values: Column) -> Column:
+            norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda total, x: total + x * x))
+            return F.transform(values, lambda x: x / norm)
+
+        return let(vec.cast("array<double>"), scaled)
 
     def usable(df: DataFrame, vec: str) -> DataFrame:
-        return df.where(F.exists(vec, lambda x: x != 0)).withColumn("unit", array_to_vector(unit(F.col(vec))))
+        return bind(df.where(F.exists(vec, lambda x: x != 0)), unit=array_to_vector(unit(F.col(vec))))
 
     docs, asked = usable(documents, "vec"), usable(queries, "query_vec")
     if docs.isEmpty():
         return nearest_exact(documents.limit(0), queries, limit)
     model = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashed", bucketLength=bucket_length, numHashTables=tables, seed=seed
+        inputCol="unit", outputCol="hashed", bucketLength=bucket_length,
+        numHashTables=bands * hashes_per_band, seed=seed,
     ).fit(docs)
 
-    def buckets(df: DataFrame, vec: str) -> DataFrame:
-        hashed = model.transform(df)
-        each = [vector_to_array(F.element_at("hashed", i + 1))[0].cast("bigint") for i in range(tables)]
-        return hashed.withColumn("buckets", F.array(*each)).drop("hashed", "unit")
-
-    docs = buckets(docs, "vec").select(
-        "id", "vec", "buckets", F.posexplode("buckets").alias("table", "bucket")
-    )
-    asked = buckets(asked, "query_vec").select(
-        "query_id", "query_vec", F.col("buckets").alias("query_buckets"),
-        F.posexplode("buckets").alias("table", "bucket"),
-    )
-    same = F.zip_with("buckets", "query_buckets", lambda x, y: x == y)
-    first_meeting = F.array_position(same, True) == F.col("table") + 1
-    scored = docs.join(asked, ["table", "bucket"]).where(first_meeting).select(
+    def with_bands(df: DataFrame, name: str) -> DataFrame:
+        """One 64-bit key per band; equal keys of unequal buckets only add candidates."""
+        hashed = bind(model.transform(df), buckets=F.col("hashed"))
+        values = [vector_to_array(F.element_at("buckets", i + 1))[0] for i in range(bands * hashes_per_band)]
+        keys = [F.xxhash64(*values[i::bands]) for i in range(bands)]
+        return bind(hashed, **{name: F.array(*keys)}).drop("hashed", "unit", "buckets")
+
+    docs = with_bands(docs.select("id", "vec", "unit"), "doc_keys")
+    asked = with_bands(asked.select("query_id", "query_vec", "unit"), "query_keys")
+    docs = docs.select("*", F.posexplode("doc_keys").alias("band", "key"))
+    asked = asked.select("*", F.posexplode("query_keys").alias("band", "key"))
+    equal = F.zip_with("doc_keys", "query_keys", lambda x, y: x == y)
+    scored = docs.join(asked, ["band", "key"]).where(F.array_position(equal, True) == F.col("band") + 1).select(
         "query_id", "id", cosine_similarity(F.col("query_vec"), F.col("vec")).alias("similarity")
     )
     return best_per_query(scored, "similarity", limit).select("query_id", "rank", "id", "similarity")

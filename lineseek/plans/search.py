@@ -12,6 +12,7 @@ from lineseek.operators.pair_scan import candidate_pairs
 from lineseek.operators.query import expand_similar_words, expand_synonyms, query_terms
 from lineseek.operators.ranking import score_pairs, top_results
 from lineseek.plans.build import Embed
+from lineseek.session import materialise
 from lineseek.sources.index import Index, load_index
 
 SMALL_RESULT = 100_000  # result rows that may be broadcast to fetch their documents
@@ -77,19 +78,24 @@ def search(
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
     asked = _with_vectors(queries, embed, lemmas)
+    # Written once: the hits bound the scan below and complete its candidates.
+    hits = materialise(
+        keyword_hits(
+            index, asked, scoring=scoring, synonyms=synonyms, word_vectors=word_vectors, lemmas=lemmas
+        ).select("query_id", F.col("doc_id").alias("id"), F.col("keyword_relevance").alias("keyword")),
+        "hits",
+    )
     pairs = candidate_pairs(
         index.signals,
         asked,
         semantic_weight=semantic_weight,
         title_weight=title_weight,
         keyword_weight=1.0 - semantic_weight,
+        hits=hits,
         threshold=threshold,
         limit=limit,
         margin=1e-9 if decimals is None else 10.0**-decimals,
     )
-    hits = keyword_hits(
-        index, asked, scoring=scoring, synonyms=synonyms, word_vectors=word_vectors, lemmas=lemmas
-    )
     scored = score_pairs(pairs, asked, hits, semantic_weight, title_weight, decimals)
     return _with_documents(top_results(scored, threshold, limit), index, asked, limit)
 

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
@@ -55,3 +56,20 @@ def last_duplicate_key_wins(spark: SparkSession):
         yield
     finally:
         spark.conf.set(DUPLICATE_KEYS, before)
+
+
+def bind(df: DataFrame, **values: Column) -> DataFrame:
+    """``withColumn`` for expensive values used by later filters and columns.
+
+    Catalyst moves a filter below a projection by copying the projected
+    expression into it, once per use. A one-row generator is a boundary that
+    filters on its output do not cross, so each value is computed once per row.
+    """
+    for name, value in values.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)

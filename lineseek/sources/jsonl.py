@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineseek.functions.numbers import format_size
 from lineseek.functions.values import field_path, is_falsy, kind_of
-from lineseek.session import last_duplicate_key_wins, materialise
+from lineseek.session import bind, last_duplicate_key_wins, let, materialise
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -35,18 +35,20 @@ def _strict_entry(line: Column) -> Column:
     that starts with ``{`` and has no ``}`` followed by ``]`` cannot close the
     brackets early, so one parse settles it; that is the usual line.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
     plain_object = F.ltrim(line).startswith("{") & ~line.rlike(r"\}\s*\]")
-    alone = F.variant_get(listed, "$[1]", "variant").isNull()
-    accepted = F.when(plain_object, alone).otherwise(alone & keyed.isNotNull())
-    return F.when(accepted, F.variant_get(listed, "$[0]", "variant"))
+
+    def only_value(listed: Column) -> Column:
+        alone = F.variant_get(listed, "$[1]", "variant").isNull()
+        return F.when(alone & (plain_object | keyed.isNotNull()), F.variant_get(listed, "$[0]", "variant"))
+
+    return let(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))), only_value)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds ``entry VARIANT``; null marks a line that is not valid JSON."""
     with last_duplicate_key_wins(lines.sparkSession):
-        return lines.withColumn("entry", _strict_entry(F.col("line")))
+        return bind(lines, entry=_strict_entry(F.col("line")))
 
 
 def entries_of(lines: DataFrame) -> DataFrame:
@@ -65,14 +67,12 @@ def _examined(lines: DataFrame, content_field: str, title_field: str) -> DataFra
         .when(content_kind != "STRING", "not_string")
         .when(~is_falsy(title, title_kind) & (title_kind != "STRING"), "not_string")
     )
-    return (
-        parse_lines(lines)
-        .withColumn("content_value", F.variant_get("entry", field_path(content_field), "variant"))
-        .withColumn("title_value", F.variant_get("entry", field_path(title_field), "variant"))
-        .withColumn("content_kind", kind_of(content))
-        .withColumn("title_kind", kind_of(title))
-        .withColumn("reason", reason)
+    values = bind(
+        parse_lines(lines),
+        content_value=F.variant_get("entry", field_path(content_field), "variant"),
+        title_value=F.variant_get("entry", field_path(title_field), "variant"),
     )
+    return bind(values, content_kind=kind_of(content), title_kind=kind_of(title), reason=reason)
 
 
 def extract_documents(lines: DataFrame, content_field: str = "content", title_field: str = "title") -> DataFrame:
