@@ -70,8 +70,8 @@ def nearest_approx(
     queries: DataFrame,
     limit: int,
     *,
-    bands: int = 12,
-    hashes_per_band: int = 6,
+    bands: int = 24,
+    hashes_per_band: int = 4,
     bucket_length: float = 0.25,
     seed: int = 42,
 ) -> DataFrame:
