@@ -92,7 +92,8 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_relevance(_tfidf(spark, sf_dir)).select("query_id", "doc_id", _r("keyword_relevance"))
+    n_queries = corpus.queries(spark, sf_dir).count()
+    return keyword_relevance(_tfidf(spark, sf_dir), n_queries).select("query_id", "doc_id", _r("keyword_relevance"))
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:

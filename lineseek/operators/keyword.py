@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineseek.session import let
+from lineseek.session import broadcast_if_few, let
 
 TITLE_REPEATS = 3  # title words count this many times in the keyword index
 K1, B = 1.2, 0.75
@@ -101,12 +101,14 @@ def bm25_scores(
     return matches.groupBy("query_id", "doc_id").agg(F.sum(rarity * damped).alias("score"))
 
 
-def keyword_relevance(scores: DataFrame) -> DataFrame:
+def keyword_relevance(scores: DataFrame, n_queries: int | None = None) -> DataFrame:
     """Adds ``keyword_relevance``: the score over the query's best score.
 
-    The maximum is one row per query, so it is joined back instead of sorting a
-    window over all of a query's documents.
+    The maximum is one row per query. It is joined back, by broadcast if the
+    number of queries is known to be small, so the scores of a query are never
+    gathered in one place.
     """
     best = scores.groupBy("query_id").agg(F.max("score").alias("best"))
     share = F.col("score") / F.coalesce(F.nullif(F.col("best"), F.lit(0.0)), F.lit(1.0))
-    return scores.join(best, "query_id").withColumn("keyword_relevance", share).drop("best")
+    joined = scores.join(broadcast_if_few(best, n_queries), "query_id")
+    return joined.withColumn("keyword_relevance", share).drop("best")

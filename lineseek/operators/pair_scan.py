@@ -17,8 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from lineseek.session import broadcast_if_few, materialise
+
 QUERIES_PER_SCAN = 4096  # query vectors held by a task; more queries scan again
 STRONG_HITS = 200_000  # keyword hits sent along to all documents, over all queries
+STEPS = 10_000  # steps of keyword relevance among which the cut is chosen
 CELLS = 1_000_000  # document x query cells computed at a time
 
 
@@ -105,17 +108,29 @@ class _TopBounds:
         return self.best[:, :1]
 
 
-def strong_hits(hits: DataFrame, per_query: int) -> tuple[DataFrame, DataFrame]:
-    """Splits keyword hits ``query_id, id, keyword`` at the ``per_query`` best.
+def strong_hits(hits: DataFrame, n_queries: int) -> tuple[DataFrame, DataFrame]:
+    """Picks the best keyword hits ``query_id, id, keyword`` of each query, at most
+    ``STRONG_HITS`` in all.
 
-    Returns those best hits, and ``query_id, weak_keyword``: what any other
-    document of the query can have at most (queries with fewer hits are absent,
-    their other documents have 0).
+    Returns them and ``query_id, weak_keyword``: what any other document of the
+    query can have at most. The cut is found from counts per step of relevance,
+    so a query matching most documents needs no sort of its hits; a step is taken
+    whole or not at all.
     """
-    order = Window.partitionBy("query_id").orderBy(F.col("keyword").desc(), F.col("id").asc())
-    strong = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_query)
-    weak = strong.where(F.col("place") == per_query).select("query_id", F.col("keyword").alias("weak_keyword"))
-    return strong.drop("place"), weak
+    step = F.floor(F.col("keyword") * STEPS)
+    counts = hits.groupBy("query_id", step.alias("step")).agg(F.count("*").alias("n"))
+    down = Window.partitionBy("query_id").orderBy(F.col("step").desc())
+    fits = F.col("n_from_top") <= STRONG_HITS // max(n_queries, 1)
+    lowest = F.min(F.when(fits, F.col("step")))
+    cuts = materialise(
+        counts.withColumn("n_from_top", F.sum("n").over(down))
+        .groupBy("query_id")
+        .agg(F.coalesce(lowest, F.lit(STEPS + 1)).alias("cut"), F.every(fits).alias("all_fit")),
+        "cuts",
+    )
+    weak = F.when(F.col("all_fit"), 0.0).otherwise(F.least(F.col("cut") / STEPS, F.lit(1.0)))
+    strong = hits.join(broadcast_if_few(cuts, n_queries), "query_id").where(step >= F.col("cut"))
+    return strong.select("query_id", "id", "keyword"), cuts.select("query_id", weak.alias("weak_keyword"))
 
 
 def candidate_pairs(
@@ -126,6 +141,7 @@ def candidate_pairs(
     title_weight: float,
     keyword_weight: float = 0.0,
     hits: DataFrame | None = None,
+    n_queries: int = 0,
     threshold: float | None,
     limit: int | None,
     margin: float = 1e-9,
@@ -135,7 +151,8 @@ def candidate_pairs(
 
     ``signals`` has ``id, title, content_vec, title_vec``; ``queries`` has
     ``query_id, query, query_vec``; ``hits`` has ``query_id, id, keyword``, the
-    keyword relevance of every pair where it is not 0, in [0, 1].
+    keyword relevance of every pair where it is not 0, in [0, 1], and
+    ``n_queries`` counts the queries.
 
     A score is the weighted sum of vector, keyword and title parts. Here the
     vector parts are exact. The best keyword hits of each query, a number of rows
@@ -166,7 +183,7 @@ def candidate_pairs(
         asked = asked.withColumn("weak_keyword", F.lit(0.0))
         scanned = scanned.withColumn("hits", F.lit(None).cast(f"array<struct<query_id:{query_type},keyword:double>>"))
     else:
-        strong, weak = strong_hits(hits, max(STRONG_HITS // max(queries.count(), 1), 1))
+        strong, weak = strong_hits(hits, n_queries)
         asked = asked.join(weak, "query_id", "left").withColumn(
             "weak_keyword", F.coalesce("weak_keyword", F.lit(0.0))
         )

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineseek.functions.values import array_head, kind_of, string_of, value_length, value_type
-from lineseek.session import materialise
+from lineseek.session import broadcast_if_few, materialise
 from lineseek.sources.jsonl import running_start
 
 SHORT_TEXT = 100  # only strings shorter than this count as distinct values
 DISTINCT_CAP = 1000  # more distinct values than this are reported as null
 SMALL_SAMPLE = 100_000  # samples up to this size are merged in one task
-SMALL_JOIN = 10_000  # rows that may be broadcast without looking further
 
 
 def head_sample(entries: DataFrame, size: int | None) -> DataFrame:
@@ -140,8 +139,8 @@ def profile_entries(
     full = named.where(F.col("distinct_short") == DISTINCT_CAP).select("field")
     n_full = full.count()
     if n_full:
-        small = F.broadcast(full) if n_full <= SMALL_JOIN else full
-        named = named.join(_full_at_last_value(exploded, small), "field", "left")
+        last_values = _full_at_last_value(exploded, broadcast_if_few(full, n_full))
+        named = named.join(last_values, "field", "left")
     else:
         named = named.withColumn("keeps_cap", F.lit(None).cast("boolean"))
 

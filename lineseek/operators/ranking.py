@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lineseek.functions.numbers import to_fixed
 from lineseek.operators.vectors import best_per_query
+from lineseek.session import broadcast_if_few
 
 SNIPPET = 200
 
@@ -36,11 +37,12 @@ def hybrid_score(
 
 def score_pairs(
     pairs: DataFrame, queries: DataFrame, hits: DataFrame,
-    semantic_weight: float, title_weight: float, decimals: int | None = None,
+    semantic_weight: float, title_weight: float, decimals: int | None = None, n_queries: int | None = None,
 ) -> DataFrame:
     """Adds ``keyword_relevance``, ``title_match`` and ``score`` to candidate pairs.
 
     ``hits`` has ``query_id, id, keyword``; pairs without a row there have 0.
+    With few queries their texts come to the pairs, which stay spread out.
     """
     score = hybrid_score(
         F.col("semantic_similarity"), F.col("keyword_relevance"), F.col("title_relevance"), F.col("title_match"),
@@ -50,7 +52,7 @@ def score_pairs(
         pairs.join(hits, ["query_id", "id"], "left")
         .withColumn("keyword_relevance", F.coalesce("keyword", F.lit(0.0)))
         .drop("keyword")
-        .join(queries.select("query_id", "query"), "query_id")
+        .join(broadcast_if_few(queries.select("query_id", "query"), n_queries), "query_id")
         .withColumn("title_match", title_match(F.col("query"), F.col("title")))
         .drop("query")
         .withColumn("score", score if decimals is None else F.round(score, decimals))

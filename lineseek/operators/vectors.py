@@ -12,6 +12,8 @@ from lineseek.functions.vectors import cosine_similarity, zero_vector
 from lineseek.operators.pair_scan import candidate_pairs
 from lineseek.session import bind, let
 
+PRESORTED_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+LIMIT_GROUPS = 64
 DEFAULT_DIM = 384  # length of the zero vector given to texts without a vector
 
 
@@ -33,10 +35,17 @@ def _rounded(score: Column, decimals: int | None) -> Column:
 def best_per_query(scored: DataFrame, score: str, limit: int) -> DataFrame:
     """The ``limit`` rows with the highest score of each query, ties by id, ranked.
 
-    Spark cuts each partition to ``limit`` rows per query before the shuffle.
+    Spark cuts each partition to ``limit`` rows per query before the shuffle. It
+    does so only up to a limit of 1000, so for a larger one the rows of a query
+    are first dealt into groups by id and each group is cut on its own.
     """
-    order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), F.col("id").asc())
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    best_first = [F.col(score).desc(), F.col("id").asc()]
+    if limit > PRESORTED_LIMIT:
+        group = F.pmod(F.hash("id"), F.lit(LIMIT_GROUPS))
+        in_group = F.row_number().over(Window.partitionBy("query_id", group).orderBy(*best_first))
+        scored = scored.withColumn("rank", in_group).where(F.col("rank") <= limit)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def nearest_exact(

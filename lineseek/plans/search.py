@@ -12,30 +12,27 @@ from lineseek.operators.pair_scan import candidate_pairs
 from lineseek.operators.query import expand_similar_words, expand_synonyms, query_terms
 from lineseek.operators.ranking import score_pairs, top_results
 from lineseek.plans.build import Embed
-from lineseek.session import materialise
-from lineseek.sources.index import Index, load_index
+from lineseek.session import broadcast_if_few, materialise
+from lineseek.sources.index import Index, id_block, load_index
 
-SMALL_RESULT = 100_000  # result rows that may be broadcast to fetch their documents
-
-
-def _with_vectors(queries: DataFrame, embed: Embed | None, lemmas: DataFrame | None) -> DataFrame:
-    """``query_id, query, query_vec``; a query without a vector gets an empty one,
-    whose similarity to everything is 0."""
+def _query_vectors(queries: DataFrame, embed: Embed | None, lemmas: DataFrame | None) -> DataFrame:
+    """``query_id, query, query_vec``; a query without a vector has similarity 0
+    to everything."""
     if embed is not None:
         words = lemmatise(queries.select("query_id", content_words(F.col("query")).alias("words")), "words", lemmas)
         texts = words.select(F.col("query_id").alias("id"), join_words(F.col("words")).alias("text"))
         vectors = embed(texts).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
-        queries = queries.select("query_id", "query").join(vectors, "query_id", "left")
-    elif "query_vec" not in queries.columns:
-        queries = queries.withColumn("query_vec", F.lit(None).cast("array<float>"))
-    return queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"), "query_vec")
+        return queries.select("query_id", "query").join(vectors, "query_id", "left")
+    if "query_vec" in queries.columns:
+        return queries.select("query_id", "query", "query_vec")
+    return queries.select("query_id", "query", F.lit(None).cast("array<float>").alias("query_vec"))
 
 
-def keyword_hits(
+def keyword_scores(
     index: Index, queries: DataFrame, *, scoring: str = "tfidf", synonyms: DataFrame | None = None,
     word_vectors: DataFrame | None = None, lemmas: DataFrame | None = None,
 ) -> DataFrame:
-    """``query_id, doc_id, score, keyword_relevance`` of documents sharing a term."""
+    """``query_id, doc_id, score`` of documents sharing a term with a query."""
     expansions = None
     if synonyms is not None:
         expansions = expand_synonyms(queries, synonyms)
@@ -46,12 +43,10 @@ def keyword_hits(
     if index.term_buckets is not None:
         terms = terms.withColumn("term_bucket", term_bucket(F.col("term"), index.term_buckets))
     if scoring == "tfidf":
-        scores = tfidf_scores(terms, index.postings, index.terms)
-    elif scoring == "bm25":
-        scores = bm25_scores(terms, index.postings, index.terms, index.n_docs, index.avg_doc_len)
-    else:
-        raise ValueError(f"unknown scoring: {scoring}")
-    return keyword_relevance(scores)
+        return tfidf_scores(terms, index.postings, index.terms)
+    if scoring == "bm25":
+        return bm25_scores(terms, index.postings, index.terms, index.n_docs, index.avg_doc_len)
+    raise ValueError(f"unknown scoring: {scoring}")
 
 
 def search(
@@ -77,43 +72,47 @@ def search(
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
-    asked = _with_vectors(queries, embed, lemmas)
-    # Written once: the hits bound the scan below and complete its candidates.
-    hits = materialise(
-        keyword_hits(
-            index, asked, scoring=scoring, synonyms=synonyms, word_vectors=word_vectors, lemmas=lemmas
-        ).select("query_id", F.col("doc_id").alias("id"), F.col("keyword_relevance").alias("keyword")),
-        "hits",
+    texts = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
+    n_queries = texts.count()
+    # Written once: the scores set the bounds of the scan and complete its pairs.
+    scores = materialise(
+        keyword_scores(
+            index, texts, scoring=scoring, synonyms=synonyms, word_vectors=word_vectors, lemmas=lemmas
+        ),
+        "scores",
+    )
+    hits = keyword_relevance(scores, n_queries).select(
+        "query_id", F.col("doc_id").alias("id"), F.col("keyword_relevance").alias("keyword")
     )
     pairs = candidate_pairs(
         index.signals,
-        asked,
+        _query_vectors(queries, embed, lemmas),
         semantic_weight=semantic_weight,
         title_weight=title_weight,
         keyword_weight=1.0 - semantic_weight,
         hits=hits,
+        n_queries=n_queries,
         threshold=threshold,
         limit=limit,
         margin=1e-9 if decimals is None else 10.0**-decimals,
     )
-    scored = score_pairs(pairs, asked, hits, semantic_weight, title_weight, decimals)
-    return _with_documents(top_results(scored, threshold, limit), index, asked, limit)
+    scored = score_pairs(pairs, texts, hits, semantic_weight, title_weight, decimals, n_queries)
+    n_results = None if limit is None else limit * n_queries
+    return _with_documents(top_results(scored, threshold, limit), index, n_results)
 
 
-def _with_documents(results: DataFrame, index: Index, queries: DataFrame, limit: int | None) -> DataFrame:
+def _with_documents(results: DataFrame, index: Index, n_results: int | None) -> DataFrame:
     """Fetches content and original entry of the results.
 
-    Results of known small size are sent to the entries, which are then read only
-    in the id ranges that hold a result; otherwise it is an ordinary join.
+    Results known to be few are sent to the entries, which are then read only in
+    the id ranges that hold a result; otherwise it is an ordinary join.
     """
     keys = ["id"]
     if index.docs_per_block is not None:
-        results = results.withColumn("id_block", F.floor(F.col("id") / index.docs_per_block))
+        results = results.withColumn("id_block", id_block(F.col("id"), index.docs_per_block))
         keys = ["id_block", "id"]
-    if limit is not None and limit * queries.count() <= SMALL_RESULT:
-        results = F.broadcast(results)
     documents = index.entries.select(*keys, "content", "original_entry")
-    return documents.join(results, keys).select(
+    return documents.join(broadcast_if_few(results, n_results), keys).select(
         "query_id",
         "rank",
         "id",

@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 200_000  # narrow rows that may be sent to every task
+
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 _local_dir: str | None = None
@@ -73,3 +75,9 @@ def bind(df: DataFrame, **values: Column) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def broadcast_if_few(df: DataFrame, rows: int | None) -> DataFrame:
+    """Hints a broadcast of ``df`` if it is known to have few rows; otherwise
+    leaves the join to Catalyst and adaptive execution."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df

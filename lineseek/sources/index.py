@@ -50,8 +50,7 @@ def _write(df: DataFrame, output_dir: str, table: str, *partition_by: str) -> Da
 def write_entries(entries: DataFrame, output_dir: str, n_docs: int) -> DataFrame:
     """Ids rise within each input block, so a task writes to one or two id ranges
     and nothing is shuffled; a search reads only the ranges of its results."""
-    per_block = docs_per_block(n_docs)
-    blocked = entries.withColumn("id_block", F.floor(F.col("id") / per_block))
+    blocked = entries.withColumn("id_block", id_block(F.col("id"), docs_per_block(n_docs)))
     return _write(blocked, output_dir, "entries", "id_block")
 
 
@@ -107,6 +106,10 @@ def term_buckets(n_docs: int) -> int:
     return max(1, min(MAX_PARTITIONS, n_docs // DOCS_PER_TERM_BUCKET))
 
 
+def id_block(doc_id: Column, per_block: int) -> Column:
+    return ((doc_id - doc_id % per_block) / per_block).cast("int")
+
+
 def docs_per_block(n_docs: int) -> int:
     return max(DOCS_PER_ID_BLOCK, -(-n_docs // MAX_PARTITIONS))
 

@@ -4,10 +4,9 @@ import pytest
 from brute import Corpus, words
 from pyspark.sql import functions as F
 
-from lineseek import build_index, index_tables, search, search_index
+from lineseek import build_index, index_tables, search, search_index, session
 from lineseek.operators import pair_scan
 from lineseek.operators.ranking import result_view, title_match
-from lineseek.plans import search as search_plan
 from lineseek.plans.build import save_index
 from lineseek.sources import index as store
 
@@ -82,6 +81,7 @@ def expected(**options):
         dict(),
         dict(limit=3, threshold=0.0),
         dict(limit=60, threshold=None),
+        dict(limit=2000, threshold=None),
         dict(limit=5, threshold=None, scoring="bm25"),
         dict(limit=4, threshold=-1.0, semantic_weight=0.0),
         dict(limit=4, threshold=None, semantic_weight=1.0, title_weight=0.0),
@@ -158,12 +158,12 @@ def test_title_boost_off_keeps_the_text_match(spark):
     assert [i for i, _ in ranked(rows)[0]] == [i for i, _ in without.search(*QUERIES[0][1:], limit=5, threshold=None)]
 
 
-@pytest.mark.parametrize("small_result", [100_000, 0])
-def test_stored_index_gives_the_same_results(spark, index, tmp_path, monkeypatch, small_result):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_stored_index_gives_the_same_results(spark, index, tmp_path, monkeypatch, few):
     """Many term buckets and id blocks, documents fetched by broadcast and by join."""
     monkeypatch.setattr(store, "DOCS_PER_TERM_BUCKET", 10)
     monkeypatch.setattr(store, "DOCS_PER_ID_BLOCK", 7)
-    monkeypatch.setattr(search_plan, "SMALL_RESULT", small_result)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", few)
     documents, content, title = tables(spark)
     folder = save_index(documents, str(tmp_path / "index"), content_vectors=content, title_vectors=title, dim=DIM)
     for scoring in ("tfidf", "bm25"):
