@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import corpus
 from lineseek.functions.text import content_words, join_words, normalise, remove_stopwords, tokenise
 from lineseek.functions.vectors import cosine_similarity
-from lineseek.operators.keyword import bm25_scores, document_frequency, keyword_relevance, postings, tfidf_scores
+from lineseek.operators.keyword import document_frequency, keyword_relevance, postings
 from lineseek.operators.lemmas import lemmatise
 from lineseek.operators.profile import profile_entries
 from lineseek.operators.query import expand_synonyms, nearest_words, query_terms
@@ -23,8 +23,8 @@ from lineseek.operators.vectors import (
     train_word_vectors,
     word_vectors,
 )
-from lineseek.plans.build import save_index, tokenised
-from lineseek.plans.search import search
+from lineseek.plans.build import save_index, signals_of, tokenised
+from lineseek.plans.search import keyword_scores, search
 from lineseek.sources.index import load_index, read_metadata
 from lineseek.sources.jsonl import dataset_size, entries_of, read_documents, rejected_lines
 
@@ -83,8 +83,7 @@ def doc_freq_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus.index(spark, sf_dir)
-    return tfidf_scores(query_terms(corpus.queries(spark, sf_dir)), index.postings, index.terms)
+    return keyword_scores(corpus.index(spark, sf_dir), corpus.queries(spark, sf_dir))
 
 
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,16 +96,17 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus.index(spark, sf_dir)
-    terms = query_terms(corpus.queries(spark, sf_dir))
-    scores = bm25_scores(terms, index.postings, index.terms, index.n_docs, index.avg_doc_len)
+    scores = keyword_scores(corpus.index(spark, sf_dir), corpus.queries(spark, sf_dir), scoring="bm25")
     return scores.select("query_id", "doc_id", _r("score"))
 
 
 # -- vectors -------------------------------------------------------------------
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.index(spark, sf_dir).signals
+    return signals_of(
+        corpus.documents(spark, sf_dir), corpus.content_vectors(spark, sf_dir), corpus.title_vectors(spark, sf_dir),
+        title_boost=True, dim=corpus.DIM,
+    )
 
 
 def attach(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ def zero_vector(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dim)
 
 
-def _dot(a: Column, b: Column) -> Column:
+def dot_product(a: Column, b: Column) -> Column:
+    """Sum of products of two vectors of one length, in double precision."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
 
@@ -23,8 +24,8 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
     def of_cut(pair: Column) -> Column:
         left, right = pair["left"], pair["right"]
-        norms = F.sqrt(_dot(left, left)) * F.sqrt(_dot(right, right))
-        return F.when(norms > 0, _dot(left, right) / norms).otherwise(0.0)
+        norms = F.sqrt(dot_product(left, left)) * F.sqrt(dot_product(right, right))
+        return F.when(norms > 0, dot_product(left, right) / norms).otherwise(0.0)
 
     cut = F.struct(
         F.slice(a, F.lit(1), common).alias("left"), F.slice(b, F.lit(1), common).alias("right")

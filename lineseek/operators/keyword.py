@@ -70,34 +70,48 @@ def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.hash(term), F.lit(buckets))
 
 
-def _matches(query_terms: DataFrame, postings_table: DataFrame, terms: DataFrame) -> DataFrame:
+def _matches(
+    query_terms: DataFrame, postings_table: DataFrame, terms: DataFrame, n_terms: int | None
+) -> DataFrame:
     """One row per (query, document, shared term).
 
     The query side is looked up in ``terms`` first, so only terms that exist reach
-    the postings. No hint is given: a small query side is broadcast by its size
-    and the postings stay in place; otherwise adaptive execution splits hot
-    terms. Where the tables carry ``term_bucket``, both scans are limited to the
-    partitions of the queried terms.
+    the postings. With at most ``n_terms`` rows known to be few it is broadcast
+    to both tables, which stay in place however often a term occurs; otherwise
+    adaptive execution splits hot terms of a shuffled join. Where the tables
+    carry ``term_bucket``, both scans are limited to the partitions of the
+    queried terms.
     """
     keys = [k for k in ("term_bucket", "term") if k in query_terms.columns and k in postings_table.columns]
-    asked = query_terms.where(F.col("term") != "").distinct()
-    return asked.join(terms, keys).join(postings_table, keys)
+    asked = broadcast_if_few(query_terms.where(F.col("term") != "").distinct(), n_terms)
+    known = broadcast_if_few(terms.join(asked, keys), n_terms)
+    return postings_table.join(known, keys)
+
 
+def tfidf_scores(
+    query_terms: DataFrame, postings_table: DataFrame, terms: DataFrame, n_terms: int | None = None
+) -> DataFrame:
+    """``query_id, doc_id, score`` for every pair sharing a term; others score 0.
 
-def tfidf_scores(query_terms: DataFrame, postings_table: DataFrame, terms: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score`` for every pair sharing a term; others score 0."""
-    matches = _matches(query_terms, postings_table, terms)
+    ``n_terms`` is the number of query term rows, or a bound on it, if known.
+    """
+    matches = _matches(query_terms, postings_table, terms, n_terms)
     return matches.groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf")).alias("score"))
 
 
 def bm25_scores(
-    query_terms: DataFrame, postings_table: DataFrame, terms: DataFrame, n_docs: Column, avg_doc_len: Column
+    query_terms: DataFrame,
+    postings_table: DataFrame,
+    terms: DataFrame,
+    n_docs: Column,
+    avg_doc_len: Column,
+    n_terms: int | None = None,
 ) -> DataFrame:
     """``query_id, doc_id, score`` by Okapi BM25 over the same matches."""
     tf, df = F.col("tf"), F.col("df")
     rarity = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     damped = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / avg_doc_len))
-    matches = _matches(query_terms, postings_table, terms)
+    matches = _matches(query_terms, postings_table, terms, n_terms)
     return matches.groupBy("query_id", "doc_id").agg(F.sum(rarity * damped).alias("score"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import split_words
-from lineseek.functions.vectors import cosine_similarity, zero_vector
+from lineseek.functions.vectors import dot_product, zero_vector
 from lineseek.operators.pair_scan import candidate_pairs
-from lineseek.session import bind, let
+from lineseek.session import bind, broadcast_if_few, let
 
 PRESORTED_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 LIMIT_GROUPS = 64
@@ -79,8 +79,8 @@ def nearest_approx(
     queries: DataFrame,
     limit: int,
     *,
-    bands: int = 24,
-    hashes_per_band: int = 4,
+    bands: int = 20,
+    hashes_per_band: int = 5,
     bucket_length: float = 0.25,
     seed: int = 42,
 ) -> DataFrame:
@@ -101,7 +101,8 @@ def nearest_approx(
         return let(vec.cast("array<double>"), scaled)
 
     def usable(df: DataFrame, vec: str) -> DataFrame:
-        return bind(df.where(F.exists(vec, lambda x: x != 0)), unit=array_to_vector(unit(F.col(vec))))
+        directed = bind(df.where(F.exists(vec, lambda x: x != 0)), direction=unit(F.col(vec)))
+        return directed.withColumn("unit", array_to_vector("direction")).drop(vec)
 
     docs, asked = usable(documents, "vec"), usable(queries, "query_vec")
     if docs.isEmpty():
@@ -113,18 +114,21 @@ def nearest_approx(
 
     def with_bands(df: DataFrame, name: str) -> DataFrame:
         """One 64-bit key per band; equal keys of unequal buckets only add candidates."""
-        hashed = bind(model.transform(df), buckets=F.col("hashed"))
-        values = [vector_to_array(F.element_at("buckets", i + 1))[0] for i in range(bands * hashes_per_band)]
-        keys = [F.xxhash64(*values[i::bands]) for i in range(bands)]
-        return bind(hashed, **{name: F.array(*keys)}).drop("hashed", "unit", "buckets")
-
-    docs = with_bands(docs.select("id", "vec", "unit"), "doc_keys")
-    asked = with_bands(asked.select("query_id", "query_vec", "unit"), "query_keys")
+        values = F.transform("hashed", lambda h: vector_to_array(h)[0])
+        hashed = bind(model.transform(df), buckets=values)
+        starts = F.sequence(F.lit(1), F.lit(bands * hashes_per_band), F.lit(hashes_per_band))
+        keys = F.transform(starts, lambda s: F.xxhash64(F.slice("buckets", s, hashes_per_band)))
+        return bind(hashed, **{name: keys}).drop("hashed", "unit", "buckets")
+
+    docs = with_bands(docs.select("id", F.col("direction").alias("doc_vec"), "unit"), "doc_keys")
+    asked = with_bands(asked.select("query_id", F.col("direction").alias("query_vec"), "unit"), "query_keys")
     docs = docs.select("*", F.posexplode("doc_keys").alias("band", "key"))
-    asked = asked.select("*", F.posexplode("query_keys").alias("band", "key"))
+    asked = broadcast_if_few(
+        asked.select("*", F.posexplode("query_keys").alias("band", "key")), queries.count() * bands
+    )
     equal = F.zip_with("doc_keys", "query_keys", lambda x, y: x == y)
     scored = docs.join(asked, ["band", "key"]).where(F.array_position(equal, True) == F.col("band") + 1).select(
-        "query_id", "id", cosine_similarity(F.col("query_vec"), F.col("vec")).alias("similarity")
+        "query_id", "id", dot_product(F.col("query_vec"), F.col("doc_vec")).alias("similarity")
     )
     return best_per_query(scored, "similarity", limit).select("query_id", "rank", "id", "similarity")
 

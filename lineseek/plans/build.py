@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import content_words, join_words
-from lineseek.operators.keyword import document_frequency, postings, weighted_tokens
+from lineseek.operators.keyword import document_frequency, postings
 from lineseek.operators.lemmas import lemmatise
 from lineseek.operators.vectors import DEFAULT_DIM, attach_vectors
+from lineseek.session import materialise
 from lineseek.sources import index as store
 from lineseek.sources.jsonl import read_documents
 
@@ -55,10 +56,12 @@ def index_tables(
     dim: int = DEFAULT_DIM,
     lemmas: DataFrame | None = None,
 ) -> store.Index:
-    """An unsaved index over ``documents(id, title, content, original_entry)``."""
-    words = tokenised(documents, lemmas)
-    posted = postings(words)
-    length = F.size(weighted_tokens(F.col("content_tokens"), F.col("title_tokens")))
+    """An index for one session over ``documents(id, title, content, original_entry)``.
+
+    The postings are written to the shared folder, because document frequencies
+    and matches both read them and the texts should be taken apart once.
+    """
+    posted = materialise(postings(tokenised(documents, lemmas)), "postings")
     n_docs = documents.agg(F.count("*")).scalar()
     return store.Index(
         entries=documents,
@@ -66,7 +69,7 @@ def index_tables(
         postings=posted,
         terms=document_frequency(posted, n_docs),
         n_docs=n_docs,
-        avg_doc_len=words.agg(F.avg(length)).scalar(),
+        avg_doc_len=posted.agg(F.sum("tf")).scalar() / n_docs,
     )
 
 

@@ -40,12 +40,13 @@ def keyword_scores(
         similar = expand_similar_words(queries, word_vectors)
         expansions = similar if expansions is None else expansions.union(similar)
     terms = query_terms(queries, expansions, lemmas)
+    n_terms = terms.count()
     if index.term_buckets is not None:
         terms = terms.withColumn("term_bucket", term_bucket(F.col("term"), index.term_buckets))
     if scoring == "tfidf":
-        return tfidf_scores(terms, index.postings, index.terms)
+        return tfidf_scores(terms, index.postings, index.terms, n_terms)
     if scoring == "bm25":
-        return bm25_scores(terms, index.postings, index.terms, index.n_docs, index.avg_doc_len)
+        return bm25_scores(terms, index.postings, index.terms, index.n_docs, index.avg_doc_len, n_terms)
     raise ValueError(f"unknown scoring: {scoring}")
 
 
