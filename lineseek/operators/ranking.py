@@ -37,19 +37,23 @@ def hybrid_score(
 
 def score_pairs(
     pairs: DataFrame, queries: DataFrame, hits: DataFrame,
-    semantic_weight: float, title_weight: float, decimals: int | None = None, n_queries: int | None = None,
+    semantic_weight: float, title_weight: float, decimals: int | None = None,
+    n_pairs: int | None = None, n_queries: int | None = None,
 ) -> DataFrame:
     """Adds ``keyword_relevance``, ``title_match`` and ``score`` to candidate pairs.
 
     ``hits`` has ``query_id, id, keyword``; pairs without a row there have 0.
-    With few queries their texts come to the pairs, which stay spread out.
+    Few pairs are brought to the hits, which are many more and stay in place;
+    few queries bring their texts to the pairs.
     """
+    keys = ["query_id", "id"]
+    found = hits.join(broadcast_if_few(pairs.select(*keys), n_pairs), keys)
     score = hybrid_score(
         F.col("semantic_similarity"), F.col("keyword_relevance"), F.col("title_relevance"), F.col("title_match"),
         semantic_weight, title_weight,
     )
     return (
-        pairs.join(hits, ["query_id", "id"], "left")
+        pairs.join(found, keys, "left")
         .withColumn("keyword_relevance", F.coalesce("keyword", F.lit(0.0)))
         .drop("keyword")
         .join(broadcast_if_few(queries.select("query_id", "query"), n_queries), "query_id")

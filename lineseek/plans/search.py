@@ -85,7 +85,7 @@ def search(
     hits = keyword_relevance(scores, n_queries).select(
         "query_id", F.col("doc_id").alias("id"), F.col("keyword_relevance").alias("keyword")
     )
-    pairs = candidate_pairs(
+    found = candidate_pairs(
         index.signals,
         _query_vectors(queries, embed, lemmas),
         semantic_weight=semantic_weight,
@@ -97,7 +97,10 @@ def search(
         limit=limit,
         margin=1e-9 if decimals is None else 10.0**-decimals,
     )
-    scored = score_pairs(pairs, texts, hits, semantic_weight, title_weight, decimals, n_queries)
+    pairs = materialise(found, "pairs")
+    scored = score_pairs(
+        pairs, texts, hits, semantic_weight, title_weight, decimals, n_pairs=pairs.count(), n_queries=n_queries
+    )
     n_results = None if limit is None else limit * n_queries
     return _with_documents(top_results(scored, threshold, limit), index, n_results)
 

@@ -10,21 +10,32 @@ from lineseek.functions.values import field_path, is_falsy, kind_of
 from lineseek.session import bind, last_duplicate_key_wins, let, materialise
 
 
-def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+def scan_lines(spark: SparkSession, path: str, up_to_file: str | None = None) -> DataFrame:
     """``pos, line`` for every line that is not blank.
 
     ``pos`` orders the lines: file, block of the file, row within the scan. It is
     taken right at the scan, before any filter, and needs no second pass.
+    ``up_to_file`` leaves out files whose path sorts after it, unopened.
     """
     pos = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    lines = spark.read.text(path).select(pos.alias("pos"), F.col("value").alias("line"))
+    text = spark.read.text(path)
+    if up_to_file is not None:
+        text = text.where(F.col("_metadata.file_path") <= up_to_file)
+    lines = text.select(pos.alias("pos"), F.col("value").alias("line"))
     return lines.where(F.col("line").rlike(r"(?U)\S"))
 
 
+def nth_file(spark: SparkSession, path: str, n: int) -> str | None:
+    """Path of the n-th file in path order, or None if there are no more than n."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    first = [row["file"] for row in files.orderBy("file").limit(n + 1).collect()]
+    return first[n - 1] if len(first) > n else None
+
+
 def _strict_entry(line: Column) -> Column:
     """The line as VARIANT, or null unless it is exactly one JSON value.
 

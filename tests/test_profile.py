@@ -8,6 +8,7 @@ from lineseek import analyze
 from lineseek.functions.numbers import format_size, number_text_length, to_fixed
 from lineseek.operators import profile as profiling
 from lineseek.operators.profile import profile_entries
+from lineseek.plans.analyze import leading_entries
 from lineseek.sources.jsonl import entries_of
 
 
@@ -139,6 +140,19 @@ def test_sample_is_a_prefix(lines_of, monkeypatch, largest_merge):
     assert profile(lines_of(lines), sample_size=500)[1] == 50
 
 
+def test_sample_opens_leading_files_only(spark, tmp_path):
+    for i in range(12):
+        lines = ["{bad"] + ['{"file":"f%d","n":%d}' % (i, k) for k in range(5)]
+        (tmp_path / f"part {i:02d}.jsonl").write_text("\n".join(lines))
+    assert len(leading_entries(spark, str(tmp_path), 5).select("pos.file").distinct().collect()) == 1
+    assert len(leading_entries(spark, str(tmp_path), 6).select("pos.file").distinct().collect()) == 8
+    assert len(leading_entries(spark, str(tmp_path), 41).select("pos.file").distinct().collect()) == 12
+    for size, files in ((5, 1), (7, 2), (60, 12), (500, 12)):
+        found = analyze(spark, str(tmp_path), sample_size=size)
+        assert found.summary.first().total_entries == min(size, 60)
+        assert {r.field: r.unique_values for r in found.fields.collect()} == {"file": files, "n": 0}
+
+
 def test_negative_sample_is_an_error(lines_of):
     with pytest.raises(ValueError):
         profile(lines_of(['{"a":1}']), sample_size=-1)
