@@ -8,17 +8,22 @@ query and task, goes on to exact scoring in Spark.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lineseek.session import broadcast_if_few, materialise
 
+# Tasks get the functions below themselves, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERIES_PER_SCAN = 4096  # query vectors held by a task; more queries scan again
 STRONG_HITS = 200_000  # keyword hits sent along to all documents, over all queries
 STEPS = 10_000  # steps of keyword relevance among which the cut is chosen

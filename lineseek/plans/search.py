@@ -14,6 +14,8 @@ from lineseek.operators.ranking import score_pairs, top_results
 from lineseek.plans.build import Embed
 from lineseek.session import broadcast_if_few, materialise
 from lineseek.sources.index import Index, id_block, load_index
+PAIRS_PER_TASK = 5_000
+
 
 def _query_vectors(queries: DataFrame, embed: Embed | None, lemmas: DataFrame | None) -> DataFrame:
     """``query_id, query, query_vec``; a query without a vector has similarity 0
@@ -98,8 +100,11 @@ def search(
         margin=1e-9 if decimals is None else 10.0**-decimals,
     )
     pairs = materialise(found, "pairs")
+    n_pairs = pairs.count()
+    # Edit distances cost far more than the bytes of a pair: deal them out evenly.
+    dealt = pairs.repartition(n_pairs // PAIRS_PER_TASK + 1, "query_id", "id")
     scored = score_pairs(
-        pairs, texts, hits, semantic_weight, title_weight, decimals, n_pairs=pairs.count(), n_queries=n_queries
+        dealt, texts, hits, semantic_weight, title_weight, decimals, n_pairs=n_pairs, n_queries=n_queries
     )
     n_results = None if limit is None else limit * n_queries
     return _with_documents(top_results(scored, threshold, limit), index, n_results)

@@ -21,7 +21,7 @@ from lineseek.functions.text import split_words
 DOCS_PER_TERM_BUCKET = 100_000
 DOCS_PER_ID_BLOCK = 100_000
 MAX_PARTITIONS = 4096
-BUCKET_SALTS = 16
+BUCKET_SALTS = 32
 
 
 class Index(NamedTuple):
