@@ -35,31 +35,61 @@ def hybrid_score(
     return semantic_part + keyword_part + title_part
 
 
-def score_pairs(
-    pairs: DataFrame, queries: DataFrame, hits: DataFrame,
-    semantic_weight: float, title_weight: float, decimals: int | None = None,
-    n_pairs: int | None = None, n_queries: int | None = None,
-) -> DataFrame:
-    """Adds ``keyword_relevance``, ``title_match`` and ``score`` to candidate pairs.
+def add_keyword(pairs: DataFrame, hits: DataFrame, n_pairs: int | None = None) -> DataFrame:
+    """Adds ``keyword_relevance`` from ``hits(query_id, id, keyword)``; 0 if absent.
 
-    ``hits`` has ``query_id, id, keyword``; pairs without a row there have 0.
-    Few pairs are brought to the hits, which are many more and stay in place;
-    few queries bring their texts to the pairs.
+    Few pairs are brought to the hits, which are many more and stay in place.
     """
     keys = ["query_id", "id"]
     found = hits.join(broadcast_if_few(pairs.select(*keys), n_pairs), keys)
-    score = hybrid_score(
-        F.col("semantic_similarity"), F.col("keyword_relevance"), F.col("title_relevance"), F.col("title_match"),
+    relevance = F.coalesce("keyword", F.lit(0.0))
+    return pairs.join(found, keys, "left").withColumn("keyword_relevance", relevance).drop("keyword")
+
+
+def add_query(pairs: DataFrame, queries: DataFrame, n_queries: int | None = None) -> DataFrame:
+    """Adds the text ``query``; few queries come to the pairs, which stay spread out."""
+    return pairs.join(broadcast_if_few(queries.select("query_id", "query"), n_queries), "query_id")
+
+
+def _score_with(title_text: Column, semantic_weight: float, title_weight: float) -> Column:
+    return hybrid_score(
+        F.col("semantic_similarity"), F.col("keyword_relevance"), F.col("title_relevance"), title_text,
         semantic_weight, title_weight,
     )
+
+
+def drop_outranked(
+    pairs: DataFrame, limit: int, semantic_weight: float, title_weight: float,
+    margin: float, n_queries: int | None = None,
+) -> DataFrame:
+    """Without pairs that ``limit`` others of their query are sure to beat.
+
+    Only the title's text match is still unknown. It is at most the ratio of the
+    two lengths, so most pairs are settled without an edit distance.
+    """
+    lengths = [F.char_length(F.lower(F.col(c))) for c in ("query", "title")]
+    ratio = F.coalesce(F.least(*lengths) / F.nullif(F.greatest(*lengths), F.lit(0)), F.lit(0.0))
+    ends = [_score_with(end, semantic_weight, title_weight) for end in (F.lit(0.0), ratio)]
+    bounded = pairs.withColumns({"at_least": F.least(*ends), "at_most": F.greatest(*ends)})
+    floors = (
+        best_per_query(bounded.select("query_id", "id", "at_least"), "at_least", limit)
+        .where(F.col("rank") == limit)
+        .select("query_id", F.col("at_least").alias("floor"))
+    )
     return (
-        pairs.join(found, keys, "left")
-        .withColumn("keyword_relevance", F.coalesce("keyword", F.lit(0.0)))
-        .drop("keyword")
-        .join(broadcast_if_few(queries.select("query_id", "query"), n_queries), "query_id")
-        .withColumn("title_match", title_match(F.col("query"), F.col("title")))
-        .drop("query")
-        .withColumn("score", score if decimals is None else F.round(score, decimals))
+        bounded.join(broadcast_if_few(floors, n_queries), "query_id", "left")
+        .where(F.col("floor").isNull() | (F.col("at_most") >= F.col("floor") - margin))
+        .drop("at_least", "at_most", "floor")
+    )
+
+
+def score_pairs(
+    pairs: DataFrame, semantic_weight: float, title_weight: float, decimals: int | None = None
+) -> DataFrame:
+    """Adds ``score`` to pairs with ``query, title`` and the three relevances."""
+    score = _score_with(F.col("title_match"), semantic_weight, title_weight)
+    return pairs.withColumn("title_match", title_match(F.col("query"), F.col("title"))).withColumn(
+        "score", score if decimals is None else F.round(score, decimals)
     )
 
 

@@ -10,7 +10,7 @@ from lineseek.operators.keyword import bm25_scores, keyword_relevance, term_buck
 from lineseek.operators.lemmas import lemmatise
 from lineseek.operators.pair_scan import candidate_pairs
 from lineseek.operators.query import expand_similar_words, expand_synonyms, query_terms
-from lineseek.operators.ranking import score_pairs, top_results
+from lineseek.operators.ranking import add_keyword, add_query, drop_outranked, score_pairs, top_results
 from lineseek.plans.build import Embed
 from lineseek.session import broadcast_if_few, materialise
 from lineseek.sources.index import Index, id_block, load_index
@@ -77,6 +77,7 @@ def search(
         raise ValueError("limit must not be negative")
     texts = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
     n_queries = texts.count()
+    margin = 1e-9 if decimals is None else 10.0**-decimals
     # Written once: the scores set the bounds of the scan and complete its pairs.
     scores = materialise(
         keyword_scores(
@@ -97,15 +98,16 @@ def search(
         n_queries=n_queries,
         threshold=threshold,
         limit=limit,
-        margin=1e-9 if decimals is None else 10.0**-decimals,
+        margin=margin,
     )
     pairs = materialise(found, "pairs")
     n_pairs = pairs.count()
     # Edit distances cost far more than the bytes of a pair: deal them out evenly.
     dealt = pairs.repartition(n_pairs // PAIRS_PER_TASK + 1, "query_id", "id")
-    scored = score_pairs(
-        dealt, texts, hits, semantic_weight, title_weight, decimals, n_pairs=n_pairs, n_queries=n_queries
-    )
+    rated = add_query(add_keyword(dealt, hits, n_pairs), texts, n_queries)
+    if limit and n_pairs > PAIRS_PER_TASK:
+        rated = drop_outranked(rated, limit, semantic_weight, title_weight, margin, n_queries)
+    scored = score_pairs(rated, semantic_weight, title_weight, decimals)
     n_results = None if limit is None else limit * n_queries
     return _with_documents(top_results(scored, threshold, limit), index, n_results)
 

@@ -1,3 +1,4 @@
+import importlib
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from lineseek.operators.ranking import result_view, title_match
 from lineseek.plans.build import save_index
 from lineseek.sources import index as store
 
+search_plan = importlib.import_module("lineseek.plans.search")
 DIM = 6
 WORDS = "alpha beta gamma delta the and of omega sigma_1 42 kappa lambda mu nu".split()
 rng = random.Random(11)
@@ -103,6 +105,7 @@ def test_bounds_never_change_results(spark, index, monkeypatch, strong, per_scan
     monkeypatch.setattr(pair_scan, "STRONG_HITS", strong)
     monkeypatch.setattr(pair_scan, "QUERIES_PER_SCAN", per_scan)
     monkeypatch.setattr(pair_scan, "CELLS", cells)
+    monkeypatch.setattr(search_plan, "PAIRS_PER_TASK", cells)
     got = ranked(search(index, asked(spark), limit=4, threshold=None, decimals=6))
     want = expected(limit=4, threshold=None)
     assert {q: [i for i, _ in rows] for q, rows in got.items()} == {q: [i for i, _ in rows] for q, rows in want.items()}
