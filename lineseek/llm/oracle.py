@@ -111,9 +111,25 @@ FROM judged"""
     )
 
 
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+WHERE place <= 5
+"""
+
+
 ORACLE: dict[str, str] = {
     "op2_chat_snapshots": CHAT,
     "op3_url_filters": URL_FILTERS,
     "op6_exact_dedup": EXACT_DEDUP,
+    "op7_exact_top_k": TOP_K,
     "op10_mixing": mixing(),
 }

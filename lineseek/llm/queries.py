@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lineseek.llm.chat import maximal_conversations
 from lineseek.llm.exact_dedup import exact_duplicates
+from lineseek.llm.language import identify_held_out
 from lineseek.llm.mixing import mix
+from lineseek.llm.packing import pack_documents
+from lineseek.llm.token_files import token_digests, write_token_files
+from lineseek.llm.topk import top_k
 from lineseek.llm.url_rules import DEFAULT_PATTERNS, judge_urls, site_rule
+from lineseek.llm.work import new_path
 
 #: The site rules that every URL is judged by.
 SITE_RULES = (
@@ -33,10 +38,29 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), [*SITE_RULES, *DEFAULT_PATTERNS])
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_digests(spark, path)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -44,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_snapshots": op2_chat_snapshots,
     "op3_url_filters": op3_url_filters,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op8_language_id": op8_language_id,
+    "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
 }
