@@ -10,6 +10,7 @@ from lineseek.llm.chat import maximal_conversations
 from lineseek.llm.exact_dedup import exact_duplicates
 from lineseek.llm.language import identify_held_out
 from lineseek.llm.mixing import mix
+from lineseek.llm.near_dup import near_duplicates
 from lineseek.llm.packing import pack_documents
 from lineseek.llm.token_files import token_digests, write_token_files
 from lineseek.llm.topk import top_k
@@ -38,6 +39,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), [*SITE_RULES, *DEFAULT_PATTERNS])
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_snapshots": op2_chat_snapshots,
     "op3_url_filters": op3_url_filters,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_exact_top_k": op7_exact_top_k,
