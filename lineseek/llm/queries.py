@@ -12,6 +12,7 @@ from lineseek.llm.language import identify_held_out
 from lineseek.llm.mixing import mix
 from lineseek.llm.near_dup import near_duplicates
 from lineseek.llm.packing import pack_documents
+from lineseek.llm.suffix_dedup import remove_repeats
 from lineseek.llm.token_files import token_digests, write_token_files
 from lineseek.llm.topk import top_k
 from lineseek.llm.url_rules import DEFAULT_PATTERNS, judge_urls, site_rule
@@ -31,6 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maximal_conversations(table(spark, sf_dir, "conversations"))
 
@@ -71,6 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat_snapshots": op2_chat_snapshots,
     "op3_url_filters": op3_url_filters,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
