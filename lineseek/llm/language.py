@@ -191,6 +191,52 @@ def fit(
     return LanguageModel(pieces, languages, probabilities)
 
 
+class Scorer:
+    """Predictions for batches of texts; words scored before are remembered, up to a bound."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.table = model, PieceTable(model.pieces)
+        self.names = pa.array([*model.languages, UNDETERMINED])
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.languages)))
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        missing = [word for word in words if word not in self.known]
+        if len(self.known) + len(missing) > CACHED_WORDS:
+            self.known, self.scores, missing = {}, self.scores[:0], words
+        self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing)), strict=True))
+        fresh = self.model.word_scores(self.table, missing)
+        fresh[[place for place, word in enumerate(missing) if not word]] = 0.0
+        self.scores = np.concatenate([self.scores, fresh])
+        return np.fromiter((self.known[word] for word in words), np.int64, len(words))
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lowered = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " ")
+        lowered = pc.replace_substring_regex(lowered, r"(\p{L}{%d})" % LONGEST_WORD, r"\1 ")
+        words = pc.ascii_split_whitespace(lowered)
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = words.flatten().dictionary_encode()
+        listed, use = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        each = self.scores[self._places(listed)][use]
+        letters = np.array([bool(word) for word in listed], bool)[use]
+        upto = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)])
+        held = np.concatenate([[0], np.cumsum(letters)])
+        none = held[bounds[1:]] == held[bounds[:-1]]
+        if not self.model.languages:
+            return np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        total = upto[bounds[1:]] - upto[bounds[:-1]]
+        chance = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        best = np.where(none, len(self.model.languages), total.argmax(axis=1))
+        return best, np.where(none, 0.0, chance)
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The language of each text, and its posterior probability under equal priors."""
+        found = [self._slice(part) for part in slices(texts.fill_null(""))]
+        best = np.concatenate([np.zeros(0, np.int64), *(best for best, _ in found)])
+        return self.names.take(pa.array(best)), np.concatenate([np.zeros(0), *(chance for _, chance in found)])
+
+
 def predict(
     documents: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -204,60 +250,51 @@ def predict(
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, scores = PieceTable(model.pieces), {}, np.zeros((0, len(model.languages)))
-        names = pa.array([*model.languages, UNDETERMINED])
+        scorer = Scorer(model)
         for batch in batches:
-            best, posterior = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for part in slices(batch.column(1).fill_null("")):
-                lowered = pc.replace_substring_regex(pc.utf8_lower(part), r"[^\p{L}]+", " ")
-                lowered = pc.replace_substring_regex(lowered, r"(\p{L}{%d})" % LONGEST_WORD, r"\1 ")
-                words = pc.ascii_split_whitespace(lowered)
-                bounds = words.offsets.to_numpy().astype(np.int64)
-                coded = words.flatten().dictionary_encode()
-                listed = coded.dictionary.to_pylist()
-                missing = [word for word in listed if word not in known]
-                if len(known) + len(missing) > CACHED_WORDS:
-                    known, scores, missing = {}, scores[:0], listed
-                known.update(zip(missing, range(len(known), len(known) + len(missing)), strict=True))
-                fresh = model.word_scores(table, missing)
-                fresh[[place for place, word in enumerate(missing) if not word]] = 0.0
-                scores = np.concatenate([scores, fresh])
-                place = np.fromiter((known[word] for word in listed), np.int64, len(listed))
-                each = scores[place][coded.indices.to_numpy()]
-                filled = np.array([bool(word) for word in listed], bool)[coded.indices.to_numpy()]
-                upto = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)])
-                held = np.concatenate([[0], np.cumsum(filled)])
-                bounds -= bounds[0]
-                total = upto[bounds[1:]] - upto[bounds[:-1]]
-                none = held[bounds[1:]] == held[bounds[:-1]]
-                if not len(model.languages):
-                    none[:], total = True, np.zeros((len(total), 1))
-                top = total.argmax(axis=1)
-                chance = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                best.append(np.where(none, len(model.languages), top))
-                posterior.append(np.where(none, 0.0, chance))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), names.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(posterior))],
-                ["id", "lang_pred", "score"],
-            )
+            names, chances = scorer(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(chances)], ["id", "lang_pred", "score"])
 
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double"
     return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
+def keep_identified(
+    documents: DataFrame, model: LanguageModel, *, text_col: str = "text", least_score: float = 0.5
+) -> DataFrame:
+    """The rows of ``documents`` with a language and a score of at least
+    ``least_score``, all columns as they were. No row is moved."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            names, chances = scorer(batch.column(batch.schema.get_field_index(text_col)))
+            known = pc.not_equal(names, UNDETERMINED).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(known & (chances >= least_score)))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def fold(identity: Column) -> Column:
     """crc32 of the id's text mod 5; null for a null id."""
     return F.pmod(F.crc32(identity.cast("string").cast("binary")), F.lit(5))
 
 
+def fit_labelled(
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds
+) -> LanguageModel:
+    """:func:`fit` on the rows with a label outside fold 0; a null id is in no fold and not learned from."""
+    rows = documents.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return fit(rows.where((fold(F.col("id")) != 0) & F.col("lang").isNotNull()), **bounds)
+
+
 def identify_held_out(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds
 ) -> DataFrame:
     """``id_col, held_out, lang_pred, score``: learned from labelled rows outside
-    fold 0, predicted for all. A null id is in no fold: not learned from, not held out."""
-    rows = documents.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    model = fit(rows.where((fold(F.col("id")) != 0) & F.col("lang").isNotNull()), **bounds)
+    fold 0, predicted for all. A null id is not held out."""
+    model = fit_labelled(documents, id_col=id_col, text_col=text_col, lang_col=lang_col, **bounds)
     held_out = F.coalesce(fold(F.col(id_col)) == 0, F.lit(False))
     return predict(documents, model, id_col=id_col, text_col=text_col).select(
         id_col, held_out.alias("held_out"), "lang_pred", "score"
