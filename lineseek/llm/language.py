@@ -218,7 +218,8 @@ class Scorer:
         bounds -= bounds[0]
         coded = words.flatten().dictionary_encode()
         listed, use = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        each = self.scores[self._places(listed)][use]
+        places = self._places(listed)
+        each = self.scores[places][use]
         letters = np.array([bool(word) for word in listed], bool)[use]
         upto = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)])
         held = np.concatenate([[0], np.cumsum(letters)])
