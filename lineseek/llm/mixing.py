@@ -22,7 +22,7 @@ from lineseek.llm.work import materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 10
-TEMPER = 0.7  # targets not given: the corpus' own shares to this power
+TEMPERS = {"source": 0.7, "lang": 0.7, "topic": 1.0}  # targets not given: the corpus' own shares to this power
 NONE = "(none)"
 
 
@@ -64,7 +64,7 @@ def target_shares(cells: DataFrame, dimension: str, given: Mapping[str, float] |
         weights = F.create_map(*(F.lit(x) for pair in given.items() for x in (pair[0], float(pair[1]))))
         weighed = present.select(dimension, F.coalesce(weights[F.col(dimension)], F.lit(0.0)).alias("weight"))
     else:
-        weighed = present.select(dimension, F.pow(F.col("held").cast("double"), TEMPER).alias("weight"))
+        weighed = present.select(dimension, F.pow(F.col("held").cast("double"), TEMPERS[dimension]).alias("weight"))
     total = weighed.agg(F.sum("weight")).first()[0] or 1.0
     return weighed.select(dimension, (F.col("weight") / total).alias("target"))
 
@@ -107,7 +107,7 @@ def mix(
 
     ``targets`` names wanted weights per dimension, e.g. ``{"lang": {"en": 3,
     "de": 1}}``; values not named get none. Without them a dimension's target
-    is its own share of tokens to the power 0.7. Rows without a word have
+    is its own share of tokens to the power 0.7 (topics: 1). Rows without a word have
     probability 0. Null source or language is a value of its own, a null id
     draws as the empty text. Repeated rows draw alike. Other columns don't
     matter. An empty table gives no rows.

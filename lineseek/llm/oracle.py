@@ -68,7 +68,7 @@ FROM rolling r JOIN kept k ON k.conv_id = r.conv_id
 """
 
 
-def mixing(rounds: int = 10, temper: float = 0.7) -> str:
+def mixing(rounds: int = 10) -> str:
     """Raking written out, one step after the other."""
     steps = [
         """rows_ AS MATERIALIZED (
@@ -83,7 +83,7 @@ def mixing(rounds: int = 10, temper: float = 0.7) -> str:
   SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(1.0 AS DOUBLE) AS factor
   FROM rows_ WHERE tokens > 0 GROUP BY ALL)""",
     ]
-    for name in ("source", "lang", "topic"):
+    for name, temper in (("source", 0.7), ("lang", 0.7), ("topic", 1.0)):
         steps.append(
             f"""target_{name} AS MATERIALIZED (
   SELECT {name}, weight / sum(weight) OVER () AS target FROM (
