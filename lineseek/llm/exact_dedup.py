@@ -23,6 +23,7 @@ from lineseek.llm.work import shuffle_partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+SALTS = 16  # tasks that the rows of one fingerprint are routed to
 FILTER_SCHEMA = "slots int, quotient_bits int, occupied binary, run_ends binary, remainders binary, counts binary"
 
 
@@ -126,8 +127,15 @@ def _with_keys(documents: DataFrame, id_col: str, text_col: str, *more: str) ->
 def duplicate_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``fp, sha, keep_id, group_size`` for every text that at least two rows hold."""
     keyed = _with_keys(documents, id_col, text_col)
-    repeated = repeated_fingerprints(keyed)
-    routed = keyed.join(repeated.select("fp").hint("shuffle_hash"), "fp", "left_semi")
+    repeated = repeated_fingerprints(keyed).select(
+        F.col("fp").alias("many_fp"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("many_salt")
+    )
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    routed = salted.join(
+        repeated.hint("shuffle_hash"),
+        (F.col("fp") == F.col("many_fp")) & (F.col("salt") == F.col("many_salt")),
+        "left_semi",
+    )
     groups = routed.groupBy("fp", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     return groups.where("group_size > 1").select("fp", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
 

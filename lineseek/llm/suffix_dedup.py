@@ -292,7 +292,7 @@ def resolve(contexts: np.ndarray, masks: np.ndarray, ranks: np.ndarray) -> np.nd
     mine = owner[order]
 
     data = np.concatenate([contexts.ravel(), np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(data.view(np.uint64), (len(data) - 7,), (1,))
+    words = np.ndarray((len(data) - 7,), np.uint64, data, 0, (1,))  # eight bytes from each place
     equal = np.ones(len(order), bool)
     start, other = mine * CONTEXT + LEFT - back[order], head * CONTEXT + LEFT - back[order]
     for place in (*range(0, LENGTH - 8, 8), LENGTH - 8):
