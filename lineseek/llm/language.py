@@ -153,10 +153,15 @@ def sample_words(labelled: DataFrame, *, per_language: int, words_per_language:
 
     What is sent to all tasks is the sample's ids: ``per_language`` per language.
     """
-    order = [F.xxhash64("id"), F.col("id")]
+    # by its language's count, a row whose hash is too large to be chosen is left out before anything is ordered
+    counts = labelled.groupBy(F.col("lang").alias("counted")).count()
+    wanted = F.least(F.lit(1.0), F.lit(2.0 * per_language + 50) / F.col("count"))
+    place_of = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = labelled.select("id", "lang").join(counts, F.col("lang") == F.col("counted")).where(place_of < wanted)
+    order = [F.pmod(F.xxhash64("id"), F.lit(1 << 30)), F.col("id")]
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    chosen = labelled.select("id", "lang").withColumn("place", place).where(F.col("place") <= per_language)
-    texts = labelled.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"], "left_semi")
+    chosen = near.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language)
+    texts = labelled.join(F.broadcast(chosen.select("id", "lang")), ["id", "lang"], "left_semi")
     words = texts.select("lang", F.explode(letter_runs(F.col("text"))).alias("word")).groupBy("lang", "word").count()
     frequent = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("count").desc(), "word"))
     return words.withColumn("place", frequent).where(F.col("place") <= words_per_language).drop("place")

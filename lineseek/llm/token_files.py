@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineseek.llm.tokens import WordEncoder, default_tokenizer, id_lists, with_end
+from lineseek.llm.tokens import WordEncoder, default_tokenizer, id_lists, portions, with_end
 from lineseek.llm.work import shuffle_partitions
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 1000
@@ -45,7 +45,7 @@ def write_token_files(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, written, part = WordEncoder(tokenizer), 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids, bounds = with_end(*encoder.encode(batch.column(1)), end_id)
             yield pa.RecordBatch.from_arrays(
                 [

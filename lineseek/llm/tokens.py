@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # one run of these is one word to the tokenizer, whatever stands around it
-CACHED_WORDS = 400_000
-SLICE_BYTES = 8 << 20
+CACHED_WORDS = 500_000
+SLICE_BYTES = 4 << 20
 WORDS_PER_CALL = 2000
 
 
@@ -28,13 +29,22 @@ def default_tokenizer() -> str:
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """``texts`` in runs of about ``limit`` bytes; a longer text stands alone."""
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     groups = np.cumsum(sizes) // limit
     bounds = np.flatnonzero(np.diff(groups, prepend=-1))
     for start, end in zip(bounds, [*bounds[1:], len(texts)], strict=True):
         yield texts.slice(start, end - start)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``limit`` bytes of text in ``column``."""
+    for batch in batches:
+        done = 0
+        for texts in slices(batch.column(column), limit):
+            yield batch.slice(done, len(texts))
+            done += len(texts)
+
+
 class WordEncoder:
     """``encode`` gives what ``Tokenizer.encode(text, add_special_tokens=False)`` gives."""
 
@@ -63,6 +73,8 @@ class WordEncoder:
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # the tokenizer lower-cases anyway, except within the names of special tokens
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         # full stops and commas after a word are words of their own; setting them apart leaves fewer distinct words
         texts = pc.replace_substring_regex(texts, rf"([{LETTERS}])([.,]+)([ \t\n\r\f\v]|$)", r"\1 \2\3")
         words = pc.ascii_split_whitespace(texts)
@@ -77,40 +89,47 @@ class WordEncoder:
         return self.ids[source], np.diff(upto[bounds])
 
     def _find(self, words: pa.Array) -> np.ndarray:
-        known = self.places
         listed = words.to_pylist()
-        missing = [word for word in listed if word not in known]
-        if missing:
-            if len(known) + len(missing) > CACHED_WORDS:
+        places = np.fromiter(map(self.places.get, listed, repeat(-1)), np.int64, len(listed))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            if len(self.places) + len(missing) > CACHED_WORDS:
                 self._forget()
-                known, missing = self.places, listed
-            lengths, ids = self._encode_words(missing)
-            known.update(zip(missing, range(len(known), len(known) + len(missing)), strict=True))
+                missing = np.arange(len(listed))
+            fresh = [listed[i] for i in missing]
+            order, lengths, ids = self._encode_words(fresh)
+            places[missing[order]] = np.arange(len(self.lengths), len(self.lengths) + len(order))
+            self.places.update(zip(fresh, places[missing].tolist(), strict=True))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter((known[word] for word in listed), np.int64, len(listed))
+        return places
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of ``words``, their numbers of ids and their ids in that order.
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and ids. Words of letters are encoded many at a time and told apart by their last ids."""
+        Words of letters are encoded many at a time and told apart by their last ids.
+        """
         plain = pc.match_substring_regex(pa.array(words, pa.string()), rf"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
-        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
-        places = np.flatnonzero(plain)
+        places, alone = np.flatnonzero(plain), list(np.flatnonzero(~plain))
         groups = [places[i : i + WORDS_PER_CALL] for i in range(0, len(places), WORDS_PER_CALL)]
-        alone = list(np.flatnonzero(~plain))
+        order, lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         joined = [" ".join([words[i] for i in group]) for group in groups]
         for group, coded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, np.uint32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(group):
+            found = np.array(coded.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[found]) + 1
+            if len(ends) == len(group):
+                order.append(group)
+                lengths.append(np.diff(ends, prepend=0))
+                ids.append(found)
+            else:
                 alone.extend(group)
-                continue
-            for i, part in zip(group, np.split(ids, ends[:-1]), strict=True):
-                found[i] = part
         singles = self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)
-        for i, coded in zip(alone, singles, strict=True):
-            found[i] = np.array(coded.ids, np.uint32)
-        return np.fromiter(map(len, found), np.int64, len(found)), np.concatenate([*found, np.zeros(0, np.uint32)])
+        found = [coded.ids for coded in singles]
+        order.append(np.array(alone, np.int64))
+        lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+        ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        return np.concatenate(order), np.concatenate(lengths), np.concatenate(ids)
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
