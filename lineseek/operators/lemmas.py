@@ -1,61 +1,47 @@
-"""Lemmatisation of token arrays by a ``token, lemma`` table."""
+"""Lemmatisation by a ``token, lemma`` table of any size."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DICTIONARY_ROWS = 500_000  # larger tables are joined instead of shipped to tasks
+from lineseek.session import materialise
+
+
+def _dictionary(lemmas: DataFrame) -> DataFrame:
+    known = lemmas.where(F.col("token").isNotNull() & F.col("lemma").isNotNull())
+    return known.groupBy("token").agg(F.min("lemma").alias("lemma"))
+
+
+def lemmatise_words(words: DataFrame, column: str, lemmas: DataFrame | None = None) -> DataFrame:
+    """Replace ``column``, one token per row, by its lemma; unknown tokens stay."""
+    if lemmas is None:
+        return words
+    dictionary = _dictionary(lemmas).select(F.col("token").alias("_token"), F.col("lemma").alias("_lemma"))
+    joined = words.join(dictionary, F.col(column) == F.col("_token"), "left")
+    return joined.withColumn(column, F.coalesce("_lemma", column)).drop("_token", "_lemma")
 
 
 def lemmatise(df: DataFrame, column: str, lemmas: DataFrame | None = None) -> DataFrame:
-    """Replace each token of ``column`` by its lemma; unknown tokens stay.
+    """Replace each token of the array ``column`` by its lemma; unknown tokens stay.
 
-    Without a table nothing changes. A table of checked size goes to every task,
-    where Arrow looks up whole batches and rows stay where they are; a larger
-    one is joined token by token.
+    Without a table nothing changes. Otherwise the rows are written once with a
+    number of their own; their tokens meet the dictionary by a join, and only the
+    places that change come back to the rows. Rows may repeat, and the
+    dictionary's size changes nothing but Spark's choice of the join.
     """
     if lemmas is None:
         return df
-    lemmas = lemmas.select("token", "lemma").where(F.col("token").isNotNull() & F.col("lemma").isNotNull())
-    unique = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
-    sample = unique.limit(DICTIONARY_ROWS + 1).toArrow()
-    if sample.num_rows > DICTIONARY_ROWS:
-        return _lemmatise_by_join(df, column, unique)
-    return _lemmatise_by_lookup(df, column, sample)
-
-
-def _lemmatise_by_lookup(df: DataFrame, column: str, dictionary: pa.Table) -> DataFrame:
-    tokens = dictionary.column("token").combine_chunks().cast(pa.string())
-    lemmas = dictionary.column("lemma").combine_chunks().cast(pa.string())
-
-    @F.arrow_udf("array<string>")
-    def lookup(lists: pa.Array) -> pa.Array:
-        words = lists.flatten().cast(pa.string())
-        found = lemmas.take(pc.index_in(words, value_set=tokens))
-        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32()))
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
-        return pa.ListArray.from_arrays(offsets, pc.coalesce(found, words))
-
-    return df.withColumn(column, lookup(F.coalesce(F.col(column), F.array().cast("array<string>"))))
-
-
-def _lemmatise_by_join(df: DataFrame, column: str, lemmas: DataFrame) -> DataFrame:
-    """Explode to (row, place, token), join, and put the tokens back in order."""
-    keys = [c for c in ("id", "query_id") if c in df.columns]
-    if not keys:
-        raise ValueError("joining a large lemma table needs an id or query_id column")
-    words = df.select(keys[0], F.posexplode(column).alias("place", "token"))
-    put_back = (
-        words.join(lemmas, "token", "left")
-        .groupBy(keys[0])
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("place", F.coalesce("lemma", "token").alias("word")))
-            )["word"].alias(column)
-        )
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    words = rows.select("_row", F.posexplode(column).alias("_place", "token"))
+    changed = words.join(_dictionary(lemmas), "token").where("lemma <> token")
+    by_row = changed.groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("_place", "lemma"))).alias("_changes")
+    )
+    tokens = F.coalesce(F.col(column), F.array().cast("array<string>"))
+    replaced = F.transform(tokens, lambda token, place: F.coalesce(F.col("_changes")[place], token))
+    return (
+        rows.join(by_row, "_row", "left")
+        .withColumn(column, F.when(F.col("_changes").isNull(), tokens).otherwise(replaced))
+        .select(df.columns)
     )
-    empty = F.array().cast("array<string>")
-    return df.drop(column).join(put_back, keys[0], "left").withColumn(column, F.coalesce(column, empty))

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lineseek.session import broadcast_if_few, materialise
 
@@ -64,14 +65,14 @@ def _cosines(column: pa.Array, queries: np.ndarray, squares: np.ndarray) -> np.n
 class _QueryBlock:
     """Queries of one vector length, as arrays."""
 
-    def __init__(self, rows: list[Row]):
+    def __init__(self, rows: list[Row], id_type: pa.DataType):
         self.ids = [row["query_id"] for row in rows]
+        self.id_column = pa.array(self.ids, id_type)
         width = len(rows[0]["query_vec"])
         self.vectors = np.array([row["query_vec"] for row in rows], dtype=np.float64).reshape(len(rows), width)
         self.squares = np.pad(np.cumsum(self.vectors**2, axis=1), ((0, 0), (1, 0)))
         self.text_lengths = np.array([[row["text_length"]] for row in rows], dtype=np.float64)
         self.weak_keyword = np.array([[row["weak_keyword"]] for row in rows], dtype=np.float64)
-        self.place = {query_id: i for i, query_id in enumerate(self.ids)}
 
     def keyword(self, hits: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the keyword relevance of each query and document: the known
@@ -81,7 +82,8 @@ class _QueryBlock:
         counts = pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False)
         listed = hits.flatten()
         if len(listed):
-            places = np.array([self.place.get(q, -1) for q in listed.field("query_id").to_pylist()])
+            found = pc.index_in(listed.field("query_id"), value_set=self.id_column)
+            places = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
             docs, mine = np.repeat(np.arange(len(hits)), counts), places >= 0
             values = listed.field("keyword").to_numpy(zero_copy_only=False)
             low[places[mine], docs[mine]] = high[places[mine], docs[mine]] = values[mine]
@@ -90,12 +92,13 @@ class _QueryBlock:
 
 def _query_blocks(queries: DataFrame) -> Iterator[list[_QueryBlock]]:
     """Blocks of at most ``QUERIES_PER_SCAN`` queries each, one list per scan."""
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     rows = queries.toLocalIterator()
     while chunk := list(islice(rows, QUERIES_PER_SCAN)):
         by_width: dict[int, list[Row]] = {}
         for row in chunk:
             by_width.setdefault(len(row["query_vec"]), []).append(row)
-        yield [_QueryBlock(group) for group in by_width.values()]
+        yield [_QueryBlock(group, id_type) for group in by_width.values()]
 
 
 class _TopBounds:
@@ -234,7 +237,7 @@ def candidate_pairs(
             take = pa.array(doc_at)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(block.ids).take(pa.array(query_at)),
+                    block.id_column.take(pa.array(query_at)),
                     part.column("id").take(take),
                     part.column("title").take(take),
                     pa.array(content[query_at, doc_at]),

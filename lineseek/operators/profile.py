@@ -11,7 +11,6 @@ from lineseek.sources.jsonl import running_start
 
 SHORT_TEXT = 100  # only strings shorter than this count as distinct values
 DISTINCT_CAP = 1000  # more distinct values than this are reported as null
-SMALL_SAMPLE = 100_000  # samples up to this size are merged in one task
 
 
 def head_sample(entries: DataFrame, size: int | None) -> DataFrame:
@@ -20,9 +19,7 @@ def head_sample(entries: DataFrame, size: int | None) -> DataFrame:
         raise ValueError("sample size must not be negative")
     if not size:
         return entries
-    if size <= SMALL_SAMPLE:
-        return entries.orderBy("pos").limit(size)
-    # A large prefix never passes through one task: rows are numbered inside
+    # No prefix passes through one task, whatever its size: rows are numbered inside
     # range partitions of pos, written once so that the partitions stay fixed.
     ranged = materialise(
         entries.repartitionByRange("pos").withColumn("_part", F.spark_partition_id()), "sample"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import content_words, tokenise
-from lineseek.operators.lemmas import lemmatise
+from lineseek.operators.lemmas import lemmatise_words
 from lineseek.operators.vectors import nearest_exact
 
 SYNSETS_PER_TOKEN = 3
@@ -67,12 +67,10 @@ def query_terms(
     an expansion of several words gives several terms. A query without any word
     keeps one empty term, which matches nothing.
     """
-    own = queries.select("query_id", content_words(F.col("query")).alias("words"))
-    own = lemmatise(own, "words", lemmas)
     empty = F.array(F.lit(""))
-    terms = own.select("query_id", F.explode(F.when(F.size("words") > 0, F.col("words")).otherwise(empty)).alias("term"))
+    words = content_words(F.col("query"))
+    own = queries.select("query_id", F.explode(F.when(F.size(words) > 0, words).otherwise(empty)).alias("term"))
     if expansions is not None:
-        added = expansions.select("query_id", content_words(F.col("expansion")).alias("words"))
-        added = lemmatise(added, "words", lemmas)
-        terms = terms.union(added.select("query_id", F.explode("words").alias("term")))
-    return terms.distinct()
+        added = expansions.select("query_id", F.explode(content_words(F.col("expansion"))).alias("term"))
+        own = own.union(added)
+    return lemmatise_words(own.distinct(), "term", lemmas).distinct()

@@ -133,6 +133,36 @@ def nearest_approx(
     return best_per_query(scored, "similarity", limit).select("query_id", "rank", "id", "similarity")
 
 
+def hashed_vectors(texts: DataFrame, key: str = "id", dim: int = DEFAULT_DIM) -> DataFrame:
+    """``<key>, vec`` from ``<key>, text``: an embedding that needs no training.
+
+    The md5 of a word names one of ``dim`` places and a sign; a text's vector is
+    the sum over its words, scaled to length 1 (zeros for a text without words).
+    Words are summed per place before they move; keys are to be unique.
+    """
+    words = texts.select(key, F.explode(split_words(F.col("text"))).alias("word")).select(
+        key, F.md5("word").alias("digest")
+    )
+    places = words.select(
+        key,
+        (F.conv(F.substring("digest", 1, 6), 16, 10).cast("bigint") % dim).cast("int").alias("place"),
+        F.when(F.substring("digest", 7, 1) < "8", 1.0).otherwise(-1.0).alias("sign"),
+    )
+    sums = places.groupBy(key, "place").agg(F.sum("sign").alias("total"))
+    by_key = sums.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "total"))).alias("totals"),
+        F.sqrt(F.sum(F.col("total") * F.col("total"))).alias("norm"),
+    )
+    scale = F.coalesce(F.nullif(F.col("norm"), F.lit(0.0)), F.lit(1.0))
+    dense = F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda place: F.coalesce(F.col("totals")[place], F.lit(0.0)) / scale,
+    )
+    found = by_key.select(F.col(key).alias("_key"), dense.alias("vec"))
+    joined = texts.select(key).join(found, F.col(key) == F.col("_key"), "left")
+    return joined.select(key, F.coalesce("vec", zero_vector(dim).cast("array<double>")).alias("vec"))
+
+
 def train_word_vectors(
     documents: DataFrame, column: str, dim: int = 100, min_count: int = 5, seed: int = 42
 ) -> Word2VecModel:

@@ -11,7 +11,7 @@ from lineseek.functions.text import content_words, join_words
 from lineseek.operators.keyword import document_frequency, postings
 from lineseek.operators.lemmas import lemmatise
 from lineseek.operators.vectors import DEFAULT_DIM, attach_vectors
-from lineseek.session import materialise
+from lineseek.session import materialise, remove, scratch_run
 from lineseek.sources import index as store
 from lineseek.sources.jsonl import read_documents
 
@@ -93,22 +93,33 @@ def save_index(
     Vectors come from the given tables ``(id, vec)`` or from ``embed``, which maps
     processed texts to vectors; texts without a vector get zeros. Entries are
     written first and every later table is derived from the stored ones, so
-    texts are prepared once. Metadata comes last.
+    texts are prepared once. The metadata row comes last and puts the build in
+    force; a build that fails leaves the one before as it was.
     """
     spark = documents.sparkSession
-    n_docs = documents.count()
-    entries = store.write_entries(_processed(documents, lemmas), output_dir, n_docs)
-    if embed is not None:
-        content_vectors = embed(entries.select("id", F.col("processed_content").alias("text")))
-        if title_boost:
-            title_vectors = embed(entries.select("id", F.col("processed_title").alias("text")))
-    store.write_signals(signals_of(entries, content_vectors, title_vectors, title_boost, dim), output_dir)
-    posted = store.write_postings(entries, output_dir, n_docs)
-    store.write_terms(posted, output_dir, n_docs)
-    words = posted.agg(F.sum("tf")).first()[0] or 0
-    store.write_metadata(
-        spark, output_dir, source_file=source_file, content_field=content_field, title_field=title_field,
-        model=model, title_boost=title_boost, entry_count=n_docs, avg_doc_len=words / n_docs if n_docs else 0.0,
+    build = store.new_build(output_dir)
+    try:
+        with scratch_run(spark):
+            n_docs = documents.count()
+            entries = store.write_entries(_processed(documents, lemmas), build, n_docs)
+            if embed is not None:
+                content_vectors = embed(entries.select("id", F.col("processed_content").alias("text")))
+                if title_boost:
+                    title_vectors = embed(entries.select("id", F.col("processed_title").alias("text")))
+            signals = store.write_signals(
+                signals_of(entries, content_vectors, title_vectors, title_boost, dim), build
+            )
+            posted = store.write_postings(entries, build, n_docs)
+            terms = store.write_terms(posted, build, n_docs)
+            words = posted.agg(F.sum("tf")).first()[0] or 0
+    except Exception:
+        remove(spark, build)
+        raise
+    written = {"entries": entries, "signals": signals, "postings": posted, "terms": terms}
+    store.publish(
+        spark, output_dir, build, {name: table.schema for name, table in written.items()},
+        source_file=source_file, content_field=content_field, title_field=title_field, model=model,
+        title_boost=title_boost, entry_count=n_docs, avg_doc_len=words / n_docs if n_docs else 0.0,
     )
     return output_dir
 
@@ -132,17 +143,19 @@ def build_index(
 
     ``model`` is a label kept in the metadata.
     """
-    return save_index(
-        read_documents(spark, path, content_field, title_field),
-        output_dir,
-        content_vectors=content_vectors,
-        title_vectors=title_vectors,
-        embed=embed,
-        title_boost=title_boost,
-        dim=dim,
-        lemmas=lemmas,
-        source_file=path.rstrip("/").rsplit("/", 1)[-1],
-        content_field=content_field,
-        title_field=title_field,
-        model=model,
-    )
+    with scratch_run(spark):
+        documents = read_documents(spark, path, content_field, title_field)
+        return save_index(
+            documents,
+            output_dir,
+            content_vectors=content_vectors,
+            title_vectors=title_vectors,
+            embed=embed,
+            title_boost=title_boost,
+            dim=dim,
+            lemmas=lemmas,
+            source_file=path.rstrip("/").rsplit("/", 1)[-1],
+            content_field=content_field,
+            title_field=title_field,
+            model=model,
+        )

@@ -14,7 +14,8 @@ from lineseek.operators.ranking import add_keyword, add_query, drop_outranked, s
 from lineseek.plans.build import Embed
 from lineseek.session import broadcast_if_few, materialise
 from lineseek.sources.index import Index, id_block, load_index
-PAIRS_PER_TASK = 5_000
+
+PAIRS_PER_TASK, TASKS_PER_CORE = 5_000, 8
 
 
 def _query_vectors(queries: DataFrame, embed: Embed | None, lemmas: DataFrame | None) -> DataFrame:
@@ -75,7 +76,10 @@ def search(
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
-    texts = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
+    spark = queries.sparkSession
+    # Written once: vectors may come from a model or another source that can't repeat itself.
+    vectors = materialise(_query_vectors(queries, embed, lemmas), "queries")
+    texts = vectors.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
     n_queries = texts.count()
     margin = 1e-9 if decimals is None else 10.0**-decimals
     # Written once: the scores set the bounds of the scan and complete its pairs.
@@ -90,7 +94,7 @@ def search(
     )
     found = candidate_pairs(
         index.signals,
-        _query_vectors(queries, embed, lemmas),
+        vectors,
         semantic_weight=semantic_weight,
         title_weight=title_weight,
         keyword_weight=1.0 - semantic_weight,
@@ -102,10 +106,12 @@ def search(
     )
     pairs = materialise(found, "pairs")
     n_pairs = pairs.count()
-    # Edit distances cost far more than the bytes of a pair: deal them out evenly.
-    dealt = pairs.repartition(n_pairs // PAIRS_PER_TASK + 1, "query_id", "id")
+    # Edit distances cost far more than the bytes of a pair: deal them out evenly,
+    # to a few tasks per core.
+    tasks = min(n_pairs // PAIRS_PER_TASK + 1, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    dealt = pairs.repartition(tasks, "query_id", "id")
     rated = add_query(add_keyword(dealt, hits, n_pairs), texts, n_queries)
-    if limit and n_pairs > PAIRS_PER_TASK:
+    if limit:
         rated = drop_outranked(rated, limit, semantic_weight, title_weight, margin, n_queries)
     scored = score_pairs(rated, semantic_weight, title_weight, decimals)
     n_results = None if limit is None else limit * n_queries

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,24 +15,61 @@ BROADCAST_ROWS = 200_000  # narrow rows that may be sent to every task
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 _local_dir: str | None = None
+_owned: list[list[str]] = []  # paths made within each open ``scratch_run``
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only in local mode with the setting absent.
+    Only where all tasks run inside this machine's one JVM, and the setting is
+    absent, is it a temporary folder.
     """
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="lineseek-")
     return _local_dir
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever store it lies; nothing happens if it isn't there."""
+    files, hadoop = _file_system(spark, path)
+    files.delete(hadoop, True)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder. It is removed when the enclosing
+    ``scratch_run`` ends, or else with the session's JVM."""
+    path = f"{shared_dir(spark)}/lineseek-{label}-{uuid.uuid4().hex}"
+    files, hadoop = _file_system(spark, path)
+    files.deleteOnExit(hadoop)
+    if _owned:
+        _owned[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Owner of the tables materialised inside: all are removed at its end, also
+    after an error. For runs whose result is written, not for lazy results."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            remove(spark, path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -39,10 +77,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     that depends on scan order) or where recomputing would repeat a full scan.
     The table also gives Catalyst a true size to plan joins with.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lineseek/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

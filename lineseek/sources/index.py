@@ -4,24 +4,31 @@
 * ``signals``   id, title, content_vec, title_vec: what every search scans
 * ``postings``  doc_id, term, tf, doc_len; split by a hash of the term
 * ``terms``     term, df, idf; split the same way
-* ``metadata``  one row
+* ``metadata``  one row per build; the latest names the folder of the other tables
+
+A build writes its tables to a folder of its own and then adds its metadata row.
+Until that row is there, and if a build fails, searches use the build before.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lineseek.operators.keyword import document_frequency, postings, term_bucket
 from lineseek.functions.text import split_words
+from lineseek.operators.keyword import document_frequency, postings, term_bucket
+from lineseek.session import remove
 
 DOCS_PER_TERM_BUCKET = 100_000
 DOCS_PER_ID_BLOCK = 100_000
 MAX_PARTITIONS = 4096
-BUCKET_SALTS = 32
+TABLES = ("entries", "signals", "postings", "terms")
 
 
 class Index(NamedTuple):
@@ -44,7 +51,9 @@ def _write(df: DataFrame, output_dir: str, table: str, *partition_by: str) -> Da
     writer = df.write.mode("overwrite")
     path = f"{output_dir}/{table}"
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    columns = [field for field in df.schema if field.name not in partition_by]
+    columns += [df.schema[name] for name in partition_by]
+    return df.sparkSession.read.schema(StructType(columns)).parquet(path)
 
 
 def write_entries(entries: DataFrame, output_dir: str, n_docs: int) -> DataFrame:
@@ -61,9 +70,9 @@ def write_signals(signals: DataFrame, output_dir: str) -> DataFrame:
 def write_postings(entries: DataFrame, output_dir: str, n_docs: int) -> DataFrame:
     """Postings of stored entries, clustered by term.
 
-    The one shuffle spreads each term bucket over several tasks by document, so a
-    term found in a large part of all documents is not one task's work; sorting
-    by term inside each file lets Parquet encode and skip it well.
+    The one shuffle gathers term buckets into tasks of even size: adaptive
+    execution splits a bucket, even one term, by the bytes it turns out to hold.
+    Sorting by term inside each file lets Parquet encode and skip it well.
     """
     buckets = term_buckets(n_docs)
     words = entries.select(
@@ -72,8 +81,7 @@ def write_postings(entries: DataFrame, output_dir: str, n_docs: int) -> DataFram
         split_words(F.col("processed_title")).alias("title_tokens"),
     )
     placed = postings(words).withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-    salt = F.pmod(F.hash("doc_id"), F.lit(BUCKET_SALTS))
-    spread = placed.repartition("term_bucket", salt).sortWithinPartitions("term_bucket", "term", "doc_id")
+    spread = placed.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "doc_id")
     return _write(spread, output_dir, "postings", "term_bucket")
 
 
@@ -83,10 +91,18 @@ def write_terms(stored_postings: DataFrame, output_dir: str, n_docs: int) -> Dat
     return _write(placed, output_dir, "terms", "term_bucket")
 
 
-def write_metadata(
-    spark: SparkSession, output_dir: str, *, source_file: str, content_field: str, title_field: str,
-    model: str, title_boost: bool, entry_count: int, avg_doc_len: float,
-) -> DataFrame:
+def new_build(output_dir: str) -> str:
+    """Folder for the tables of one build."""
+    return f"{output_dir}/build-{uuid.uuid4().hex}"
+
+
+def publish(
+    spark: SparkSession, output_dir: str, build_dir: str, schemas: dict[str, StructType], *, source_file: str,
+    content_field: str, title_field: str, model: str, title_boost: bool, entry_count: int, avg_doc_len: float,
+) -> None:
+    """Adds the metadata row that makes a finished build the one in force, and
+    removes the build before it."""
+    older = [row["build"] for row in _builds(spark, output_dir).collect()] if _exists(spark, output_dir) else []
     row = spark.range(1).select(
         F.current_timestamp().alias("created_at"),
         F.lit(source_file).alias("source_file"),
@@ -98,8 +114,29 @@ def write_metadata(
         F.lit(avg_doc_len).cast("double").alias("avg_doc_len"),
         F.lit(term_buckets(entry_count)).alias("term_buckets"),
         F.lit(docs_per_block(entry_count)).cast("bigint").alias("docs_per_block"),
+        F.lit(build_dir.rsplit("/", 1)[-1]).alias("build"),
+        F.to_json(F.create_map(*(F.lit(x) for name in TABLES for x in (name, schemas[name].json())))).alias("schemas"),
     )
-    return _write(row, output_dir, "metadata")
+    row.write.mode("append").parquet(f"{output_dir}/metadata")
+    for build in older:
+        remove(spark, f"{output_dir}/{build}")
+
+
+def _exists(spark: SparkSession, output_dir: str) -> bool:
+    try:
+        _builds(spark, output_dir)
+    except FileNotFoundError:
+        return False
+    return True
+
+
+def _builds(spark: SparkSession, index_dir: str) -> DataFrame:
+    try:
+        return spark.read.parquet(f"{index_dir}/metadata")
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise FileNotFoundError(f"Index not found in {index_dir}") from error
+        raise
 
 
 def term_buckets(n_docs: int) -> int:
@@ -115,22 +152,27 @@ def docs_per_block(n_docs: int) -> int:
 
 
 def read_metadata(spark: SparkSession, index_dir: str) -> DataFrame:
-    return _read(spark, index_dir, "metadata")
+    """The row of the build in force."""
+    return _builds(spark, index_dir).orderBy(F.col("created_at").desc(), "build").limit(1)
 
 
-def _read(spark: SparkSession, index_dir: str, table: str) -> DataFrame:
+def load_index(spark: SparkSession, index_dir: str) -> Index:
+    """Tables of a stored index; ``Index not found`` if any part is missing."""
+    meta = read_metadata(spark, index_dir).first()
+    if meta is None:
+        raise FileNotFoundError(f"Index not found in {index_dir}")
+    schemas = json.loads(meta["schemas"])
     try:
-        return spark.read.parquet(f"{index_dir}/{table}")
+        tables = [
+            spark.read.schema(StructType.fromJson(json.loads(schemas[name]))).parquet(
+                f"{index_dir}/{meta['build']}/{name}"
+            )
+            for name in TABLES
+        ]
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Index not found in {index_dir}") from error
         raise
-
-
-def load_index(spark: SparkSession, index_dir: str) -> Index:
-    """Tables of a stored index; ``Index not found`` if any part is missing."""
-    tables = [_read(spark, index_dir, name) for name in ("entries", "signals", "postings", "terms")]
-    meta = read_metadata(spark, index_dir).first()
     return Index(
         *tables,
         n_docs=F.lit(meta["entry_count"]),

@@ -129,9 +129,7 @@ def test_field_filter_keeps_totals(lines_of):
     assert fields == {"a": ("number", 25, 1, 0), "b": ("string", 50, 1, 2)}
 
 
-@pytest.mark.parametrize("largest_merge", [100_000, 5])
-def test_sample_is_a_prefix(lines_of, monkeypatch, largest_merge):
-    monkeypatch.setattr(profiling, "SMALL_SAMPLE", largest_merge)
+def test_sample_is_a_prefix(lines_of):
     lines = ["{bad"] + ['{"a":"%d"}' % i for i in range(40)] + ['{"late":1}'] * 10
     fields, total = profile(lines_of(lines).repartition(3), sample_size=20)
     assert total == 20

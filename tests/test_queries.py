@@ -17,7 +17,7 @@ def connection():
     return compare.duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", entry_points.queries())
+@pytest.mark.parametrize("name", compare.QUERIES)
 def test_query_equals_sql(spark, connection, name):
     ok, note = compare.compare(spark, connection, SF_DIR, name)
     assert ok, note
@@ -25,8 +25,8 @@ def test_query_equals_sql(spark, connection, name):
 
 def test_oracle_names_are_queries():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    without = set(entry_points.queries()) - set(entry_points.oracle_sql())
-    assert without == {"nearest_approx", "word2vec_embed", "nearest_words"}
+    assert set(compare.QUERIES) - set(compare.ORACLE) == set(compare.PROPERTIES)
+    assert set(compare.QUERIES) <= set(entry_points.queries())
 
 
 def test_entry(spark):

@@ -199,7 +199,8 @@ def test_missing_index(spark, tmp_path):
         search_index(spark, "q", str(tmp_path / "none"))
     documents, content, title = tables(spark)
     folder = save_index(documents, str(tmp_path / "index"), content_vectors=content, title_vectors=title, dim=DIM)
-    (tmp_path / "index" / "postings").rename(tmp_path / "index" / "moved")
+    build = next((tmp_path / "index").glob("build-*"))
+    (build / "postings").rename(build / "moved")
     with pytest.raises(FileNotFoundError, match="Index not found in"):
         search_index(spark, "q", folder)
 
@@ -242,3 +243,50 @@ def test_embed_function_supplies_all_vectors(spark, tmp_path):
     plain = Corpus([(d[0], d[1], d[2], counts(d[2]), counts(d[1])) for d in DOCS])
     want = plain.search("alpha alpha beta", [2.0, 1.0], threshold=None, limit=5)
     assert [i for i, _ in ranked(rows)[0]] == [i for i, _ in want]
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_query_ids_of_any_type(spark, index, kind):
+    plain = ranked(search(index, asked(spark), limit=3, decimals=6))
+    typed = asked(spark).withColumn("query_id", F.col("query_id").cast(kind))
+    got = ranked(search(index, typed, limit=3, decimals=6))
+    assert {str(q): rows for q, rows in got.items()} == {str(q): rows for q, rows in plain.items()}
+
+
+def test_input_without_documents_gives_an_empty_index(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_text('{"title":"x"}\nnot json\n')
+    index_dir = build_index(spark, str(tmp_path / "bad.jsonl"), str(tmp_path / "index"), dim=DIM)
+    assert search_index(spark, "x", index_dir, threshold=None).collect() == []
+
+
+def test_a_failed_rebuild_leaves_the_index_as_it_was(spark, tmp_path):
+    lines, target = tmp_path / "a.jsonl", str(tmp_path / "index")
+    lines.write_text('{"title":"first","content":"alpha beta"}\n')
+    build_index(spark, str(lines), target, dim=DIM)
+    lines.write_text('{"title":"second","content":"gamma delta"}\n{"title":"third","content":"gamma"}\n')
+
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    with pytest.raises(RuntimeError):
+        build_index(spark, str(lines), target, dim=DIM, embed=broken)
+    assert [row.title for row in search_index(spark, "alpha", target, threshold=None).collect()] == ["first"]
+    assert len(list((tmp_path / "index").glob("build-*"))) == 1
+    build_index(spark, str(lines), target, dim=DIM)
+    assert len(search_index(spark, "gamma", target, threshold=None).collect()) == 2
+    assert len(list((tmp_path / "index").glob("build-*"))) == 1
+    assert store.read_metadata(spark, target).first().entry_count == 2
+
+
+def test_a_build_leaves_no_scratch_tables(spark, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{shared}")
+    (tmp_path / "a.jsonl").write_text('{"title":"first","content":"alpha beta"}\n')
+    lemmas = spark.createDataFrame([("alpha", "alph")], "token string, lemma string")
+    build_index(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "index"), dim=DIM, lemmas=lemmas)
+    assert list(shared.iterdir()) == []
+    with pytest.raises(RuntimeError), session.scratch_run(spark):
+        session.materialise(spark.range(3), "rows")
+        raise RuntimeError
+    assert list(shared.iterdir()) == []

@@ -9,8 +9,8 @@ from lineseek.functions.text import (
     remove_stopwords,
     tokenise,
 )
-from lineseek.operators import lemmas as lemma_module
 from lineseek.operators.lemmas import lemmatise
+from lineseek.operators.query import query_terms
 
 TEXTS = {
     "Ünïcode's … naïve_x 3.14": "n code s na ve_x 3 14",
@@ -43,12 +43,24 @@ def test_pipeline(spark):
     assert [r[0] for r in df.select(join_words(content_words(F.col("t")))).collect()] == ["cats dogs", "", ""]
 
 
-def test_lemmas_by_lookup_and_by_join_agree(spark, monkeypatch):
-    rows = [(1, ["cats", "run", "cats", "ran"]), (2, []), (3, ["mice"]), (4, ["zz", "ran"]), (5, None)]
-    df = spark.createDataFrame(rows, "id bigint, words array<string>").repartition(3)
-    table = spark.createDataFrame([("cats", "cat"), ("ran", "run"), ("mice", "mouse")], "token string, lemma string")
-    expected = {1: ["cat", "run", "cat", "run"], 2: [], 3: ["mouse"], 4: ["zz", "run"], 5: []}
-    assert {r.id: r.words for r in lemmatise(df, "words", table).collect()} == expected
-    monkeypatch.setattr(lemma_module, "DICTIONARY_ROWS", 2)
-    assert {r.id: r.words for r in lemmatise(df, "words", table).collect()} == expected
+def test_lemmas(spark):
+    rows = [(1, ["cats", "run", "cats", "ran"]), (2, []), (3, ["mice"]), (4, ["zz", "ran"]), (5, None), (1, ["ran"]), (1, ["ran"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, words array<string>").repartition(3)
+    table = spark.createDataFrame(
+        [("cats", "cat"), ("ran", "run"), ("mice", "mouse"), ("cats", "dog"), (None, "x"), ("run", None)],
+        "token string, lemma string",
+    )
+    lemma = {"cats": "cat", "ran": "run", "mice": "mouse"}
+    want = sorted((i, [lemma.get(word, word) for word in words or []]) for i, words in rows)
+    got = lemmatise(df, "words", table)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.words) for r in got.collect()) == want
     assert lemmatise(df, "words") is df
+
+
+def test_lemmas_of_terms_keep_repeated_queries_apart(spark):
+    queries = spark.createDataFrame([(1, "cats and dogs"), (2, "cats")], "query_id bigint, query string")
+    expansions = spark.createDataFrame([(1, "mice"), (1, "near cats"), (2, "cats")], "query_id bigint, expansion string")
+    table = spark.createDataFrame([("cats", "cat"), ("mice", "mouse")], "token string, lemma string")
+    got = {(r.query_id, r.term) for r in query_terms(queries, expansions, table).collect()}
+    assert got == {(1, "cat"), (1, "dogs"), (1, "mouse"), (1, "near"), (2, "cat")}
