@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import normalise, tokenise
 from lineseek.plans.build import index_tables
-from lineseek.session import shared_dir
+from lineseek.session import scratch_path
 from lineseek.sources.index import Index
 
 DIM = 64
@@ -67,9 +65,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(vectors, "query_id", "left")
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
+def index(spark: SparkSession, sf_dir: str, **options) -> Index:
     return index_tables(
-        documents(spark, sf_dir), content_vectors(spark, sf_dir), title_vectors(spark, sf_dir), dim=DIM
+        documents(spark, sf_dir), content_vectors(spark, sf_dir), title_vectors(spark, sf_dir), dim=DIM, **options
     )
 
 
@@ -118,7 +116,7 @@ def written_lines(spark: SparkSession, sf_dir: str) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lineseek/{label}-{uuid.uuid4().hex}"
+    return scratch_path(spark, label)
 
 
 def typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from lineseek.functions.text import ENGLISH_STOPWORDS
+# Spark ML's default English stopwords, kept here so that the SQL
+# doesn't depend on the code it checks.
+ENGLISH_STOPWORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his
+himself she her hers herself it its itself they them their theirs themselves what
+which who whom this that these those am is are was were be been being have has had
+having do does did doing a an the and but if or because as until while of at by for
+with about against between into through during before after above below to from up
+down in out on off over under again further then once here there when where why how
+all any both each few more most other some such no nor not only own same so than too
+very s t can will just don should now i'll you'll he'll she'll we'll they'll i'd
+you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've
+you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't
+didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's
+how's let's ought that's there's what's when's where's who's why's would
+""".split()
 
 STOP = ", ".join("'" + word.replace("'", "''") + "'" for word in ENGLISH_STOPWORDS)
 
@@ -183,6 +198,51 @@ lines AS (
 """
 
 
+LINE_FIELDS = """
+entries AS (SELECT doc_id AS pos, doc_id % 10 AS k, * FROM documents WHERE doc_id % 10 <> 0),
+fields AS (
+  SELECT pos, 'title' AS field, 'string' AS type, length(source) AS len, source AS short
+  FROM entries WHERE k = 1 OR k >= 5
+  UNION ALL SELECT pos, 'title', 'number', 1, NULL FROM entries WHERE k = 4
+  UNION ALL SELECT pos, 'content', 'number', length(CAST(n_chars AS VARCHAR)), NULL FROM entries WHERE k = 2
+  UNION ALL SELECT pos, 'content', 'string', length(text), CASE WHEN length(text) < 100 THEN text END
+  FROM entries WHERE k >= 4)
+"""
+SIZE = """
+  SELECT bytes, CASE WHEN bytes < 1024 THEN printf('%.2f B', bytes::DOUBLE)
+                WHEN bytes < 1048576 THEN printf('%.2f KB', bytes / 1024.0::DOUBLE)
+                WHEN bytes < 1073741824 THEN printf('%.2f MB', bytes / 1048576.0::DOUBLE)
+                WHEN bytes < 1099511627776 THEN printf('%.2f GB', bytes / 1073741824.0::DOUBLE)
+                ELSE printf('%.2f TB', bytes / 1099511627776.0::DOUBLE) END AS file_size
+  FROM (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM lines)
+"""
+LINE_CORPUS = """
+corpus AS (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, text AS content, source AS title
+  FROM documents WHERE doc_id % 10 >= 5 AND text <> '')
+"""
+NO_VECTORS = "vectors AS (SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings WHERE false)"
+
+
+def _lemma_of(term: str) -> str:
+    return f"CASE WHEN {term} LIKE '%s' AND length({term}) >= 4 THEN left({term}, length({term}) - 1) ELSE {term} END"
+
+
+LEMMA_POSTINGS = POSTINGS.replace(
+    "SELECT doc_id, term, CAST(sum(weight)", f"SELECT doc_id, {_lemma_of('words.term')} AS term, CAST(sum(weight)"
+).replace("GROUP BY doc_id, term),\nlengths", "GROUP BY ALL),\nlengths")
+LEMMA_QUERY_TERMS = f"""
+{VOCABULARY},
+asked AS (SELECT item_id AS query_id, unnest({_kept("text")}) AS term FROM benchmark),
+query_words AS (
+  SELECT DISTINCT query_id,
+         CASE WHEN term IN (SELECT token FROM vocabulary) THEN {_lemma_of("term")} ELSE term END AS term
+  FROM asked)
+"""
+OTHER_WEIGHTS = HYBRID.replace("0.7::DOUBLE", "0.5::DOUBLE").replace("0.3::DOUBLE", "0.6::DOUBLE")
+NO_TITLE_VECTORS = HYBRID.replace("t.vec AS title_vec", "NULL::DOUBLE[] AS title_vec")
+
+
 def _listed(tokens: str) -> str:
     return (
         f"SELECT doc_id, CAST(len(l) AS INTEGER) AS n_tokens, array_to_string(l, ' ') AS tokens "
@@ -255,13 +315,26 @@ ORACLE: dict[str, str] = {
     "jsonl_rejects": """SELECT doc_id AS pos, CASE doc_id % 10 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'no_content'
                                WHEN 2 THEN 'not_string' WHEN 3 THEN 'bad_entry' ELSE 'not_string' END AS reason
                         FROM documents WHERE doc_id % 10 < 5""",
-    "dataset_size": _with(LINES)
-    + """SELECT bytes, CASE WHEN bytes < 1024 THEN printf('%.2f B', bytes::DOUBLE)
-                WHEN bytes < 1048576 THEN printf('%.2f KB', bytes / 1024.0::DOUBLE)
-                WHEN bytes < 1073741824 THEN printf('%.2f MB', bytes / 1048576.0::DOUBLE)
-                WHEN bytes < 1099511627776 THEN printf('%.2f GB', bytes / 1073741824.0::DOUBLE)
-                ELSE printf('%.2f TB', bytes / 1099511627776.0::DOUBLE) END AS file_size
-         FROM (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM lines)""",
+    "dataset_size": _with(LINES) + SIZE,
+    "analyze_files": _with(LINES, LINE_FIELDS)
+    + f"""SELECT p.*, (SELECT count(*) FROM entries) AS total_entries, s.file_size
+          FROM (WITH {PROFILE.strip()}) p, ({SIZE}) s""",
+    "lines_to_search": _ranked((LINE_CORPUS, POSTINGS, QUERY_TERMS, TFIDF, RELEVANCE, NO_VECTORS, HYBRID), None),
+    "search_no_title_boost": _ranked(
+        (CORPUS, POSTINGS, QUERY_TERMS, TFIDF, RELEVANCE, VECTORS, NO_TITLE_VECTORS), None
+    ),
+    "search_weights": _ranked((CORPUS, POSTINGS, QUERY_TERMS, TFIDF, RELEVANCE, VECTORS, OTHER_WEIGHTS), None),
+    "search_lemmas": _ranked(
+        (CORPUS, LEMMA_POSTINGS, LEMMA_QUERY_TERMS, TFIDF, RELEVANCE, VECTORS, HYBRID), None
+    ),
+    "hashed_embed": f"""
+      WITH words AS (SELECT doc_id AS id, md5(unnest({_kept("text")})) AS h FROM documents),
+      slots AS (SELECT id, CAST('0x' || substr(h, 1, 6) AS BIGINT) % 64 AS slot,
+                       sum(CASE WHEN substr(h, 7, 1) < '8' THEN 1 ELSE -1 END) AS v FROM words GROUP BY ALL)
+      SELECT doc_id AS id, CAST(64 AS INTEGER) AS dim,
+             round(coalesce(any_value(total), 0) / coalesce(nullif(any_value(norm), 0), 1), 3) AS weighted
+      FROM documents LEFT JOIN (SELECT id, sum(v * (slot + 1))::DOUBLE AS total, sqrt(sum(v * v)::DOUBLE) AS norm
+                                FROM slots GROUP BY id) ON id = doc_id GROUP BY doc_id""",
     "index_roundtrip": _ranked(HYBRID_ALL, None),
     "index_metadata": _with(CORPUS, POSTINGS)
     + """SELECT 'documents.parquet' AS source_file, 'content' AS content_field, 'title' AS title_field,

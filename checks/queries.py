@@ -18,13 +18,15 @@ from lineseek.operators.ranking import result_view, title_match
 from lineseek.operators.vectors import (
     attach_vectors,
     embed_texts,
+    hashed_vectors,
     nearest_approx,
     nearest_exact,
     train_word_vectors,
     word_vectors,
 )
-from lineseek.plans.build import save_index, signals_of, tokenised
-from lineseek.plans.search import keyword_scores, search
+from lineseek.plans.analyze import analyze
+from lineseek.plans.build import build_index, save_index, signals_of, tokenised
+from lineseek.plans.search import keyword_scores, search, search_index
 from lineseek.sources.index import load_index, read_metadata
 from lineseek.sources.jsonl import dataset_size, entries_of, read_documents, rejected_lines
 
@@ -141,6 +143,14 @@ def approx_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_approx(_document_vectors(spark, sf_dir), corpus.queries(spark, sf_dir), LIMIT)
 
 
+def hashed_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = preprocess_text(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("processed").alias("text"))
+    weighted = F.aggregate(
+        F.transform("vec", lambda x, place: x.cast("double") * (place + 1)), F.lit(0.0), lambda total, x: total + x
+    )
+    return hashed_vectors(texts, dim=corpus.DIM).select("id", F.size("vec").alias("dim"), F.round(weighted, 3).alias("weighted"))
+
+
 def _word_model(spark: SparkSession, sf_dir: str):
     texts = corpus.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), content_words(F.col("text")).alias("words")
@@ -219,6 +229,22 @@ def expanded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(_search(spark, sf_dir, threshold=0.1, limit=LIMIT, synonyms=synonyms))
 
 
+def search_no_title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = corpus.index(spark, sf_dir, title_boost=False)
+    return _ranked(search(index, corpus.queries(spark, sf_dir), threshold=None, limit=LIMIT, decimals=DECIMALS))
+
+
+def search_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(_search(spark, sf_dir, threshold=None, limit=LIMIT, semantic_weight=0.5, title_weight=0.6))
+
+
+def search_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lemmas = corpus.lemmas(spark, sf_dir)
+    index = corpus.index(spark, sf_dir, lemmas=lemmas)
+    asked = corpus.queries(spark, sf_dir)
+    return _ranked(search(index, asked, threshold=None, limit=LIMIT, decimals=DECIMALS, lemmas=lemmas))
+
+
 # -- profile -------------------------------------------------------------------
 
 def _profile(lines: DataFrame, **options) -> DataFrame:
@@ -265,6 +291,20 @@ def size_of_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_size(spark, corpus.written_lines(spark, sf_dir))
 
 
+def analyze_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to report: fields with the totals of the collection."""
+    report = analyze(spark, corpus.written_lines(spark, sf_dir))
+    totals = report.summary.select("total_entries", "file_size").first()
+    return report.fields.select("*", *(F.lit(totals[name]).alias(name) for name in ("total_entries", "file_size")))
+
+
+def lines_to_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to stored index to results, by text alone."""
+    index_dir = build_index(spark, corpus.written_lines(spark, sf_dir), corpus.scratch(spark, "lines-index"), dim=corpus.DIM)
+    asked = corpus.queries(spark, sf_dir).select("query_id", "query")
+    return _ranked(search_index(spark, asked, index_dir, threshold=None, limit=LIMIT, decimals=DECIMALS))
+
+
 def _saved_index(spark: SparkSession, sf_dir: str) -> str:
     return save_index(
         corpus.documents(spark, sf_dir),
@@ -314,6 +354,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_view": search_view,
     "bm25_search": bm25_search,
     "expanded_search": expanded_search,
+    "search_no_title_boost": search_no_title_boost,
+    "search_weights": search_weights,
+    "search_lemmas": search_lemmas,
+    "hashed_embed": hashed_embed,
+    "analyze_files": analyze_files,
+    "lines_to_search": lines_to_search,
     "profile_documents": profile_documents,
     "profile_props": profile_props,
     "profile_types": profile_types,
