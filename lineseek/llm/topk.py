@@ -27,6 +27,7 @@ SCALE = 256.0
 BLOCK_BYTES = 2 << 20
 QUERIES_PER_BLOCK = 256
 FIRST_DEPTH = 64
+LONGS = np.iinfo(np.int64)
 
 BLOCK_SCHEMA = "dim int, block bigint, ids binary, vectors binary"
 
@@ -71,6 +72,12 @@ def blocks(vectors: DataFrame, rows_per_block: int | None = None) -> DataFrame:
     return vectors.mapInArrow(pack, BLOCK_SCHEMA)
 
 
+def _as_long(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        scores = np.clip(scores, LONGS.min, LONGS.max)
+    return scores.astype(np.int64)
+
+
 class SortedLists:
     """A block with its rows in the order of each dimension, and the values in that order."""
 
@@ -96,7 +103,7 @@ class SortedLists:
             else:
                 fresh = np.flatnonzero(unseen)
             unseen[fresh] = False
-            scored = (self.matrix[fresh] @ query).astype(np.int64)
+            scored = _as_long(self.matrix[fresh] @ query)
             if len(scores) == k:
                 good = scored >= scores[-1]
                 fresh, scored = fresh[good], scored[good]
@@ -106,7 +113,7 @@ class SortedLists:
             if upto == n:
                 break
             edge = np.where(query < 0, self.sorted[:, upto - 1], self.sorted[:, n - upto])
-            if len(scores) == k and edge @ query < scores[-1]:
+            if len(scores) == k and edge @ query < scores[-1] < LONGS.max:
                 break
             depth, upto = upto, 3 * upto
         return ids, scores
@@ -162,6 +169,7 @@ def top_k(
     infinity, and rows without an id take no part; vectors are compared with
     those of their own length. Rows repeated exactly count once, on either side;
     an id with several vectors is several candidates, never its own query's.
+    Scores beyond 64 bits are held at that limit, and so tie.
     Other columns don't matter. Empty tables give no rows.
     """
 

@@ -23,10 +23,10 @@ def brute(rows, asked, k):
 
 def rows_of(rng):
     rows = [(i, [round(rng.gauss(0, 1), 2) for _ in range(6)]) for i in range(150)]
-    rows += [(i, [1.0, 0, 0, 0, 0, 0]) for i in range(200, 240)]
-    rows += [(300, None), (301, [1.0, None, 0, 0, 0, 0]), (302, [float("nan")] * 6), (303, [float("inf")] + [0.0] * 5)]
+    rows += [(i, [1.0] + [0.0] * 5) for i in range(200, 240)]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] + [0.0] * 5)]
     rows += [(304, []), (305, []), (306, [0.5, 0.25]), (307, [0.0] * 6), (None, [9.0] * 6), (5, rows[5][1])]
-    rows += [(308, [1e9, -1e9, 1e9, 0, 0, 0]), (309, [1e9, 0, 0, 0, 0, 1e9])]
+    rows += [(308, [1e6, -1e6, 1e6, 0.0, 0.0, 0.0]), (309, [1e6, 0.0, 0.0, 0.0, 0.0, 1e6])]
     return rows
 
 
@@ -59,6 +59,13 @@ def test_lists_stop_early(rng):
     assert (ids[0], scores[0]) == (7, 1800) and sum(read) < 300
 
 
+def test_huge_components_hold_at_the_limit(spark):
+    rows = [(0, [1e300, -1e300]), (1, [1e300, -1e300]), (2, [1e18, 1e18]), (3, [1.0, -1.0])]
+    df = spark.createDataFrame([(*row, 1, "b", "i", 0.5) for row in rows], SCHEMA)
+    got = [(r.query_id, r.vec_id, r.score) for r in top_k(df, df.where("vec_id = 0"), 2).orderBy("rank").collect()]
+    assert got[0] == (0, 1, 2**63 - 1) and len(got) == 2
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert top_k(df, df).collect() == []
