@@ -11,6 +11,7 @@ from lineseek.sources.jsonl import running_start
 
 SHORT_TEXT = 100  # only strings shorter than this count as distinct values
 DISTINCT_CAP = 1000  # more distinct values than this are reported as null
+HASH_BUCKETS = 16_384
 
 
 def head_sample(entries: DataFrame, size: int | None) -> DataFrame:
@@ -73,49 +74,50 @@ def _described(exploded: DataFrame) -> DataFrame:
 def _field_totals(exploded: DataFrame) -> DataFrame:
     """One row per field (and one for the null field) with mergeable totals.
 
-    Grouping by (field, type, short value) first makes every aggregate a plain
-    sum over fixed-width buffers that combines before the shuffle, so a field
-    present in every entry, or a value shared by most of them, stays cheap.
+    Short strings count by their hash, in a fixed number of hash buckets per
+    field and type, so an id-like field is not moved value by value. A bucket
+    whose least and largest hash agree holds one value (hashes have 64 bits).
+    All buffers are of fixed width and combine before the shuffle.
     """
-    by_value = _described(exploded).groupBy("field", "type", "short").agg(
-        F.count("*").alias("n"),
-        F.sum("length").alias("length"),
-        F.sum(F.col("opens_entry").cast("bigint")).alias("opens"),
-    )
-    by_type = by_value.groupBy("field", "type").agg(
-        F.sum("n").alias("n"),
-        F.sum("length").alias("length"),
-        F.sum("opens").alias("opens"),
-        F.count("short").alias("distinct_short"),
+    hashed = F.when(F.col("short").isNotNull(), F.xxhash64("short"))
+    by_bucket = (
+        _described(exploded)
+        .select("field", "type", "length", "opens_entry", hashed.alias("hash"))
+        .groupBy("field", "type", F.pmod("hash", F.lit(HASH_BUCKETS)).alias("bucket"))
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("length").alias("length"),
+            F.sum(F.col("opens_entry").cast("bigint")).alias("opens"),
+            F.min("hash").alias("least"),
+            F.max("hash").alias("largest"),
+        )
     )
-    return by_type.groupBy("field").agg(
+    return by_bucket.groupBy("field").agg(
         F.min("type").alias("type"),
         F.max("type").alias("other_type"),
         F.sum("n").alias("n"),
         F.sum("length").alias("length"),
         F.sum("opens").alias("opens"),
-        F.sum("distinct_short").alias("distinct_short"),
+        F.count("bucket").alias("buckets"),
+        F.coalesce(F.sum((F.col("least") != F.col("largest")).cast("bigint")), F.lit(0)).alias("shared"),
     )
 
 
-def _full_at_last_value(exploded: DataFrame, full: DataFrame) -> DataFrame:
-    """Of the fields holding exactly the cap of distinct short strings, those
-    whose last short string appears only there.
+def _counted_values(exploded: DataFrame, fields: DataFrame) -> DataFrame:
+    """``field, values, last_n``: distinct short strings of some fields, and how
+    often the last one occurs.
 
     Tracking is given up by the next short string, even a repeat, once the cap is
     reached. So a field at the cap keeps its count only if the value completing
     it came last, that is if the last short string occurs once.
     """
-    last = F.max(F.struct("last_pos", "n")).alias("last")
     return (
-        _described(exploded.join(full, "field", "left_semi"))
+        _described(exploded.join(fields, "field", "left_semi"))
         .where(F.col("short").isNotNull())
         .groupBy("field", "short")
         .agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
         .groupBy("field")
-        .agg(last)
-        .where(F.col("last.n") == 1)
-        .select("field", F.lit(True).alias("keeps_cap"))
+        .agg(F.count("*").alias("values"), F.max_by("n", "last_pos").alias("last_n"))
     )
 
 
@@ -125,28 +127,32 @@ def profile_entries(
     """Field statistics of ``entries(pos, entry)`` and the number of entries.
 
     Returns ``field, type, coverage, avg_length, unique_values``. The entries are
-    read once; a second pass over some fields happens only if a field holds
-    exactly 1000 distinct short strings, where the order of entries decides.
+    read once; a second pass reads those fields whose distinct values two hash
+    buckets leave in doubt, or which hold exactly 1000, where the order of
+    entries decides.
     """
     exploded = explode_fields(head_sample(entries, sample_size), fields)
     totals = materialise(_field_totals(exploded), "fields")
     entry_count = totals.agg(F.sum("opens")).first()[0] or 0
 
     named = totals.where(F.col("field").isNotNull())
-    full = named.where(F.col("distinct_short") == DISTINCT_CAP).select("field")
-    n_full = full.count()
-    if n_full:
-        last_values = _full_at_last_value(exploded, broadcast_if_few(full, n_full))
-        named = named.join(last_values, "field", "left")
+    at_least = F.col("buckets") + F.col("shared")
+    doubtful = named.where((at_least <= DISTINCT_CAP) & ((F.col("shared") > 0) | (at_least == DISTINCT_CAP)))
+    n_doubtful = doubtful.count()
+    if n_doubtful:
+        counted = _counted_values(exploded, broadcast_if_few(doubtful.select("field"), n_doubtful))
+        named = named.join(counted, "field", "left")
     else:
-        named = named.withColumn("keeps_cap", F.lit(None).cast("boolean"))
+        named = named.withColumns({"values": F.lit(None).cast("bigint"), "last_n": F.lit(None).cast("bigint")})
 
-    distinct = F.col("distinct_short")
+    distinct = F.coalesce("values", at_least)
     profile = named.select(
         "field",
         F.when(F.col("type") == F.col("other_type"), F.col("type")).otherwise("mixed").alias("type"),
         F.round(F.col("n") / F.lit(entry_count) * 100).cast("bigint").alias("coverage"),
         F.round(F.col("length") / F.col("n")).cast("bigint").alias("avg_length"),
-        F.when((distinct < DISTINCT_CAP) | F.col("keeps_cap"), distinct).alias("unique_values"),
+        F.when((distinct < DISTINCT_CAP) | ((distinct == DISTINCT_CAP) & (F.col("last_n") == 1)), distinct).alias(
+            "unique_values"
+        ),
     )
     return profile, entry_count
