@@ -1,11 +1,42 @@
-"""Connected components of a table of edges, by alternating large-star and small-star steps."""
+"""Connected components of a table of edges, by alternating large-star and small-star steps.
+
+Before each step the edges are contracted in tasks of bounded size: what a task's
+own edges connect becomes a star around its least node. The fewer the tasks, the
+fewer the steps; where one task holds all edges, none is left.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineseek.llm.work import materialise
+from lineseek.llm.work import materialise, tidy
+
+EDGES_PER_TASK = 500_000
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (a: node, b: least node) that connect what the edges of a task connect."""
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if not sum(len(a) for a, _ in held):
+        return
+    ends = np.concatenate([np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])])
+    nodes, places = np.unique(ends, return_inverse=True)
+    a, b = np.split(places, 2)
+    least = np.arange(len(nodes))
+    while True:
+        one, other = least[a], least[b]
+        if (one == other).all():
+            break
+        np.minimum.at(least, np.maximum(one, other), np.minimum(one, other))
+        while (least[least] != least).any():
+            least = least[least]
+    child = np.flatnonzero(least != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[least[child]])], ["a", "b"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,6 +56,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Has every node one root at most, and no root a smaller one?"""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    )
+    both = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return both.where("child > 1 OR (child = 1 AND parent = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b; whole numbers): the least
     node it is connected with.
@@ -35,16 +75,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     allowed; no edges give no rows.
     """
     larger, smaller = F.greatest("a", "b"), F.least("a", "b")
-    edges = materialise(
-        edges.where("a <> b").select(larger.alias("a"), smaller.alias("b")).distinct(), "edges"
-    )
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("b") % 1_000_003)).first()
-        if state == before or not state[0]:
-            break
-        before = state
-        edges = materialise(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+    edges = edges.where("a <> b").select(larger.cast("long").alias("a"), smaller.cast("long").alias("b")).distinct()
+    edges = materialise(edges, "edges")
+    settled = False
+    while not settled:
+        tasks = -(-edges.count() // EDGES_PER_TASK)
+        stars = edges.coalesce(max(1, tasks)).mapInArrow(tidy(contracted), "a bigint, b bigint")
+        if tasks > 1:
+            stars = _small_star(_large_star(stars)).distinct()
+        edges = materialise(stars, "edges")
+        settled = tasks <= 1 or _is_settled(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lineseek.llm.components import connected_components
 from lineseek.llm.rolling import Hashed, mixed, utf8
 from lineseek.llm.tokens import slices
-from lineseek.llm.work import materialise
+from lineseek.llm.work import materialise, tidy, tidy_group
 
 BANDS, BINS_PER_BAND = 36, 5
 BINS = BANDS * BINS_PER_BAND
@@ -124,7 +124,7 @@ def _describe(words: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for texts in slices(batch.column(1).fill_null(""), 4 << 20):
+            for texts in slices(batch.column(1).fill_null(""), 2 << 20):
                 sets = shingle_sets(texts, words)
                 held = [place for place, hashes in enumerate(sets) if len(hashes)]
                 keys = np.zeros((0, BANDS), np.uint64)
@@ -153,21 +153,20 @@ def similar(one: int, other: np.ndarray, shared: np.ndarray, percent: int) -> np
     return 100 * shared >= percent * (one + other - shared)
 
 
-def links_within(
+def linked_groups(
     sets: list[np.ndarray], percent: int, groups: np.ndarray | None = None, asking: np.ndarray | None = None
-) -> list[tuple[int, int]]:
-    """Pairs (places in ``sets``) that are similar and share a bucket, leaving out
-    those that are in one group already or connected by pairs found before.
-    With ``asking``, one of a pair must be among these."""
+) -> np.ndarray:
+    """A group number for each set: those in one group of ``groups`` before, and
+    all that similar pairs connect. Only pairs that share a bucket and aren't in
+    one group yet are compared; with ``asking``, one of a pair must be among these."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
     hashes = np.concatenate([sets[place] for place in order])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     buckets = band_keys(signatures([sets[place] for place in order]))
-    label = (np.arange(len(sets)) if groups is None else groups)[order].copy()
+    label = (np.arange(len(sets)) if groups is None else np.unique(groups, return_inverse=True)[1])[order].copy()
     asks = np.ones(len(sets), bool) if asking is None else asking[order]
-    found = []
     for x in range(len(sets)):
         most = np.searchsorted(sizes, sizes[x] * 100 // percent, side="right")
         near = np.arange(x + 1, most)
@@ -184,12 +183,14 @@ def links_within(
         for y in near[similar(int(sizes[x]), lengths, shared, percent)]:
             if label[y] != label[x]:
                 label[label == label[y]] = label[x]
-                found.append((int(order[x]), int(order[y])))
-    return found
+    out = np.empty(len(sets), np.int64)
+    out[order] = label
+    return out
 
 
 def _confirm(words: int, percent: int):
-    """Links among the rows (node, set_key, text, label, asks) of one chunk."""
+    """Links among the rows (node, set_key, text, label, asks) of one chunk: each
+    node of a group with the group's least."""
 
     def confirm(rows: pa.Table) -> pa.Table:
         texts = rows.column("text").combine_chunks()
@@ -204,16 +205,14 @@ def _confirm(words: int, percent: int):
                 seen.add(nodes[place])
                 places.append(place)
         places = np.array(places, np.int64)
-        pairs = []
-        if len(places) > 1:
-            asking = np.isin(nodes[places], nodes[asks])
-            pairs = links_within([sets[place] for place in places], percent, labels[places], asking)
-        return pa.table(
-            {
-                "a": pa.array([nodes[places[x]] for x, _ in pairs], pa.int64()),
-                "b": pa.array([nodes[places[y]] for _, y in pairs], pa.int64()),
-            }
-        )
+        if not len(places):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        mine = nodes[places]
+        groups = linked_groups([sets[place] for place in places], percent, labels[places], np.isin(mine, nodes[asks]))
+        least = np.full(groups.max() + 1, mine.max())
+        np.minimum.at(least, groups, mine)
+        linked = least[groups] != mine
+        return pa.table({"a": mine[linked], "b": least[groups][linked]})
 
     return confirm
 
@@ -246,7 +245,7 @@ def _links(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     )
     first = members.union(pivots.select(members.columns))
     first = first.select("*", F.col("node").alias("label"), F.lit(True).alias("asks")).select(rows)
-    confirm = _confirm(words, percent)
+    confirm = tidy_group(_confirm(words, percent))
     links = materialise(first.groupBy("root", "chunk").applyInArrow(confirm, "a bigint, b bigint"), "links")
     if large.limit(1).count() == 0:
         return links
@@ -290,7 +289,7 @@ def near_duplicates(
     """
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialise(
-        texts.mapInArrow(_describe(words), "id bigint, n bigint, set_key binary, buckets array<bigint>"), "shingles"
+        texts.mapInArrow(tidy(_describe(words)), "id bigint, n bigint, set_key binary, buckets array<bigint>"), "shingles"
     )
     classes = (
         rows.where("n > 0 AND id IS NOT NULL")

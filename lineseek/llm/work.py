@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+TIDY_BYTES = 1 << 20  # smaller groups leave too little behind to hand it back each time
 
 _own_dir: str | None = None
 
@@ -48,3 +54,52 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _release() -> None:
+    """Hand memory that was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it decides by itself
+        return
+
+
+def tidy(stage: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """For a stage of Arrow batches: its worker lives on and serves other stages,
+    so what it held is handed back when its partition is done."""
+
+    @wraps(stage)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from stage(batches)
+        finally:
+            _release()
+
+    return run
+
+
+def tidy_group(stage: Callable[[pa.Table], pa.Table]):
+    """The same for a stage that gets whole groups as tables."""
+
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return stage(group)
+        finally:
+            if group.nbytes > TIDY_BYTES:
+                _release()
+
+    return run
+
+
+def tidy_cogroup(stage: Callable[[pa.Table, pa.Table], pa.Table]):
+    """The same for a stage that gets pairs of groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return stage(left, right)
+        finally:
+            if left.nbytes + right.nbytes > TIDY_BYTES:
+                _release()
+
+    return run

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lineseek.llm import near_dup
+from lineseek.llm import components, near_dup
 from lineseek.llm.components import connected_components
 from lineseek.llm.near_dup import BINS, drop_near_duplicates, near_duplicates, shingle_sets, signatures
 
@@ -116,10 +116,12 @@ def test_signatures_estimate_similarity(words, rng):
     assert abs((one == two).mean() - truth) < 4 * (truth * (1 - truth) / BINS) ** 0.5
 
 
-def test_components(spark, rng):
+@pytest.mark.parametrize("per_task", [500_000, 25])
+def test_components(spark, rng, monkeypatch, per_task):
+    monkeypatch.setattr(components, "EDGES_PER_TASK", per_task)
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(5, 5), (200, 201), (201, 200)]
     pairs += [(rng.randrange(300, 360), rng.randrange(300, 360)) for _ in range(40)]
-    got = connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
+    got = connected_components(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(5)).collect()
     pairs = [pair for pair in pairs if pair[0] != pair[1]]
     want = roots({x for pair in pairs for x in pair}, pairs)
     assert {row.node: row.root for row in got} == want and len(got) == len(want)
