@@ -22,14 +22,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineseek.llm.tokens import slices
+from lineseek.llm.tokens import portions, slices
+from lineseek.llm.work import tidy
 
 MARK = "▁"
 LONGEST_PIECE, LONGEST_WORD = 10, 32
 SAMPLE_PER_LANGUAGE, WORDS_PER_LANGUAGE, EM_ROUNDS = 300, 15_000, 4
 UNKNOWN = 1e-7  # probability of a letter outside the vocabulary, in any language
 SMOOTHING = 0.05
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 UNDETERMINED = "und"
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 18
@@ -257,13 +258,13 @@ def predict(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in portions(batches, 1):
             names, chances = scorer(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(chances)], ["id", "lang_pred", "score"])
 
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(score), schema).withColumnRenamed("id", id_col)
 
 
 def keep_identified(
@@ -272,14 +273,17 @@ def keep_identified(
     """The rows of ``documents`` with a language and a score of at least
     ``least_score``, all columns as they were. No row is moved."""
 
+    documents_columns = documents.columns
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
-            names, chances = scorer(batch.column(batch.schema.get_field_index(text_col)))
+        column = documents_columns.index(text_col)
+        for batch in portions(batches, column):
+            names, chances = scorer(batch.column(column))
             known = pc.not_equal(names, UNDETERMINED).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(known & (chances >= least_score)))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(tidy(keep), documents.schema)
 
 
 def fold(identity: Column) -> Column:

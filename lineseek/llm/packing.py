@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineseek.llm.tokens import WordEncoder, default_tokenizer, id_lists, portions, with_end
-from lineseek.llm.work import materialise, shuffle_partitions
+from lineseek.llm.work import materialise, shuffle_partitions, tidy
 
 SEQUENCE_TOKENS = 2048
 PRICINGS, CONFIGS_PER_PRICING, PASSES = 40, 48, 3
@@ -176,7 +176,7 @@ def token_pieces(
     names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return rows.mapInArrow(cut, schema + (", ids array<int>" if with_ids else "")).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(cut), schema + (", ids array<int>" if with_ids else "")).withColumnRenamed("id", id_col)
 
 
 def pack_pieces(pieces: DataFrame, *, capacity: int = SEQUENCE_TOKENS, id_col: str = "doc_id") -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineseek.llm.rolling import Hashed, mixed, utf8
-from lineseek.llm.work import materialise, shuffle_partitions
+from lineseek.llm.work import materialise, shuffle_partitions, tidy, tidy_cogroup, tidy_group
 
 LENGTH = 100
 #: A perfect difference set modulo 73.
@@ -479,13 +479,13 @@ def remove_repeats(
     bits = min(16, max(4, int(np.ceil(np.log2(shuffle_partitions(spark)))) + 2))
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = materialise(rows.mapInArrow(_pack, BLOCK_SCHEMA), "blocks")
-    answers = blocks.mapInArrow(_sample(bits), PART_SCHEMA).groupBy("bucket").applyInArrow(_rank, PART_SCHEMA)
-    dealt = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_deal(bits), PART_SCHEMA)
+    answers = blocks.mapInArrow(tidy(_sample(bits)), PART_SCHEMA).groupBy("bucket").applyInArrow(_rank, PART_SCHEMA)
+    dealt = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_cogroup(_deal(bits)), PART_SCHEMA)
     # what needs no bucket any more travels under a bucket of its own block
     own = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("block"), F.lit(1 << bits))).otherwise(F.col("bucket"))
     dealt = dealt.withColumn("bucket", own.cast("int"))
-    marks = dealt.groupBy("bucket").applyInArrow(_sort_bucket, PART_SCHEMA)
+    marks = dealt.groupBy("bucket").applyInArrow(tidy_group(_sort_bucket), PART_SCHEMA)
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     schema += ", kept binary" if with_text else ""
-    cut = blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut(with_text), schema)
+    cut = blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(tidy_cogroup(_cut(with_text)), schema)
     return cut.withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineseek.llm.tokens import WordEncoder, default_tokenizer, id_lists, portions, with_end
-from lineseek.llm.work import shuffle_partitions
+from lineseek.llm.work import shuffle_partitions, tidy
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 1000
 DELTA_COLUMNS = ("doc_id", "part", "local_start", "n_tokens")
@@ -62,7 +62,7 @@ def write_token_files(
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions or shuffle_partitions(documents.sparkSession), "doc_id")
     coded = rows.sortWithinPartitions("doc_id").mapInArrow(
-        encode, "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
+        tidy(encode), "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
     )
     options = {
         "compression": "zstd",

@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # one run of these is one word to the tokenizer, whatever stands around it
-CACHED_WORDS = 500_000
-SLICE_BYTES = 4 << 20
+CACHED_WORDS = 250_000
+SLICE_BYTES = 2 << 20
 WORDS_PER_CALL = 2000
 
 
