@@ -111,6 +111,51 @@ FROM judged"""
     )
 
 
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+strings AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k
+  FROM d, LATERAL (SELECT unnest(generate_series(0, CAST(length(h) // 2 AS BIGINT) - 100)) AS i)),
+late AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS place FROM strings)
+  WHERE place > 1),
+marked AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM late),
+numbered AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY doc_id ORDER BY i) AS span
+  FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS s, max(i) + 100 AS e FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS q FROM spans),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed,
+         string_agg(substr(h, 2 * q + 1, 2 * (s - q)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS shingle
+  FROM w, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 3))) AS i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+  WHERE 100 * c >= 80 * (s.n + t.n - c)),
+reached AS (
+  SELECT doc_id, doc_id AS r FROM w
+  UNION SELECT b, r FROM reached JOIN links ON a = doc_id)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
 TOP_K = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec
@@ -127,8 +172,10 @@ WHERE place <= 5
 
 
 ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_chat_snapshots": CHAT,
     "op3_url_filters": URL_FILTERS,
+    "op4_minhash_near_dedup": NEAR_DEDUP,
     "op6_exact_dedup": EXACT_DEDUP,
     "op7_exact_top_k": TOP_K,
     "op10_mixing": mixing(),
