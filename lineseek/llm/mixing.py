@@ -6,6 +6,10 @@ each language and each topic. A document is kept with its cell's factor, scaled
 so that the largest is 1, against a hash of its id: the same documents stay on
 every run.
 
+Where a few rare values would decide how much is kept, a budget of tokens does
+instead: cells of a factor above 1 are kept whole, the others are raked again,
+and values too rare for their target stay below it.
+
 All of it is DataFrame operations. The cell table has a row per cell, whatever
 the number of documents, is rewritten once a round, and no side is broadcast by
 hint, so sources may be many.
@@ -24,6 +28,9 @@ DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 10
 TEMPERS = {"source": 0.7, "lang": 0.7, "topic": 1.0}  # targets not given: the corpus' own shares to this power
 NONE = "(none)"
+LEAST_KEPT = 0.45  # share of tokens that the registered query and the pipeline keep at least
+RARE = 0.001  # values with a smaller share of the tokens have no say in the budget
+LEVEL_STEPS = 100
 
 
 def word_count(text: Column) -> Column:
@@ -86,6 +93,85 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     return cells
 
 
+def level(rows: DataFrame, held: Column, want: Column, goal: float) -> float:
+    """The multiple of ``want`` at which ``want``, ``held`` at most, adds up to
+    ``goal``. Newton steps from below; the sum is concave, so none goes too far."""
+    total = rows.agg(F.sum(want)).first()[0]
+    if not total:
+        return 0.0
+    at = goal / total
+    for _ in range(LEVEL_STEPS):
+        reached, rising = rows.agg(F.sum(F.least(held, want * at)), F.sum(F.when(want * at < held, want))).first()
+        if not rising or goal - reached <= 1e-12 * goal:
+            break
+        at += (goal - reached) / rising
+    return at
+
+
+def tokens_kept(raked: DataFrame) -> float:
+    """Tokens kept when the largest factor is scaled to 1."""
+    weighted, largest = raked.agg(F.sum(F.col("tokens") * F.col("factor")), F.max("factor")).first()
+    return weighted / largest if largest else 0.0
+
+
+def token_budget(
+    cells: DataFrame, raked: DataFrame, given: Mapping[str, Mapping[str, float]], rounds: int, least_kept: float
+) -> float:
+    """Tokens to keep: as many as the targets allow, with all values or without
+    the rare ones, and at least the share ``least_kept`` of those with a target."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    reachable = raked.where("factor > 0").agg(F.sum("tokens")).first()[0] or 0
+    common = cells
+    for name in DIMENSIONS:
+        values = cells.groupBy(name).agg(F.sum("tokens").alias("held")).where(F.col("held") >= RARE * total)
+        common = common.join(values.select(name), name, "left_semi")
+    common = materialise(common, "cells")
+    budget = max(tokens_kept(raked), least_kept * reachable)
+    held = common.agg(F.sum("tokens")).first()[0] or 0
+    if 0 < held < total:
+        wanted = {name: target_shares(common, name, given.get(name)) for name in DIMENSIONS}
+        again = rake(common, wanted, rounds)
+        open_ = again.where("factor > 0").agg(F.sum("tokens")).first()[0]
+        if open_:
+            budget = max(budget, tokens_kept(again) / open_ * reachable)
+    return min(budget, float(reachable))
+
+
+def rake_within(raked: DataFrame, targets: Mapping[str, DataFrame], budget: float, rounds: int) -> DataFrame:
+    """``raked`` with factors for which ``tokens * least(factor, 1)`` adds up to ``budget``.
+
+    A value's goal is its target share of the budget, and all its tokens if it
+    has less; what it lacks goes to the others. Cells kept whole count in full,
+    and the others of their value are raked to what is left of its goal.
+    """
+    raked = raked.where("factor > 0")
+    weighted = F.col("tokens") * F.col("factor")
+    goals = {}
+    for name, target in targets.items():
+        held = materialise(raked.groupBy(name).agg(F.sum("tokens").alias("held")).join(target, name), "goals")
+        at = level(held, F.col("held"), F.col("target"), budget)
+        goals[name] = held.select(name, F.least("held", F.col("target") * at).alias("goal"))
+    cells = raked.withColumn("factor", F.col("factor") * level(raked, F.col("tokens"), weighted, budget))
+    rising = F.when(F.col("factor") < 1, weighted).otherwise(0.0)
+    short = F.col("goal") - F.col("held")
+    change = (
+        F.when(F.col("held") > F.col("goal"), F.col("goal") / F.col("held"))
+        .when(F.col("rising") > F.col("goal") * 1e-9, 1 + short / F.col("rising"))
+        .otherwise(1.0)
+    )
+    for _ in range(rounds):
+        for name, goal in goals.items():
+            held = cells.groupBy(name).agg(
+                F.sum(F.least(F.col("tokens"), weighted)).alias("held"), F.sum(rising).alias("rising")
+            )
+            changes = held.join(goal, name).select(name, change.alias("change"))
+            cells = cells.join(changes, name).select(
+                *DIMENSIONS, "tokens", (F.col("factor") * F.col("change")).alias("factor")
+            )
+        cells = materialise(cells, "cells")
+    return cells.withColumn("factor", F.col("factor") * level(cells, F.col("tokens"), weighted, budget))
+
+
 def draw(identity: Column) -> Column:
     """A number in [0, 1) from the md5 of an id's text."""
     digest = F.md5(F.coalesce(identity.cast("string"), F.lit("")))
@@ -102,12 +188,16 @@ def mix(
     lang_col: str = "lang",
     topic: Column | None = None,
     rounds: int = ROUNDS,
+    least_kept: float | None = None,
 ) -> DataFrame:
     """``id_col, source, lang, topic, tokens, probability, kept`` for every row.
 
     ``targets`` names wanted weights per dimension, e.g. ``{"lang": {"en": 3,
     "de": 1}}``; values not named get none. Without them a dimension's target
-    is its own share of tokens to the power 0.7 (topics: 1). Rows without a word have
+    is its own share of tokens to the power 0.7 (topics: 1). The rarest value then
+    decides how much is kept. With ``least_kept`` a budget does (``token_budget``):
+    what the targets allow without rare values, or that share of the tokens;
+    values that have too few tokens for their target are kept whole. Rows without a word have
     probability 0. Null source or language is a value of its own, a null id
     draws as the empty text. Repeated rows draw alike. Other columns don't
     matter. An empty table gives no rows.
@@ -124,7 +214,11 @@ def mix(
     wanted = {name: target_shares(cells, name, (targets or {}).get(name)) for name in DIMENSIONS}
     raked = rake(cells, wanted, rounds)
     largest = raked.agg(F.max("factor")).first()[0] or 1.0
-    probability = F.coalesce(F.col("factor") / F.lit(largest), F.lit(0.0))
+    if least_kept is not None:
+        budget = token_budget(cells, raked, targets or {}, rounds, least_kept)
+        if budget > tokens_kept(raked) * (1 + 1e-9):
+            raked, largest = rake_within(raked, wanted, budget, rounds), 1.0
+    probability = F.least(F.coalesce(F.col("factor") / F.lit(largest), F.lit(0.0)), F.lit(1.0))
     raked = raked.select(*(F.col(name).alias(f"cell_{name}") for name in DIMENSIONS), "factor")
     same = [F.col(name) == F.col(f"cell_{name}") for name in DIMENSIONS]
     joined = rows.join(raked, same[0] & same[1] & same[2] & (F.col("tokens") > 0), "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lineseek.llm.chat import maximal_conversations
 from lineseek.llm.exact_dedup import exact_duplicates
 from lineseek.llm.language import identify_held_out
-from lineseek.llm.mixing import mix
+from lineseek.llm.mixing import LEAST_KEPT, mix
 from lineseek.llm.near_dup import near_duplicates
 from lineseek.llm.packing import pack_documents
 from lineseek.llm.suffix_dedup import remove_repeats
@@ -72,7 +72,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), least_kept=LEAST_KEPT)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

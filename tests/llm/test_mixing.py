@@ -65,3 +65,22 @@ def test_no_python_and_no_rows(spark, rows):
     assert "Python" not in plan and "Arrow" not in plan
     assert mix(table(spark, rows).limit(0), rounds=1).collect() == []
     assert sample_mixed(table(spark, rows).where(F.lit(False)), rounds=1).collect() == []
+
+
+def test_a_tiny_source_does_not_shrink_the_others(spark, words, rng):
+    rows = [
+        (i, " ".join(words(rng.randint(20, 60))), rng.choice(["web", "web", "web", "books", "code"]), rng.choice(["en", "en", "de"]))
+        for i in range(600)
+    ]
+    tiny = (1000, "one two three four five", "tiny", "zz")
+    before = mix(table(spark, rows), rounds=4).collect()
+    after = mix(table(spark, [*rows, tiny]), rounds=4, least_kept=0.45).collect()
+
+    def kept(judged):
+        return sum(row.tokens * row.probability for row in judged)
+
+    assert kept(after) >= 0.98 * kept(before)
+    assert all(row.probability == pytest.approx(1.0) and row.kept for row in after if row.source == "tiny")
+    for name in ("source", "lang", "topic"):
+        want = shares(before, name)
+        assert {k: v for k, v in shares(after, name).items() if k in want} == pytest.approx(want, abs=0.02)
