@@ -79,9 +79,9 @@ def nearest_approx(
     queries: DataFrame,
     limit: int,
     *,
-    bands: int = 20,
-    hashes_per_band: int = 5,
-    bucket_length: float = 0.25,
+    bands: int = 30,
+    hashes_per_band: int = 4,
+    bucket_length: float = 0.3,
     seed: int = 42,
 ) -> DataFrame:
     """Like ``nearest_exact``, looking only at documents that share all random

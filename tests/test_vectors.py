@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from brute import cosine
+from checks.compare import neighbour_recall
 from pyspark.sql import functions as F
 
 from lineseek.functions.vectors import cosine_similarity
@@ -88,6 +89,17 @@ def test_nearest_approx(spark):
     assert min(s for q, _, s in found if q == 0) > 0.9
 
 
+def test_nearest_approx_of_far_neighbours(spark):
+    """Vectors without clusters: the nearest others are at similarities of 0.2 to 0.5."""
+    rng = np.random.default_rng(11)
+    docs = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 64)))]
+    left, right = table(spark, docs, "id", "vec"), table(spark, docs[:40], "query_id", "query_vec")
+    exact = nearest_exact(left, right, 10).collect()
+    found = {(r.query_id, r.id) for r in nearest_approx(left, right, 10).collect()}
+    assert neighbour_recall(exact, found) >= 0.9
+    assert neighbour_recall(exact, {(q, d) for q, d in found if q == d}) == 0
+
+
 def test_word_vectors(spark):
     texts = ["red fox runs", "red wolf runs", "blue whale swims", "blue shark swims"] * 30
     docs = spark.createDataFrame([(i, t, t.split()) for i, t in enumerate(texts)], "id bigint, text string, words array<string>")
