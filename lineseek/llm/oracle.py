@@ -170,6 +170,50 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (
 WHERE place <= 5
 """
 
+#: Every pair of equal words at most a quarter of the text apart, their stretches, and the smallest period of each.
+PERIODIC = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)],
+             flatten([[CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+           lambda a, x: CASE WHEN xor(a, x) % 2 = 1 THEN xor(xor(a, x) >> 1, 3988292384) ELSE xor(a, x) >> 1 END),
+           4294967295) AS h
+  FROM documents),
+planted AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS changed,
+         CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a,
+         CASE WHEN len(w) > 0 THEN 1 + (len(w) - h // 10 % len(w)) // (3 + h // 10 % 8) END AS p
+  FROM d),
+words AS MATERIALIZED (
+  SELECT doc_id, n, i, CASE WHEN changed AND i >= a THEN w[1 + a + (i - a) % p] ELSE w[1 + i] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM planted)),
+pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q
+  FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (
+  SELECT doc_id, min(i) AS start, count(*) + q AS length, q
+  FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY ALL),
+longest AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS place FROM runs),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS line
+  FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS line FROM words w
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length)
+  GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n_runs, 0) AS n_runs, l.start, l.length, l.period,
+       1000 * l.length // l.period AS exponent_milli,
+       sha256(coalesce(t.line, '')) AS runs_sha256, sha256(coalesce(k.line, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed t USING (doc_id) LEFT JOIN longest l ON l.doc_id = d.doc_id AND l.place = 1
+LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": SUFFIX_DEDUP,
@@ -179,4 +223,5 @@ ORACLE: dict[str, str] = {
     "op6_exact_dedup": EXACT_DEDUP,
     "op7_exact_top_k": TOP_K,
     "op10_mixing": mixing(),
+    "op12_periodic_runs": PERIODIC,
 }

@@ -12,6 +12,7 @@ from lineseek.llm.language import identify_held_out
 from lineseek.llm.mixing import LEAST_KEPT, mix
 from lineseek.llm.near_dup import near_duplicates
 from lineseek.llm.packing import pack_documents
+from lineseek.llm.periodic import periodic_runs
 from lineseek.llm.pii import find_personal_data
 from lineseek.llm.suffix_dedup import remove_repeats
 from lineseek.llm.token_files import token_digests, write_token_files
@@ -76,6 +77,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), least_kept=LEAST_KEPT)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -91,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_pii": op13_pii,
 }
