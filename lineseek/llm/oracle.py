@@ -214,6 +214,45 @@ FROM d LEFT JOIN listed t USING (doc_id) LEFT JOIN longest l ON l.doc_id = d.doc
 LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+#: Every kept term of a language in every of its groups, zeros included.
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+words AS MATERIALIZED (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+held AS (SELECT lang, source, sum(n) AS held FROM counts GROUP BY ALL),
+full_ AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(h.held, 0) + s.v) AS BIGINT) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source),
+whole AS MATERIALIZED (
+  SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + any_value(v)) AS BIGINT) AS q
+  FROM counts JOIN sizes USING (lang) GROUP BY lang, term),
+sums AS (
+  SELECT x.lang, x.source, y.source AS item, CAST(sum((x.p - y.p) * (x.p - y.p) // y.p) AS BIGINT) AS value
+  FROM full_ x JOIN full_ y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups o ON o.lang = g.lang AND o.source <> g.source
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = o.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+  FROM full_ JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": SUFFIX_DEDUP,
@@ -223,5 +262,6 @@ ORACLE: dict[str, str] = {
     "op6_exact_dedup": EXACT_DEDUP,
     "op7_exact_top_k": TOP_K,
     "op10_mixing": mixing(),
+    "op11_source_divergence": DIVERGENCE,
     "op12_periodic_runs": PERIODIC,
 }

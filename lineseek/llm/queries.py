@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lineseek.llm.chat import maximal_conversations
+from lineseek.llm.divergence import source_divergence
 from lineseek.llm.exact_dedup import exact_duplicates
 from lineseek.llm.language import identify_held_out
 from lineseek.llm.mixing import LEAST_KEPT, mix
@@ -77,6 +78,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), least_kept=LEAST_KEPT)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), plant=True)
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
+    "op11_source_divergence": op11_source_divergence,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_pii": op13_pii,
 }
