@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineseek.llm.tokens import WordEncoder, default_tokenizer, id_lists, portions, with_end
+from lineseek.llm.tokens import default_tokenizer, id_lists, portions, shared_encoder, with_end
 from lineseek.llm.work import materialise, shuffle_partitions, tidy
 
 SEQUENCE_TOKENS = 2048
@@ -152,7 +152,7 @@ def token_pieces(
     tokenizer = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for batch in portions(batches, 1):
             ids, bounds = with_end(*encoder.encode(batch.column(1)), end_id)
             pieces = -(-np.diff(bounds) // capacity)

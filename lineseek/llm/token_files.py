@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineseek.llm.tokens import WordEncoder, default_tokenizer, id_lists, portions, with_end
+from lineseek.llm.tokens import default_tokenizer, id_lists, portions, shared_encoder, with_end
 from lineseek.llm.work import shuffle_partitions, tidy
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 1000
@@ -38,13 +38,14 @@ def write_token_files(
 
     File ``part`` holds a range of ids in order (null first); ``local_start``
     counts the ids before a document within its part. Null texts have the end
-    id alone. Repeated ids stand side by side in no fixed order. Other columns
+    id alone. Rows of one id stand side by
+    side in order of their text. Other columns
     don't matter. An empty table writes a table without rows.
     """
     tokenizer = tokenizer or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, written, part = WordEncoder(tokenizer), 0, TaskContext.get().partitionId()
+        encoder, written, part = shared_encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in portions(batches, 1):
             ids, bounds = with_end(*encoder.encode(batch.column(1)), end_id)
             yield pa.RecordBatch.from_arrays(
@@ -61,7 +62,7 @@ def write_token_files(
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions or shuffle_partitions(documents.sparkSession), "doc_id")
-    coded = rows.sortWithinPartitions("doc_id").mapInArrow(
+    coded = rows.sortWithinPartitions("doc_id", "text").mapInArrow(
         tidy(encode), "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
     )
     options = {

@@ -62,6 +62,22 @@ class WordEncoder:
         self.places: dict[str, int] = {}
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.met_again = np.zeros(0, bool)
+
+    def _forget_rare(self) -> None:
+        """Keep the words met again since they were noted, unless they fill half of the cache."""
+        kept = np.flatnonzero(self.met_again)
+        if len(kept) > CACHED_WORDS // 2:
+            return self._forget()
+        words, numbers = list(self.places), np.fromiter(self.places.values(), np.int64, len(self.places))
+        lengths = self.lengths[kept]
+        upto = np.cumsum(lengths) - lengths
+        self.ids = self.ids[np.repeat(self.starts[kept] - upto, lengths) + np.arange(int(lengths.sum()))]
+        self.starts, self.lengths, self.met_again = upto, lengths, np.zeros(len(kept), bool)
+        left = np.flatnonzero(np.isin(numbers, kept, assume_unique=True))
+        moved = np.searchsorted(kept, numbers[left])
+        self.places = {words[i]: place for i, place in zip(left.tolist(), moved.tolist(), strict=True)}
+        return None
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text begins among them (one bound more than texts)."""
@@ -94,8 +110,10 @@ class WordEncoder:
         missing = np.flatnonzero(places < 0)
         if len(missing):
             if len(self.places) + len(missing) > CACHED_WORDS:
-                self._forget()
-                missing = np.arange(len(listed))
+                self._forget_rare()
+                places = np.fromiter(map(self.places.get, listed, repeat(-1)), np.int64, len(listed))
+                missing = np.flatnonzero(places < 0)
+            self.met_again[places[places >= 0]] = True
             fresh = [listed[i] for i in missing]
             order, lengths, ids = self._encode_words(fresh)
             places[missing[order]] = np.arange(len(self.lengths), len(self.lengths) + len(order))
@@ -103,6 +121,7 @@ class WordEncoder:
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
+            self.met_again = np.concatenate([self.met_again, np.zeros(len(lengths), bool)])
         return places
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,6 +151,17 @@ class WordEncoder:
         return np.concatenate(order), np.concatenate(lengths), np.concatenate(ids)
 
 
+_encoder: tuple[str, WordEncoder] | None = None
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process: it and its words serve all tasks that use ``path``."""
+    global _encoder
+    if _encoder is None or _encoder[0] != path:
+        _encoder = path, WordEncoder(path)
+    return _encoder[1]
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with ``end_id`` after each text."""
     ends = bounds[1:] + np.arange(len(bounds) - 1)
