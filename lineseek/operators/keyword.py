@@ -88,6 +88,42 @@ def _matches(
     return postings_table.join(known, keys)
 
 
+def _tfidf_weight() -> Column:
+    return F.col("tf") * F.col("idf")
+
+
+def _bm25_weight(n_docs: Column, avg_doc_len: Column) -> Column:
+    tf, df = F.col("tf"), F.col("df")
+    rarity = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    return rarity * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / avg_doc_len)))
+
+
+def weighted_postings(
+    query_terms: DataFrame,
+    postings_table: DataFrame,
+    terms: DataFrame,
+    n_terms: int | None = None,
+    *,
+    scoring: str = "tfidf",
+    n_docs: Column | None = None,
+    avg_doc_len: Column | None = None,
+) -> DataFrame:
+    """``term, doc_id, weight`` of every posting of a term that any query asks for, once
+    whatever number of queries does; a query scores the sum over its terms."""
+    weight = term_weight(scoring, n_docs, avg_doc_len)
+    keys = [k for k in ("term_bucket", "term") if k in query_terms.columns]
+    matches = _matches(query_terms.select(*keys), postings_table, terms, n_terms)
+    return matches.select("term", "doc_id", weight.cast("double").alias("weight"))
+
+
+def term_weight(scoring: str, n_docs: Column | None, avg_doc_len: Column | None) -> Column:
+    if scoring == "tfidf":
+        return _tfidf_weight()
+    if scoring == "bm25":
+        return _bm25_weight(n_docs, avg_doc_len)
+    raise ValueError(f"unknown scoring: {scoring}")
+
+
 def tfidf_scores(
     query_terms: DataFrame, postings_table: DataFrame, terms: DataFrame, n_terms: int | None = None
 ) -> DataFrame:
@@ -96,7 +132,7 @@ def tfidf_scores(
     ``n_terms`` is the number of query term rows, or a bound on it, if known.
     """
     matches = _matches(query_terms, postings_table, terms, n_terms)
-    return matches.groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("idf")).alias("score"))
+    return matches.groupBy("query_id", "doc_id").agg(F.sum(_tfidf_weight()).alias("score"))
 
 
 def bm25_scores(
@@ -108,11 +144,8 @@ def bm25_scores(
     n_terms: int | None = None,
 ) -> DataFrame:
     """``query_id, doc_id, score`` by Okapi BM25 over the same matches."""
-    tf, df = F.col("tf"), F.col("df")
-    rarity = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    damped = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / avg_doc_len))
     matches = _matches(query_terms, postings_table, terms, n_terms)
-    return matches.groupBy("query_id", "doc_id").agg(F.sum(rarity * damped).alias("score"))
+    return matches.groupBy("query_id", "doc_id").agg(F.sum(_bm25_weight(n_docs, avg_doc_len)).alias("score"))
 
 
 def keyword_relevance(scores: DataFrame, n_queries: int | None = None) -> DataFrame:

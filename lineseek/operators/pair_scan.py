@@ -1,33 +1,35 @@
 """One pass over stored vectors that finds the pairs able to reach a result list.
 
-Every query is compared with every document, but pairs are never rows: a task
-multiplies a batch of document vectors with the matrix of query vectors and lets
-go of each pair that provably cannot be returned. What is left, a few rows per
-query and task, goes on to exact scoring in Spark.
+Every query is compared with every document, but pairs are never rows: documents
+are packed where they lie into rows of a few thousand, queries into rows of
+their own, and each row of one meets each of the other. A task multiplies the
+two matrices and lets go of each pair that provably cannot be returned. What is left,
+a few rows per query and task, goes on to exact scoring in Spark. Neither side
+passes through the driver, and the documents are scanned once for any number of
+queries: Spark sends the packed queries to all tasks if they are small, and else
+pairs partitions of both.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from lineseek.session import broadcast_if_few, materialise
+from lineseek.session import materialise
 
 # Tasks get the functions below themselves, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUERIES_PER_SCAN = 4096  # query vectors held by a task; more queries scan again
-STRONG_HITS = 200_000  # keyword hits sent along to all documents, over all queries
-STEPS = 10_000  # steps of keyword relevance among which the cut is chosen
+QUERIES_PER_SCAN = 1024  # queries packed into one row
+DOCS_PER_ROW = 2048
+SAMPLE_FROM, SAMPLE_SHARE = 1000, 64  # from so many queries on, one document of 64 gives them all a first floor
 CELLS = 1_000_000  # document x query cells computed at a time
 
 
@@ -65,80 +67,84 @@ def _cosines(column: pa.Array, queries: np.ndarray, squares: np.ndarray) -> np.n
 class _QueryBlock:
     """Queries of one vector length, as arrays."""
 
-    def __init__(self, rows: list[Row], id_type: pa.DataType):
-        self.ids = [row["query_id"] for row in rows]
-        self.id_column = pa.array(self.ids, id_type)
-        width = len(rows[0]["query_vec"])
-        self.vectors = np.array([row["query_vec"] for row in rows], dtype=np.float64).reshape(len(rows), width)
+    def __init__(self, rows: pa.Table, hits: pa.Table):
+        self.ids = rows.column("query_id").combine_chunks()
+        vectors = rows.column("query_vec").combine_chunks()
+        width = len(vectors[0])
+        self.vectors = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(self.ids), width)
         self.squares = np.pad(np.cumsum(self.vectors**2, axis=1), ((0, 0), (1, 0)))
-        self.text_lengths = np.array([[row["text_length"]] for row in rows], dtype=np.float64)
-        self.weak_keyword = np.array([[row["weak_keyword"]] for row in rows], dtype=np.float64)
+        self.text_lengths, self.weak_keyword, self.floor = (
+            rows.column(name).to_numpy().astype(np.float64)[:, None] for name in ("text_length", "weak_keyword", "floor")
+        )
+        place = pc.index_in(hits.column("query_id"), value_set=self.ids)
+        mine = hits.filter(pc.is_valid(place))
+        self.hit_query = pc.drop_null(place).to_numpy()
+        self.hit_id, self.hit_keyword = mine.column("id").combine_chunks(), mine.column("keyword").to_numpy()
 
-    def keyword(self, hits: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def keyword(self, documents: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the keyword relevance of each query and document: the known
-        value where a strong hit is listed, else from 0 to the query's weak limit."""
-        low = np.zeros((len(self.ids), len(hits)))
-        high = np.repeat(self.weak_keyword, len(hits), axis=1)
-        counts = pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False)
-        listed = hits.flatten()
-        if len(listed):
-            found = pc.index_in(listed.field("query_id"), value_set=self.id_column)
-            places = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
-            docs, mine = np.repeat(np.arange(len(hits)), counts), places >= 0
-            values = listed.field("keyword").to_numpy(zero_copy_only=False)
-            low[places[mine], docs[mine]] = high[places[mine], docs[mine]] = values[mine]
+        value of a strong hit, else from 0 to the query's weak limit."""
+        low = np.zeros((len(self.ids), len(documents)))
+        high = np.repeat(self.weak_keyword, len(documents), axis=1)
+        if len(self.hit_id):
+            place = pc.fill_null(pc.index_in(self.hit_id, value_set=documents), -1).to_numpy(zero_copy_only=False)
+            mine = np.flatnonzero(place >= 0)
+            low[self.hit_query[mine], place[mine]] = high[self.hit_query[mine], place[mine]] = self.hit_keyword[mine]
         return low, high
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[list[_QueryBlock]]:
-    """Blocks of at most ``QUERIES_PER_SCAN`` queries each, one list per scan."""
-    id_type = to_arrow_type(queries.schema["query_id"].dataType)
-    rows = queries.toLocalIterator()
-    while chunk := list(islice(rows, QUERIES_PER_SCAN)):
-        by_width: dict[int, list[Row]] = {}
-        for row in chunk:
-            by_width.setdefault(len(row["query_vec"]), []).append(row)
-        yield [_QueryBlock(group, id_type) for group in by_width.values()]
+def _written(rows: pa.Table | pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+
+
+def _pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, DOCS_PER_ROW):
+            row = pa.array([_written(batch.slice(start, DOCS_PER_ROW))], pa.binary())
+            yield pa.RecordBatch.from_arrays([row], ["documents"])
+
+
+def _pack_queries(group: pa.Table) -> pa.Table:
+    number = group.column("query_block")[0].as_py()
+    return pa.table({"query_block": pa.array([number], pa.int64()), "queries": pa.array([_written(group)], pa.binary())})
+
+
+def _query_blocks(packed: pa.Scalar) -> list[_QueryBlock]:
+    """The queries of a packed row, by length of their vectors."""
+    rows = _read(packed)
+    lists = rows.column("hits").combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy())
+    listed = lists.flatten()
+    hits = pa.table({
+        "query_id": rows.column("query_id").combine_chunks().take(pa.array(owner)),
+        "id": listed.field("id"), "keyword": listed.field("keyword"),
+    })
+    widths = pc.list_value_length(rows.column("query_vec")).to_numpy()
+    return [_QueryBlock(rows.filter(pa.array(widths == width)), hits) for width in np.unique(widths)]
 
 
 class _TopBounds:
-    """Per query, the k-th best score that documents seen so far are sure to reach."""
+    """Per query, the k-th best score that documents seen so far are sure to reach,
+    and no less than the floor it came with."""
 
-    def __init__(self, n_queries: int, k: int | None):
-        self.best = None if k is None else np.full((n_queries, k), -np.inf)
+    def __init__(self, given: np.ndarray, k: int | None):
+        self.given = given
+        self.best = None if k is None else np.full((len(given), k), -np.inf)
 
-    def floor(self, sure: np.ndarray) -> np.ndarray | float:
+    def floor(self, sure: np.ndarray) -> np.ndarray:
         if self.best is None:
-            return -np.inf
+            return self.given
         k = self.best.shape[1]
         merged = np.concatenate([self.best, sure], axis=1)
         self.best = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-        return self.best[:, :1]
-
-
-def strong_hits(hits: DataFrame, n_queries: int) -> tuple[DataFrame, DataFrame]:
-    """Picks the best keyword hits ``query_id, id, keyword`` of each query, at most
-    ``STRONG_HITS`` in all.
-
-    Returns them and ``query_id, weak_keyword``: what any other document of the
-    query can have at most. The cut is found from counts per step of relevance,
-    so a query matching most documents needs no sort of its hits; a step is taken
-    whole or not at all.
-    """
-    step = F.floor(F.col("keyword") * STEPS)
-    counts = hits.groupBy("query_id", step.alias("step")).agg(F.count("*").alias("n"))
-    down = Window.partitionBy("query_id").orderBy(F.col("step").desc())
-    fits = F.col("n_from_top") <= STRONG_HITS // max(n_queries, 1)
-    lowest = F.min(F.when(fits, F.col("step")))
-    cuts = materialise(
-        counts.withColumn("n_from_top", F.sum("n").over(down))
-        .groupBy("query_id")
-        .agg(F.coalesce(lowest, F.lit(STEPS + 1)).alias("cut"), F.every(fits).alias("all_fit")),
-        "cuts",
-    )
-    weak = F.when(F.col("all_fit"), 0.0).otherwise(F.least(F.col("cut") / STEPS, F.lit(1.0)))
-    strong = hits.join(broadcast_if_few(cuts, n_queries), "query_id").where(step >= F.col("cut"))
-    return strong.select("query_id", "id", "keyword"), cuts.select("query_id", weak.alias("weak_keyword"))
+        return np.maximum(self.best[:, :1], self.given)
 
 
 def candidate_pairs(
@@ -149,109 +155,123 @@ def candidate_pairs(
     title_weight: float,
     keyword_weight: float = 0.0,
     hits: DataFrame | None = None,
-    n_queries: int = 0,
+    n_queries: int | None = None,
     threshold: float | None,
     limit: int | None,
     margin: float = 1e-9,
 ) -> DataFrame:
-    """``query_id, id, title, semantic_similarity, title_relevance`` of pairs that
+    """``query_id, id, title, semantic_similarity, title_relevance, at_least`` of pairs that
     may score at least ``threshold`` and be among the ``limit`` best of a query.
 
     ``signals`` has ``id, title, content_vec, title_vec``; ``queries`` has
-    ``query_id, query, query_vec``; ``hits`` has ``query_id, id, keyword``, the
-    keyword relevance of every pair where it is not 0, in [0, 1], and
-    ``n_queries`` counts the queries.
+    ``query_id, query, query_vec``; ``hits`` has ``query_id, id, keyword, weak``: the
+    keyword relevance, in [0, 1], of a bounded number of each query's best documents, and
+    what any other document of the query can have at most.
 
     A score is the weighted sum of vector, keyword and title parts. Here the
-    vector parts are exact. The best keyword hits of each query, a number of rows
-    that is fixed beforehand, are sent to the documents; any other pair's
-    relevance lies between 0 and the weakest of those. The title's text
+    vector parts are exact, keyword parts lie between bounds, and the title's text
     similarity is at most the ratio of the two lengths. A pair is dropped only if
     its upper bound is below the threshold, or below the lower bounds of
-    ``limit`` documents already seen for the query. ``margin`` keeps pairs whose
-    difference is a matter of rounding.
+    ``limit`` other documents of the query: those the task has seen, or, with
+    many queries, those of a sample that is scanned first. ``margin`` keeps
+    pairs whose difference is a matter of rounding.
     """
     half_title = title_weight / 2
     limit = limit if limit is None else max(limit, 1)
+    n_queries = queries.count() if n_queries is None else n_queries
     id_type = signals.schema["id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = (
         f"query_id {query_type}, id {id_type}, title string, "
-        "semantic_similarity double, title_relevance double"
+        "semantic_similarity double, title_relevance double, at_least double"
     )
     scanned = signals.select(
         "id", "title", "content_vec", "title_vec", F.char_length(F.lower("title")).alias("title_length")
     )
     asked = queries.select(
         "query_id",
-        F.coalesce("query_vec", F.array().cast("array<float>")).alias("query_vec"),
+        F.coalesce("query_vec", F.array().cast("array<float>")).cast("array<float>").alias("query_vec"),
         F.char_length(F.lower(F.coalesce("query", F.lit("")))).alias("text_length"),
     )
     if hits is None:
-        asked = asked.withColumn("weak_keyword", F.lit(0.0))
-        scanned = scanned.withColumn("hits", F.lit(None).cast(f"array<struct<query_id:{query_type},keyword:double>>"))
+        lists = F.array().cast(f"array<struct<id:{id_type},keyword:double>>")
+        asked = asked.withColumns({"hits": lists, "weak_keyword": F.lit(0.0)})
     else:
-        strong, weak = strong_hits(hits, n_queries)
-        asked = asked.join(weak, "query_id", "left").withColumn(
-            "weak_keyword", F.coalesce("weak_keyword", F.lit(0.0))
+        by_query = hits.groupBy("query_id").agg(
+            F.collect_list(F.struct("id", "keyword")).alias("hits"), F.max("weak").alias("weak")
+        )
+        asked = asked.join(by_query, "query_id", "left").withColumn("weak_keyword", F.coalesce("weak", F.lit(0.0))).drop("weak")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops: dict[int, list[_TopBounds]] = {}
+        known: dict[int, list[_QueryBlock]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column("query_block")[i].as_py()
+                if number not in known:
+                    known = {number: _query_blocks(batch.column("queries")[i])}
+                blocks = known[number]
+                if number not in tops:
+                    tops[number] = [_TopBounds(block.floor, limit) for block in blocks]
+                documents = _read(batch.column("documents")[i]).combine_chunks().to_batches()
+                step = max(1, CELLS // max(1, sum(len(block.ids) for block in blocks)))
+                for part in documents:
+                    for start in range(0, part.num_rows, step):
+                        for block, top in zip(blocks, tops[number], strict=True):
+                            yield from survivors(part.slice(start, step), block, top)
+
+    def survivors(part: pa.RecordBatch, block: _QueryBlock, top: _TopBounds) -> Iterator[pa.RecordBatch]:
+        content = _cosines(part.column("content_vec"), block.vectors, block.squares)
+        title = np.zeros_like(content)
+        at_most = semantic_weight * content
+        if keyword_weight:
+            low, high = block.keyword(part.column("id"))
+            bounds = keyword_weight * low, keyword_weight * high
+            at_least = at_most + np.minimum(*bounds)
+            at_most = at_most + np.maximum(*bounds)
+        else:
+            at_least = at_most
+        if half_title:
+            title = _cosines(part.column("title_vec"), block.vectors, block.squares)
+            lengths = pc.fill_null(part.column("title_length"), 0).to_numpy(zero_copy_only=False)
+            longer = np.maximum(block.text_lengths, lengths)
+            shorter = np.minimum(block.text_lengths, lengths)
+            ratio = np.divide(shorter, longer, out=np.zeros_like(longer), where=longer > 0)
+            at_least = at_least + half_title * title + np.minimum(half_title * ratio, 0.0)
+            at_most = at_most + half_title * title + np.maximum(half_title * ratio, 0.0)
+        keep = at_most >= top.floor(at_least) - margin
+        if threshold is not None:
+            keep &= at_most >= threshold - margin
+        query_at, doc_at = np.nonzero(keep)
+        if len(doc_at) == 0:
+            return
+        take = pa.array(doc_at)
+        yield pa.RecordBatch.from_arrays(
+            [
+                block.ids.take(pa.array(query_at)),
+                part.column("id").take(take),
+                part.column("title").take(take),
+                pa.array(content[query_at, doc_at]),
+                pa.array(title[query_at, doc_at]),
+                pa.array(at_least[query_at, doc_at]),
+            ],
+            names=["query_id", "id", "title", "semantic_similarity", "title_relevance", "at_least"],
+        )
+
+    def pairs(documents: DataFrame, asked: DataFrame) -> DataFrame:
+        packed = documents.mapInArrow(_pack_documents, "documents binary")
+        place = F.pmod(F.xxhash64("query_id"), F.lit(n_queries // QUERIES_PER_SCAN + 1))
+        blocks = asked.withColumn("query_block", place).groupBy("query_block").applyInArrow(
+            _pack_queries, "query_block bigint, queries binary"
         )
-        by_document = strong.groupBy("id").agg(F.collect_list(F.struct("query_id", "keyword")).alias("hits"))
-        scanned = scanned.join(F.broadcast(by_document), "id", "left")
-
-    def scan_with(blocks: list[_QueryBlock]) -> DataFrame:
-        step = max(1, CELLS // sum(len(block.ids) for block in blocks))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tops = [_TopBounds(len(block.ids), limit) for block in blocks]
-            for batch in batches:
-                for start in range(0, batch.num_rows, step):
-                    part = batch.slice(start, step)
-                    for block, top in zip(blocks, tops):
-                        yield from survivors(part, block, top)
-
-        def survivors(part: pa.RecordBatch, block: _QueryBlock, top: _TopBounds) -> Iterator[pa.RecordBatch]:
-            content = _cosines(part.column("content_vec"), block.vectors, block.squares)
-            title = np.zeros_like(content)
-            at_most = semantic_weight * content
-            if keyword_weight:
-                low, high = block.keyword(part.column("hits"))
-                bounds = keyword_weight * low, keyword_weight * high
-                at_least = at_most + np.minimum(*bounds)
-                at_most = at_most + np.maximum(*bounds)
-            else:
-                at_least = at_most
-            if half_title:
-                title = _cosines(part.column("title_vec"), block.vectors, block.squares)
-                lengths = pc.fill_null(part.column("title_length"), 0).to_numpy(zero_copy_only=False)
-                longer = np.maximum(block.text_lengths, lengths)
-                shorter = np.minimum(block.text_lengths, lengths)
-                ratio = np.divide(shorter, longer, out=np.zeros_like(longer), where=longer > 0)
-                at_least = at_least + half_title * title + np.minimum(half_title * ratio, 0.0)
-                at_most = at_most + half_title * title + np.maximum(half_title * ratio, 0.0)
-            keep = at_most >= top.floor(at_least) - margin
-            if threshold is not None:
-                keep &= at_most >= threshold - margin
-            query_at, doc_at = np.nonzero(keep)
-            if len(doc_at) == 0:
-                return
-            take = pa.array(doc_at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block.id_column.take(pa.array(query_at)),
-                    part.column("id").take(take),
-                    part.column("title").take(take),
-                    pa.array(content[query_at, doc_at]),
-                    pa.array(title[query_at, doc_at]),
-                ],
-                names=["query_id", "id", "title", "semantic_similarity", "title_relevance"],
-            )
-
-        return scanned.mapInArrow(scan, schema)
-
-    found = None
-    for blocks in _query_blocks(asked):
-        pairs = scan_with(blocks)
-        found = pairs if found is None else found.union(pairs)
-    if found is None:
-        found = signals.sparkSession.createDataFrame([], schema)
-    return found
+        return packed.crossJoin(materialise(blocks, "query-blocks")).mapInArrow(scan, schema)
+
+    asked = asked.withColumn("floor", F.lit(float("-inf")))
+    if limit is not None and n_queries >= SAMPLE_FROM:
+        sample = scanned.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0)
+        asked = materialise(asked, "asked")
+        order = Window.partitionBy("query_id").orderBy(F.col("at_least").desc())
+        reached = pairs(sample, asked).withColumn("place", F.row_number().over(order)).where(F.col("place") == limit)
+        floors = reached.select("query_id", F.col("at_least").alias("reached"))
+        asked = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("reached", "floor")).drop("reached")
+    return pairs(scanned, asked)

@@ -35,15 +35,10 @@ def hybrid_score(
     return semantic_part + keyword_part + title_part
 
 
-def add_keyword(pairs: DataFrame, hits: DataFrame, n_pairs: int | None = None) -> DataFrame:
-    """Adds ``keyword_relevance`` from ``hits(query_id, id, keyword)``; 0 if absent.
-
-    Few pairs are brought to the hits, which are many more and stay in place.
-    """
-    keys = ["query_id", "id"]
-    found = hits.join(broadcast_if_few(pairs.select(*keys), n_pairs), keys)
+def add_keyword(pairs: DataFrame, keyword: DataFrame) -> DataFrame:
+    """Adds ``keyword_relevance`` from ``keyword(query_id, id, keyword)``, which has no other pairs; 0 if absent."""
     relevance = F.coalesce("keyword", F.lit(0.0))
-    return pairs.join(found, keys, "left").withColumn("keyword_relevance", relevance).drop("keyword")
+    return pairs.join(keyword, ["query_id", "id"], "left").withColumn("keyword_relevance", relevance).drop("keyword")
 
 
 def add_query(pairs: DataFrame, queries: DataFrame, n_queries: int | None = None) -> DataFrame:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineseek.functions.text import content_words, join_words
-from lineseek.operators.keyword import bm25_scores, keyword_relevance, term_bucket, tfidf_scores
+from lineseek.operators.keyword import bm25_scores, term_bucket, tfidf_scores, weighted_postings
 from lineseek.operators.lemmas import lemmatise
 from lineseek.operators.pair_scan import candidate_pairs
 from lineseek.operators.query import expand_similar_words, expand_synonyms, query_terms
 from lineseek.operators.ranking import add_keyword, add_query, drop_outranked, score_pairs, top_results
+from lineseek.operators.retrieval import best_documents, keyword_hits
+from lineseek.operators.vectors import best_per_query
 from lineseek.plans.build import Embed
 from lineseek.session import broadcast_if_few, materialise
 from lineseek.sources.index import Index, id_block, load_index
 
 PAIRS_PER_TASK, TASKS_PER_CORE = 5_000, 8
+STRONG_HITS = 200_000  # best keyword hits sent along with the queries, over all of them, but one a query at least
 
 
 def _query_vectors(queries: DataFrame, embed: Embed | None, lemmas: DataFrame | None) -> DataFrame:
@@ -31,11 +34,10 @@ def _query_vectors(queries: DataFrame, embed: Embed | None, lemmas: DataFrame |
     return queries.select("query_id", "query", F.lit(None).cast("array<float>").alias("query_vec"))
 
 
-def keyword_scores(
-    index: Index, queries: DataFrame, *, scoring: str = "tfidf", synonyms: DataFrame | None = None,
-    word_vectors: DataFrame | None = None, lemmas: DataFrame | None = None,
+def _all_terms(
+    index: Index, queries: DataFrame, synonyms: DataFrame | None, word_vectors: DataFrame | None, lemmas: DataFrame | None
 ) -> DataFrame:
-    """``query_id, doc_id, score`` of documents sharing a term with a query."""
+    """``query_id, term`` of the queries and their expansions, and the bucket of the term in a stored index."""
     expansions = None
     if synonyms is not None:
         expansions = expand_synonyms(queries, synonyms)
@@ -43,9 +45,18 @@ def keyword_scores(
         similar = expand_similar_words(queries, word_vectors)
         expansions = similar if expansions is None else expansions.union(similar)
     terms = query_terms(queries, expansions, lemmas)
-    n_terms = terms.count()
     if index.term_buckets is not None:
         terms = terms.withColumn("term_bucket", term_bucket(F.col("term"), index.term_buckets))
+    return terms
+
+
+def keyword_scores(
+    index: Index, queries: DataFrame, *, scoring: str = "tfidf", synonyms: DataFrame | None = None,
+    word_vectors: DataFrame | None = None, lemmas: DataFrame | None = None,
+) -> DataFrame:
+    """``query_id, doc_id, score`` of documents sharing a term with a query."""
+    terms = _all_terms(index, queries, synonyms, word_vectors, lemmas)
+    n_terms = terms.count()
     if scoring == "tfidf":
         return tfidf_scores(terms, index.postings, index.terms, n_terms)
     if scoring == "bm25":
@@ -53,6 +64,62 @@ def keyword_scores(
     raise ValueError(f"unknown scoring: {scoring}")
 
 
+def keyword_search(
+    index: Index, queries: DataFrame, *, limit: int = 10, scoring: str = "tfidf", decimals: int | None = None, **expansion
+) -> DataFrame:
+    """``query_id, rank, id, score``: the best documents of each query by keywords alone, ties by id.
+
+    ``expansion`` are the options ``synonyms``, ``word_vectors`` and ``lemmas`` of ``search``.
+    """
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    terms, n_terms, matched = _matched(index, queries, scoring, expansion)
+    margin = 1e-9 if decimals is None else 10.0**-decimals
+    found = best_documents(matched, terms, max(limit, 1), index.n_docs, n_terms, margin)
+    score = F.col("score") if decimals is None else F.round("score", decimals)
+    return best_per_query(found.withColumn("score", score), "score", limit).select("query_id", "rank", "id", "score")
+
+
+def _matched(index: Index, queries: DataFrame, scoring: str, expansion: dict) -> tuple[DataFrame, int, DataFrame]:
+    """Terms of the queries, how many there are, and the weighted postings of all of them, both written once."""
+    options = {name: expansion.get(name) for name in ("synonyms", "word_vectors", "lemmas")}
+    terms = materialise(_all_terms(index, queries, **options), "terms")
+    n_terms = terms.count()
+    weighted = weighted_postings(
+        terms, index.postings, index.terms, n_terms, scoring=scoring, n_docs=index.n_docs, avg_doc_len=index.avg_doc_len
+    )
+    return terms.select("query_id", "term"), n_terms, materialise(weighted, "matched")
+
+
+def _strong_hits(matched: DataFrame, terms: DataFrame, n_docs: Column, n_queries: int) -> DataFrame:
+    """``query_id, id, keyword, weak, best``: relevances of the best keyword hits of each query, what any other
+    document has at most, and the score that counts as 1."""
+    k = max(1, STRONG_HITS // max(n_queries, 1))
+    hits = materialise(keyword_hits(matched, terms, k, n_docs, n_queries), "hits")
+    ends = hits.groupBy("query_id").agg(
+        F.max("score").alias("best"), F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("least")
+    )
+    joined = hits.join(broadcast_if_few(ends, n_queries), "query_id")
+    return joined.select(
+        "query_id", "id", (F.col("score") / F.col("best")).alias("keyword"),
+        F.least(F.col("least") / F.col("best"), F.lit(1.0)).alias("weak"), "best",
+    )
+
+
+def pair_keyword(
+    pairs: DataFrame, terms: DataFrame, matched: DataFrame, best: DataFrame, n_pairs: int, n_terms: int, n_queries: int
+) -> DataFrame:
+    """``query_id, id, keyword``: the exact relevance of each pair that shares a term. Few pairs come to the
+    postings, which stay in place."""
+    keys = pairs.select("query_id", "id")
+    found = matched.join(broadcast_if_few(keys, n_pairs), F.col("doc_id") == F.col("id"))
+    shared = found.join(broadcast_if_few(terms, n_terms), ["query_id", "term"])
+    scores = shared.groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
+    return scores.join(broadcast_if_few(best, n_queries), "query_id").select(
+        "query_id", "id", (F.col("score") / F.col("best")).alias("keyword")
+    )
+
+
 def search(
     index: Index,
     queries: DataFrame,
@@ -82,16 +149,10 @@ def search(
     texts = vectors.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
     n_queries = texts.count()
     margin = 1e-9 if decimals is None else 10.0**-decimals
-    # Written once: the scores set the bounds of the scan and complete its pairs.
-    scores = materialise(
-        keyword_scores(
-            index, texts, scoring=scoring, synonyms=synonyms, word_vectors=word_vectors, lemmas=lemmas
-        ),
-        "scores",
-    )
-    hits = keyword_relevance(scores, n_queries).select(
-        "query_id", F.col("doc_id").alias("id"), F.col("keyword_relevance").alias("keyword")
+    terms, n_terms, matched = _matched(
+        index, texts, scoring, {"synonyms": synonyms, "word_vectors": word_vectors, "lemmas": lemmas}
     )
+    hits = _strong_hits(matched, terms, index.n_docs, n_queries)
     found = candidate_pairs(
         index.signals,
         vectors,
@@ -103,14 +164,16 @@ def search(
         threshold=threshold,
         limit=limit,
         margin=margin,
-    )
+    ).drop("at_least")
     pairs = materialise(found, "pairs")
     n_pairs = pairs.count()
     # Edit distances cost far more than the bytes of a pair: deal them out evenly,
     # to a few tasks per core.
     tasks = min(n_pairs // PAIRS_PER_TASK + 1, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     dealt = pairs.repartition(tasks, "query_id", "id")
-    rated = add_query(add_keyword(dealt, hits, n_pairs), texts, n_queries)
+    best = hits.groupBy("query_id").agg(F.max("best").alias("best"))
+    keyword = pair_keyword(pairs, terms, matched, best, n_pairs, n_terms, n_queries)
+    rated = add_query(add_keyword(dealt, keyword), texts, n_queries)
     if limit:
         rated = drop_outranked(rated, limit, semantic_weight, title_weight, margin, n_queries)
     scored = score_pairs(rated, semantic_weight, title_weight, decimals)

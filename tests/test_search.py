@@ -102,7 +102,7 @@ def test_search_equals_brute_force(spark, index, options):
 @pytest.mark.parametrize("strong, per_scan, cells", [(1, 4096, 1_000_000), (14, 2, 10), (200_000, 3, 50)])
 def test_bounds_never_change_results(spark, index, monkeypatch, strong, per_scan, cells):
     """Few strong hits, several scans and tiny batches give the same rows."""
-    monkeypatch.setattr(pair_scan, "STRONG_HITS", strong)
+    monkeypatch.setattr(search_plan, "STRONG_HITS", strong)
     monkeypatch.setattr(pair_scan, "QUERIES_PER_SCAN", per_scan)
     monkeypatch.setattr(pair_scan, "CELLS", cells)
     monkeypatch.setattr(search_plan, "PAIRS_PER_TASK", cells)
