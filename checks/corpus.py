@@ -95,17 +95,17 @@ def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pos, line``: every document as a JSON line, some of them defective."""
+    """``pos, line``: every document as a JSON line, and after some of them a defective copy."""
     good = F.to_json(F.struct(F.col("source").alias("title"), F.col("text").alias("content")))
-    line = (
+    copy = (
         F.when(F.col("doc_id") % 10 == 0, F.concat(good, F.lit(" x")))
         .when(F.col("doc_id") % 10 == 1, F.to_json(F.struct(F.col("source").alias("title"))))
         .when(F.col("doc_id") % 10 == 2, F.to_json(F.struct(F.col("n_chars").alias("content"))))
         .when(F.col("doc_id") % 10 == 3, F.lit("null"))
         .when(F.col("doc_id") % 10 == 4, F.to_json(F.struct(F.lit(7).alias("title"), F.col("text").alias("content"))))
-        .otherwise(good)
     )
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), line.alias("line"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(good, copy)).alias("place", "line"))
+    return lines.where("line IS NOT NULL").select((2 * F.col("doc_id") + F.col("place")).alias("pos"), "line")
 
 
 def written_lines(spark: SparkSession, sf_dir: str) -> str:

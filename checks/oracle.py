@@ -143,6 +143,16 @@ def _ranked(parts: tuple[str, ...], threshold: float | None) -> str:
     )
 
 
+def _best_scores(scores: str) -> str:
+    return (
+        _with(CORPUS, POSTINGS, QUERY_TERMS, scores)
+        + """SELECT query_id, rank, id, score FROM (
+  SELECT query_id, doc_id AS id, round(score, 6) AS score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank
+  FROM scores) WHERE rank <= 10"""
+    )
+
+
 PROFILE = """
 values_seen AS (SELECT field, short, count(*) AS c, max(pos) AS last_pos
                 FROM fields WHERE short IS NOT NULL GROUP BY field, short),
@@ -187,22 +197,23 @@ fields AS (SELECT pos, 'k' AS field, 'number' AS type, length(json_extract_strin
 """
 LINES = """
 lines AS (
-  SELECT doc_id AS pos, CASE doc_id % 10
+  SELECT 2 * doc_id AS pos, CAST(json_object('title', source, 'content', text) AS VARCHAR) AS line FROM documents
+  UNION ALL
+  SELECT 2 * doc_id + 1, CASE doc_id % 10
     WHEN 0 THEN CAST(json_object('title', source, 'content', text) AS VARCHAR) || ' x'
     WHEN 1 THEN CAST(json_object('title', source) AS VARCHAR)
     WHEN 2 THEN CAST(json_object('content', n_chars) AS VARCHAR)
     WHEN 3 THEN 'null'
-    WHEN 4 THEN CAST(json_object('title', 7, 'content', text) AS VARCHAR)
-    ELSE CAST(json_object('title', source, 'content', text) AS VARCHAR) END AS line
-  FROM documents)
+    ELSE CAST(json_object('title', 7, 'content', text) AS VARCHAR) END
+  FROM documents WHERE doc_id % 10 < 5)
 """
-
-
 LINE_FIELDS = """
-entries AS (SELECT doc_id AS pos, doc_id % 10 AS k, * FROM documents WHERE doc_id % 10 <> 0),
+entries AS (
+  SELECT 2 * doc_id AS pos, 5 AS k, * FROM documents
+  UNION ALL SELECT 2 * doc_id + 1, doc_id % 10, * FROM documents WHERE doc_id % 10 BETWEEN 1 AND 4),
 fields AS (
   SELECT pos, 'title' AS field, 'string' AS type, length(source) AS len, source AS short
-  FROM entries WHERE k = 1 OR k >= 5
+  FROM entries WHERE k IN (1, 5)
   UNION ALL SELECT pos, 'title', 'number', 1, NULL FROM entries WHERE k = 4
   UNION ALL SELECT pos, 'content', 'number', length(CAST(n_chars AS VARCHAR)), NULL FROM entries WHERE k = 2
   UNION ALL SELECT pos, 'content', 'string', length(text), CASE WHEN length(text) < 100 THEN text END
@@ -219,7 +230,7 @@ SIZE = """
 LINE_CORPUS = """
 corpus AS (
   SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, text AS content, source AS title
-  FROM documents WHERE doc_id % 10 >= 5 AND text <> '')
+  FROM documents WHERE text <> '')
 """
 NO_VECTORS = "vectors AS (SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings WHERE false)"
 
@@ -283,11 +294,17 @@ ORACLE: dict[str, str] = {
          WHERE rank <= 10""",
     "expand_synonyms": _with(EXPANSION) + "SELECT query_id, expansion FROM expansion",
     "query_terms": _with(EXPANSION, EXPANDED_TERMS) + "SELECT query_id, term FROM query_words",
-    "title_similarity": _with(CORPUS, POSTINGS, QUERY_TERMS, TFIDF)
-    + f"""SELECT query_id, doc_id, round({TITLE_MATCH}, 6) AS title_match
-          FROM scores JOIN corpus ON id = doc_id
-          JOIN (SELECT item_id AS query_id, text AS query FROM benchmark) USING (query_id)""",
-    "hybrid_score": _with(*HYBRID_ALL) + f"SELECT {HYBRID_COLUMNS} FROM scored WHERE score >= 0.25",
+    "title_similarity": _with(CORPUS)
+    + f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, id, title_match FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY title_match DESC, id) AS rank
+            FROM (SELECT query_id, id, round({TITLE_MATCH}, 6) AS title_match
+                  FROM corpus CROSS JOIN (SELECT item_id AS query_id, text AS query FROM benchmark)))
+          WHERE rank <= 10""",
+    "hybrid_score": _with(*HYBRID_ALL)
+    + """SELECT query_id, count(*) AS pairs, round(sum(score), 3) AS total, round(min(score), 5) AS least,
+                round(max(score), 5) AS most, round(sum(semantic), 3) AS semantic, round(sum(keyword), 3) AS keyword,
+                round(sum(title_cos), 3) AS title, round(sum(title_match), 3) AS title_match
+         FROM scored GROUP BY query_id""",
     "hybrid_threshold": _with(*HYBRID_ALL) + f"SELECT {HYBRID_COLUMNS} FROM scored WHERE score >= 0.5",
     "hybrid_topk": _ranked(HYBRID_ALL, None),
     "search_view": _with(*HYBRID_ALL)
@@ -311,10 +328,12 @@ ORACLE: dict[str, str] = {
         "entries AS (SELECT event_id AS pos, * FROM events ORDER BY event_id LIMIT 500)", TYPED_FIELDS, PROFILE
     ),
     "jsonl_extract": """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, source AS title, text AS content
-                        FROM documents WHERE doc_id % 10 >= 5 AND text <> ''""",
-    "jsonl_rejects": """SELECT doc_id AS pos, CASE doc_id % 10 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'no_content'
+                        FROM documents WHERE text <> ''""",
+    "jsonl_rejects": """SELECT 2 * doc_id + 1 AS pos,
+                               CASE doc_id % 10 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'no_content'
                                WHEN 2 THEN 'not_string' WHEN 3 THEN 'bad_entry' ELSE 'not_string' END AS reason
-                        FROM documents WHERE doc_id % 10 < 5""",
+                        FROM documents WHERE doc_id % 10 < 5
+                        UNION ALL SELECT 2 * doc_id, 'no_content' FROM documents WHERE coalesce(text, '') = ''""",
     "dataset_size": _with(LINES) + SIZE,
     "analyze_files": _with(LINES, LINE_FIELDS)
     + f"""SELECT p.*, (SELECT count(*) FROM entries) AS total_entries, s.file_size
@@ -335,6 +354,8 @@ ORACLE: dict[str, str] = {
              round(coalesce(any_value(total), 0) / coalesce(nullif(any_value(norm), 0), 1), 3) AS weighted
       FROM documents LEFT JOIN (SELECT id, sum(v * (slot + 1))::DOUBLE AS total, sqrt(sum(v * v)::DOUBLE) AS norm
                                 FROM slots GROUP BY id) ON id = doc_id GROUP BY doc_id""",
+    "keyword_topk": _best_scores(TFIDF),
+    "bm25_topk": _best_scores(BM25),
     "index_roundtrip": _ranked(HYBRID_ALL, None),
     "index_metadata": _with(CORPUS, POSTINGS)
     + """SELECT 'documents.parquet' AS source_file, 'content' AS content_field, 'title' AS title_field,

@@ -14,7 +14,7 @@ from lineseek.operators.keyword import document_frequency, keyword_relevance, po
 from lineseek.operators.lemmas import lemmatise
 from lineseek.operators.profile import profile_entries
 from lineseek.operators.query import expand_synonyms, nearest_words, query_terms
-from lineseek.operators.ranking import result_view, title_match
+from lineseek.operators.ranking import best_titles, result_view
 from lineseek.operators.vectors import (
     attach_vectors,
     embed_texts,
@@ -26,7 +26,7 @@ from lineseek.operators.vectors import (
 )
 from lineseek.plans.analyze import analyze
 from lineseek.plans.build import build_index, save_index, signals_of, tokenised
-from lineseek.plans.search import keyword_scores, search, search_index
+from lineseek.plans.search import keyword_scores, keyword_search, score_all, search, search_index
 from lineseek.sources.index import load_index, read_metadata
 from lineseek.sources.jsonl import dataset_size, entries_of, read_documents, rejected_lines
 
@@ -102,6 +102,15 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("query_id", "doc_id", _r("score"))
 
 
+def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_search(corpus.index(spark, sf_dir), corpus.queries(spark, sf_dir), limit=LIMIT, decimals=DECIMALS)
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked = corpus.index(spark, sf_dir), corpus.queries(spark, sf_dir)
+    return keyword_search(index, asked, limit=LIMIT, scoring="bm25", decimals=DECIMALS)
+
+
 # -- vectors -------------------------------------------------------------------
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,12 +192,9 @@ def all_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- ranking -------------------------------------------------------------------
 
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title match of every query and document that share a term."""
-    titles = corpus.documents(spark, sf_dir).select(F.col("id").alias("doc_id"), "title")
-    texts = corpus.queries(spark, sf_dir).select("query_id", "query")
-    pairs = _tfidf(spark, sf_dir).join(titles, "doc_id").join(texts, "query_id")
-    match = title_match(F.col("query"), F.col("title"))
-    return pairs.select("query_id", "doc_id", F.round(match, DECIMALS).alias("title_match"))
+    """The titles closest to each query, of all titles."""
+    titles, asked = corpus.documents(spark, sf_dir).select("id", "title"), corpus.queries(spark, sf_dir)
+    return best_titles(titles, asked, LIMIT, decimals=DECIMALS)
 
 
 def _search(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -201,7 +207,18 @@ def _scores(results: DataFrame) -> DataFrame:
 
 
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(_search(spark, sf_dir, threshold=0.25, limit=None))
+    """All pairs of a query and a document, summed up by query."""
+    scored = score_all(corpus.index(spark, sf_dir), corpus.queries(spark, sf_dir), decimals=DECIMALS)
+
+    def total(column: str, name: str) -> F.Column:
+        return F.round(F.sum(column), 3).alias(name)
+
+    return scored.groupBy("query_id").agg(
+        F.count("*").alias("pairs"), total("score", "total"),
+        F.round(F.min("score"), 5).alias("least"), F.round(F.max("score"), 5).alias("most"),
+        total("semantic_similarity", "semantic"), total("keyword_relevance", "keyword"),
+        total("title_relevance", "title"), total("title_match", "title_match"),
+    )
 
 
 def hybrid_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,6 +356,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tfidf_scores": tfidf,
     "keyword_relevance": relevance,
     "bm25_scores": bm25,
+    "keyword_topk": keyword_topk,
+    "bm25_topk": bm25_topk,
     "attach_vectors": attach,
     "cosine_similarity": cosine,
     "nearest_exact": exact_neighbours,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lineseek.functions.numbers import to_fixed
 from lineseek.operators.vectors import best_per_query
-from lineseek.session import broadcast_if_few
+from lineseek.session import broadcast_if_few, materialise
 
 SNIPPET = 200
+SAMPLE_SHARE = 64  # one title of so many is compared first
 
 
 def title_match(query: Column, title: Column) -> Column:
@@ -23,6 +24,41 @@ def title_match(query: Column, title: Column) -> Column:
     return F.when(F.char_length(right) > 0, (longer - F.levenshtein(left, right)) / longer).otherwise(0.0)
 
 
+def best_titles(documents: DataFrame, queries: DataFrame, limit: int, decimals: int | None = None) -> DataFrame:
+    """``query_id, rank, id, title_match``: of all titles, those closest to each query, ties by id.
+
+    ``documents`` has ``id, title``, ``queries`` has ``query_id, query``. One title of
+    ``SAMPLE_SHARE`` tells first what ``limit`` titles reach for sure. A title whose length rules that
+    out isn't compared, and a comparison stops at the distance that would. Few queries are sent to the titles, which stay in place.
+    """
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    n_queries = queries.count()
+    title = documents.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("title"))
+    asked = queries.select("query_id", F.lower(F.coalesce("query", F.lit(""))).alias("query"))
+    margin = 1e-9 if decimals is None else 10.0**-decimals
+
+    def ranked(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        pairs = rows.crossJoin(broadcast_if_few(asked, n_queries))
+        lengths = [F.char_length("query"), F.char_length("title")]
+        longer = F.greatest(*lengths)
+        most = F.floor((1 - F.col("floor") + margin) * longer).cast("int")
+        pairs = pairs.where(longer - F.least(*lengths) <= most)
+        distance = F.call_function("levenshtein", F.col("query"), F.col("title"), most)
+        pairs = pairs.withColumns({"longer": longer, "distance": distance}).where("distance >= 0")
+        share = F.when(F.col("title") != "", (F.col("longer") - F.col("distance")) / F.col("longer")).otherwise(0.0)
+        found = pairs.select("query_id", "id", (share if decimals is None else F.round(share, decimals)).alias("title_match"))
+        return best_per_query(found, "title_match", limit)
+
+    open_ = asked.withColumn("floor", F.lit(0.0))
+    sample = ranked(title.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0), open_)
+    floors = sample.where(F.col("rank") == limit).select("query_id", F.col("title_match").alias("reached"))
+    floored = materialise(
+        open_.join(floors, "query_id", "left").withColumn("floor", F.coalesce("reached", "floor")).drop("reached"), "floors"
+    )
+    return ranked(title, floored).select("query_id", "rank", "id", "title_match")
+
+
 def hybrid_score(
     semantic: Column, keyword: Column, title_vector: Column, title_text: Column,
     semantic_weight: float, title_weight: float,

@@ -120,6 +120,43 @@ def pair_keyword(
     )
 
 
+def _rated(
+    found: DataFrame, texts: DataFrame, terms: DataFrame, matched: DataFrame, hits: DataFrame, n_terms: int, n_queries: int
+) -> DataFrame:
+    """Pairs of the scan with their query and exact keyword relevance."""
+    pairs = materialise(found, "pairs")
+    n_pairs = pairs.count()
+    # Edit distances cost far more than the bytes of a pair: deal them out evenly,
+    # to a few tasks per core.
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    tasks = min(n_pairs // PAIRS_PER_TASK + 1, TASKS_PER_CORE * cores)
+    dealt = pairs.repartition(tasks, "query_id", "id")
+    best = hits.groupBy("query_id").agg(F.max("best").alias("best"))
+    keyword = pair_keyword(pairs, terms, matched, best, n_pairs, n_terms, n_queries)
+    return add_query(add_keyword(dealt, keyword), texts, n_queries)
+
+
+def score_all(
+    index: Index, queries: DataFrame, *, semantic_weight: float = 0.7, title_weight: float = 0.3,
+    scoring: str = "tfidf", decimals: int | None = None,
+) -> DataFrame:
+    """``query_id, id, score`` and its parts for every query and document, to look at how scores are
+    distributed. As many rows as pairs: unlike ``search``, nothing is left out."""
+    vectors = materialise(_query_vectors(queries, None, None), "queries")
+    texts = vectors.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
+    n_queries = texts.count()
+    terms, n_terms, matched = _matched(index, texts, scoring, {})
+    hits = _strong_hits(matched, terms, index.n_docs, n_queries)
+    found = candidate_pairs(
+        index.signals, vectors, semantic_weight=semantic_weight, title_weight=title_weight,
+        n_queries=n_queries, threshold=None, limit=None,
+    ).drop("at_least")
+    rated = _rated(found, texts, terms, matched, hits, n_terms, n_queries)
+    return score_pairs(rated, semantic_weight, title_weight, decimals).select(
+        "query_id", "id", "score", "semantic_similarity", "keyword_relevance", "title_relevance", "title_match"
+    )
+
+
 def search(
     index: Index,
     queries: DataFrame,
@@ -143,7 +180,6 @@ def search(
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
-    spark = queries.sparkSession
     # Written once: vectors may come from a model or another source that can't repeat itself.
     vectors = materialise(_query_vectors(queries, embed, lemmas), "queries")
     texts = vectors.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
@@ -165,15 +201,7 @@ def search(
         limit=limit,
         margin=margin,
     ).drop("at_least")
-    pairs = materialise(found, "pairs")
-    n_pairs = pairs.count()
-    # Edit distances cost far more than the bytes of a pair: deal them out evenly,
-    # to a few tasks per core.
-    tasks = min(n_pairs // PAIRS_PER_TASK + 1, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
-    dealt = pairs.repartition(tasks, "query_id", "id")
-    best = hits.groupBy("query_id").agg(F.max("best").alias("best"))
-    keyword = pair_keyword(pairs, terms, matched, best, n_pairs, n_terms, n_queries)
-    rated = add_query(add_keyword(dealt, keyword), texts, n_queries)
+    rated = _rated(found, texts, terms, matched, hits, n_terms, n_queries)
     if limit:
         rated = drop_outranked(rated, limit, semantic_weight, title_weight, margin, n_queries)
     scored = score_pairs(rated, semantic_weight, title_weight, decimals)
