@@ -29,6 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERIES_PER_SCAN = 1024  # queries packed into one row
 DOCS_PER_ROW = 2048
+FEW_QUERIES = 10_000  # so many are sent to all tasks; more only if their stored table is small enough for Spark
 SAMPLE_FROM, SAMPLE_SHARE = 1000, 64  # from so many queries on, one document of 64 gives them all a first floor
 CELLS = 1_000_000  # document x query cells computed at a time
 
@@ -264,7 +265,8 @@ def candidate_pairs(
         blocks = asked.withColumn("query_block", place).groupBy("query_block").applyInArrow(
             _pack_queries, "query_block bigint, queries binary"
         )
-        return packed.crossJoin(materialise(blocks, "query-blocks")).mapInArrow(scan, schema)
+        few = n_queries <= FEW_QUERIES
+        return packed.crossJoin(F.broadcast(blocks) if few else materialise(blocks, "query-blocks")).mapInArrow(scan, schema)
 
     asked = asked.withColumn("floor", F.lit(float("-inf")))
     if limit is not None and n_queries >= SAMPLE_FROM:

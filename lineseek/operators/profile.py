@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +16,12 @@ from lineseek.functions.values import array_head, kind_of, string_of, value_leng
 from lineseek.session import broadcast_if_few, materialise
 from lineseek.sources.jsonl import running_start
 
+# Tasks get the functions below themselves, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SHORT_TEXT = 100  # only strings shorter than this count as distinct values
 DISTINCT_CAP = 1000  # more distinct values than this are reported as null
-HASH_BUCKETS = 16_384
+SMALL_SAMPLE = 10_000  # entries that may be sorted in one place
 
 
 def head_sample(entries: DataFrame, size: int | None) -> DataFrame:
@@ -20,7 +30,9 @@ def head_sample(entries: DataFrame, size: int | None) -> DataFrame:
         raise ValueError("sample size must not be negative")
     if not size:
         return entries
-    # No prefix passes through one task, whatever its size: rows are numbered inside
+    if size <= SMALL_SAMPLE:
+        return materialise(entries.orderBy("pos").limit(size), "sample")
+    # No longer prefix passes through one task, whatever its size: rows are numbered inside
     # range partitions of pos, written once so that the partitions stay fixed.
     ranged = materialise(
         entries.repartitionByRange("pos").withColumn("_part", F.spark_partition_id()), "sample"
@@ -71,41 +83,94 @@ def _described(exploded: DataFrame) -> DataFrame:
     )
 
 
+class _Distinct:
+    """Hashes of the short strings of each field, up to one more than are reported."""
+
+    def __init__(self):
+        self.by_field: dict[str | None, np.ndarray] = {}
+        self.size = 0
+
+    def add(self, field: str | None, hashes: np.ndarray) -> None:
+        held = self.by_field.get(field)
+        if held is None:
+            held = hashes[:0]
+        if len(held) <= DISTINCT_CAP:
+            self.by_field[field] = np.union1d(held, hashes)[: DISTINCT_CAP + 1]
+            self.size += len(self.by_field[field]) - len(held)
+
+    def rows(self) -> pa.RecordBatch:
+        fields, hashes = list(self.by_field), list(self.by_field.values())
+        owner = np.repeat(np.arange(len(fields)), [len(h) for h in hashes])
+        n = len(owner)
+        zeros = pa.array(np.zeros(n, np.int64))
+        self.by_field, self.size = {}, 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(fields, pa.string()).take(pa.array(owner)), pa.nulls(n, pa.string()), zeros, zeros, zeros,
+             pa.array(np.concatenate([np.zeros(0, np.int64), *hashes]))],
+            PARTIAL_NAMES,
+        )
+
+
+PARTIAL_NAMES = ["field", "type", "n", "length", "opens", "hash"]
+HELD_HASHES = 2_000_000
+
+
+def _partial_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each batch by field and type, and a task's distinct hashes by field."""
+    distinct = _Distinct()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        sums = table.group_by(["field", "type"]).aggregate([([], "count_all"), ("length", "sum"), ("opens", "sum")])
+        yield pa.RecordBatch.from_arrays(
+            [sums["field"].combine_chunks(), sums["type"].combine_chunks(), sums["count_all"].combine_chunks(),
+             sums["length_sum"].combine_chunks(), sums["opens_sum"].combine_chunks(), pa.nulls(sums.num_rows, pa.int64())],
+            PARTIAL_NAMES,
+        )
+        short = table.filter(pc.is_valid(table["hash"]))
+        fields = short["field"].combine_chunks().dictionary_encode()
+        code, hashes = fields.indices.to_numpy(), short["hash"].to_numpy()
+        order = np.argsort(code, kind="stable")
+        bounds = np.searchsorted(code[order], np.arange(len(fields.dictionary) + 1))
+        for i, field in enumerate(fields.dictionary.to_pylist()):
+            distinct.add(field, hashes[order[bounds[i] : bounds[i + 1]]])
+        if distinct.size > HELD_HASHES:
+            yield distinct.rows()
+    yield distinct.rows()
+
+
 def _field_totals(exploded: DataFrame) -> DataFrame:
     """One row per field (and one for the null field) with mergeable totals.
 
-    Short strings count by their hash, in a fixed number of hash buckets per
-    field and type, so an id-like field is not moved value by value. A bucket
-    whose least and largest hash agree holds one value (hashes have 64 bits).
-    All buffers are of fixed width and combine before the shuffle.
+    Short strings count by their 64-bit hash. A task keeps no more than 1001
+    distinct ones of a field: if that drops any, the field has too many to be
+    reported, and otherwise what the tasks keep is all there is. So what moves is
+    bounded by the fields, however many values an id-like one has.
     """
     hashed = F.when(F.col("short").isNotNull(), F.xxhash64("short"))
-    by_bucket = (
-        _described(exploded)
-        .select("field", "type", "length", "opens_entry", hashed.alias("hash"))
-        .groupBy("field", "type", F.pmod("hash", F.lit(HASH_BUCKETS)).alias("bucket"))
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("length").alias("length"),
-            F.sum(F.col("opens_entry").cast("bigint")).alias("opens"),
-            F.min("hash").alias("least"),
-            F.max("hash").alias("largest"),
-        )
+    rows = _described(exploded).select(
+        "field", "type", F.col("length").cast("bigint").alias("length"),
+        F.col("opens_entry").cast("bigint").alias("opens"), hashed.alias("hash"),
+    )
+    parts = rows.mapInArrow(
+        _partial_totals, "field string, type string, n bigint, length bigint, opens bigint, hash bigint"
+    )
+    once = parts.groupBy("field", "type", "hash").agg(
+        F.sum("n").alias("n"), F.sum("length").alias("length"), F.sum("opens").alias("opens")
     )
-    return by_bucket.groupBy("field").agg(
+    return once.groupBy("field").agg(
         F.min("type").alias("type"),
         F.max("type").alias("other_type"),
         F.sum("n").alias("n"),
         F.sum("length").alias("length"),
         F.sum("opens").alias("opens"),
-        F.count("bucket").alias("buckets"),
-        F.coalesce(F.sum((F.col("least") != F.col("largest")).cast("bigint")), F.lit(0)).alias("shared"),
+        F.count("hash").alias("distinct"),
     )
 
 
 def _counted_values(exploded: DataFrame, fields: DataFrame) -> DataFrame:
-    """``field, values, last_n``: distinct short strings of some fields, and how
-    often the last one occurs.
+    """``field, last_n``: how often the last one of the short strings of some fields occurs.
 
     Tracking is given up by the next short string, even a repeat, once the cap is
     reached. So a field at the cap keeps its count only if the value completing
@@ -117,7 +182,7 @@ def _counted_values(exploded: DataFrame, fields: DataFrame) -> DataFrame:
         .groupBy("field", "short")
         .agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
         .groupBy("field")
-        .agg(F.count("*").alias("values"), F.max_by("n", "last_pos").alias("last_n"))
+        .agg(F.max_by("n", "last_pos").alias("last_n"))
     )
 
 
@@ -127,25 +192,22 @@ def profile_entries(
     """Field statistics of ``entries(pos, entry)`` and the number of entries.
 
     Returns ``field, type, coverage, avg_length, unique_values``. The entries are
-    read once; a second pass reads those fields whose distinct values two hash
-    buckets leave in doubt, or which hold exactly 1000, where the order of
-    entries decides.
+    read once; a second pass reads those fields that hold exactly 1000 distinct values,
+    where the order of entries decides.
     """
     exploded = explode_fields(head_sample(entries, sample_size), fields)
     totals = materialise(_field_totals(exploded), "fields")
     entry_count = totals.agg(F.sum("opens")).first()[0] or 0
 
     named = totals.where(F.col("field").isNotNull())
-    at_least = F.col("buckets") + F.col("shared")
-    doubtful = named.where((at_least <= DISTINCT_CAP) & ((F.col("shared") > 0) | (at_least == DISTINCT_CAP)))
-    n_doubtful = doubtful.count()
-    if n_doubtful:
-        counted = _counted_values(exploded, broadcast_if_few(doubtful.select("field"), n_doubtful))
-        named = named.join(counted, "field", "left")
+    full = named.where(F.col("distinct") == DISTINCT_CAP).select("field")
+    n_full = full.count()
+    if n_full:
+        named = named.join(_counted_values(exploded, broadcast_if_few(full, n_full)), "field", "left")
     else:
-        named = named.withColumns({"values": F.lit(None).cast("bigint"), "last_n": F.lit(None).cast("bigint")})
+        named = named.withColumn("last_n", F.lit(None).cast("bigint"))
 
-    distinct = F.coalesce("values", at_least)
+    distinct = F.col("distinct")
     profile = named.select(
         "field",
         F.when(F.col("type") == F.col("other_type"), F.col("type")).otherwise("mixed").alias("type"),

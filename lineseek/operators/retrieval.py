@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineseek.operators.vectors import best_per_query
-from lineseek.session import materialise
+from lineseek.session import BROADCAST_ROWS, materialise
 
 # Tasks get the functions below themselves, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -126,19 +126,23 @@ class _Best:
 
 
 def best_documents(
-    matched: DataFrame, terms: DataFrame, k: int, n_docs: Column, n_queries: int, margin: float = 1e-9
+    matched: DataFrame, terms: DataFrame, k: int, n_docs: Column, n_queries: int, margin: float = 1e-9,
+    n_terms: int | None = None,
 ) -> DataFrame:
     """``query_id, id, score`` of documents that may be among the ``k`` best of their query.
 
     ``matched`` has ``term, doc_id, weight`` (positive), once for each term and document,
     ``terms`` has ``query_id, term``. Every document above the ``k``-th score is there, and those
     within ``margin`` of it; a task returns no more than ``k`` rows a query but for such ties.
-    Queries without a known term have no rows. The two tables of blocks meet as stored: Spark
-    sends the queries to all tasks if they are small, else pairs partitions.
+    Queries without a known term have no rows. ``n_terms`` counts the rows of ``terms``, if
+    known: few are sent to all tasks; otherwise Spark decides by the size of the stored table, and
+    pairs partitions of both if it is large.
     """
     document_type = matched.schema["doc_id"].dataType.simpleString()
     query_type = terms.schema["query_id"].dataType.simpleString()
-    asked = materialise(query_blocks(terms, n_queries), "query-blocks")
+    asked = query_blocks(terms, n_queries)
+    few = n_terms is not None and n_terms <= BROADCAST_ROWS
+    asked = F.broadcast(asked) if few else materialise(asked, "query-blocks")
 
     def retrieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, _Best] = {}
@@ -160,6 +164,8 @@ def best_documents(
     return pairs.mapInArrow(retrieve, f"query_id {query_type}, id {document_type}, score double")
 
 
-def keyword_hits(matched: DataFrame, terms: DataFrame, k: int, n_docs: Column, n_queries: int) -> DataFrame:
+def keyword_hits(
+    matched: DataFrame, terms: DataFrame, k: int, n_docs: Column, n_queries: int, n_terms: int | None = None
+) -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` best documents of each query, ties by id."""
-    return best_per_query(best_documents(matched, terms, k, n_docs, n_queries), "score", k)
+    return best_per_query(best_documents(matched, terms, k, n_docs, n_queries, n_terms=n_terms), "score", k)

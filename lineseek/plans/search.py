@@ -18,6 +18,7 @@ from lineseek.session import broadcast_if_few, materialise
 from lineseek.sources.index import Index, id_block, load_index
 
 PAIRS_PER_TASK, TASKS_PER_CORE = 5_000, 8
+NAMED_TERMS = 300
 STRONG_HITS = 200_000  # best keyword hits sent along with the queries, over all of them, but one a query at least
 
 
@@ -75,7 +76,7 @@ def keyword_search(
         raise ValueError("limit must not be negative")
     terms, n_terms, matched = _matched(index, queries, scoring, expansion)
     margin = 1e-9 if decimals is None else 10.0**-decimals
-    found = best_documents(matched, terms, max(limit, 1), index.n_docs, n_terms, margin)
+    found = best_documents(matched, terms, max(limit, 1), index.n_docs, n_terms, margin, n_terms)
     score = F.col("score") if decimals is None else F.round("score", decimals)
     return best_per_query(found.withColumn("score", score), "score", limit).select("query_id", "rank", "id", "score")
 
@@ -85,17 +86,21 @@ def _matched(index: Index, queries: DataFrame, scoring: str, expansion: dict) ->
     options = {name: expansion.get(name) for name in ("synonyms", "word_vectors", "lemmas")}
     terms = materialise(_all_terms(index, queries, **options), "terms")
     n_terms = terms.count()
+    postings, known = index.postings, index.terms
+    if n_terms <= NAMED_TERMS:  # named in the scan, they leave files and pages of other terms unread
+        named = [row["term"] for row in terms.select("term").distinct().collect()]
+        postings, known = (table.where(F.col("term").isin(named)) for table in (postings, known))
     weighted = weighted_postings(
-        terms, index.postings, index.terms, n_terms, scoring=scoring, n_docs=index.n_docs, avg_doc_len=index.avg_doc_len
+        terms, postings, known, n_terms, scoring=scoring, n_docs=index.n_docs, avg_doc_len=index.avg_doc_len
     )
     return terms.select("query_id", "term"), n_terms, materialise(weighted, "matched")
 
 
-def _strong_hits(matched: DataFrame, terms: DataFrame, n_docs: Column, n_queries: int) -> DataFrame:
+def _strong_hits(matched: DataFrame, terms: DataFrame, n_docs: Column, n_queries: int, n_terms: int) -> DataFrame:
     """``query_id, id, keyword, weak, best``: relevances of the best keyword hits of each query, what any other
     document has at most, and the score that counts as 1."""
     k = max(1, STRONG_HITS // max(n_queries, 1))
-    hits = materialise(keyword_hits(matched, terms, k, n_docs, n_queries), "hits")
+    hits = materialise(keyword_hits(matched, terms, k, n_docs, n_queries, n_terms), "hits")
     ends = hits.groupBy("query_id").agg(
         F.max("score").alias("best"), F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("least")
     )
@@ -146,7 +151,7 @@ def score_all(
     texts = vectors.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
     n_queries = texts.count()
     terms, n_terms, matched = _matched(index, texts, scoring, {})
-    hits = _strong_hits(matched, terms, index.n_docs, n_queries)
+    hits = _strong_hits(matched, terms, index.n_docs, n_queries, n_terms)
     found = candidate_pairs(
         index.signals, vectors, semantic_weight=semantic_weight, title_weight=title_weight,
         n_queries=n_queries, threshold=None, limit=None,
@@ -188,7 +193,7 @@ def search(
     terms, n_terms, matched = _matched(
         index, texts, scoring, {"synonyms": synonyms, "word_vectors": word_vectors, "lemmas": lemmas}
     )
-    hits = _strong_hits(matched, terms, index.n_docs, n_queries)
+    hits = _strong_hits(matched, terms, index.n_docs, n_queries, n_terms)
     found = candidate_pairs(
         index.signals,
         vectors,

@@ -7,7 +7,9 @@
 * ``metadata``  one row per build; the latest names the folder of the other tables
 
 A build writes its tables to a folder of its own and then adds its metadata row.
-Until that row is there, and if a build fails, searches use the build before.
+Until that row is there, and if a build fails, searches use the build before. Builds
+that were replaced stay, so a search that was described earlier can still be
+run; ``remove_old_builds`` takes them away once nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import uuid
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -72,6 +74,8 @@ def write_postings(entries: DataFrame, output_dir: str, n_docs: int) -> DataFram
 
     The one shuffle gathers term buckets into tasks of even size: adaptive
     execution splits a bucket, even one term, by the bytes it turns out to hold.
+    A collection of a single bucket is too small for that to keep the cores busy and
+    its terms are dealt to them by hash; one of them has few documents at most.
     Sorting by term inside each file lets Parquet encode and skip it well.
     """
     buckets = term_buckets(n_docs)
@@ -81,7 +85,9 @@ def write_postings(entries: DataFrame, output_dir: str, n_docs: int) -> DataFram
         split_words(F.col("processed_title")).alias("title_tokens"),
     )
     placed = postings(words).withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-    spread = placed.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "doc_id")
+    cores = entries.sparkSession.sparkContext.defaultParallelism
+    spread = placed.repartition(cores, "term") if buckets == 1 else placed.hint("rebalance", "term_bucket")
+    spread = spread.sortWithinPartitions("term_bucket", "term", "doc_id")
     return _write(spread, output_dir, "postings", "term_bucket")
 
 
@@ -100,9 +106,7 @@ def publish(
     spark: SparkSession, output_dir: str, build_dir: str, schemas: dict[str, StructType], *, source_file: str,
     content_field: str, title_field: str, model: str, title_boost: bool, entry_count: int, avg_doc_len: float,
 ) -> None:
-    """Adds the metadata row that makes a finished build the one in force, and
-    removes the build before it."""
-    older = [row["build"] for row in _builds(spark, output_dir).collect()] if _exists(spark, output_dir) else []
+    """Adds the metadata row that makes a finished build the one in force."""
     row = spark.range(1).select(
         F.current_timestamp().alias("created_at"),
         F.lit(source_file).alias("source_file"),
@@ -118,16 +122,6 @@ def publish(
         F.to_json(F.create_map(*(F.lit(x) for name in TABLES for x in (name, schemas[name].json())))).alias("schemas"),
     )
     row.write.mode("append").parquet(f"{output_dir}/metadata")
-    for build in older:
-        remove(spark, f"{output_dir}/{build}")
-
-
-def _exists(spark: SparkSession, output_dir: str) -> bool:
-    try:
-        _builds(spark, output_dir)
-    except FileNotFoundError:
-        return False
-    return True
 
 
 def _builds(spark: SparkSession, index_dir: str) -> DataFrame:
@@ -156,6 +150,28 @@ def read_metadata(spark: SparkSession, index_dir: str) -> DataFrame:
     return _builds(spark, index_dir).orderBy(F.col("created_at").desc(), "build").limit(1)
 
 
+def remove_old_builds(spark: SparkSession, index_dir: str, *, keep: int = 1, grace_seconds: float = 86_400.0) -> list[str]:
+    """Deletes the tables of builds that are neither among the ``keep`` latest nor were replaced
+    less than ``grace_seconds`` ago, and returns their names.
+
+    Searches described before then fail if they are run afterwards. A build is
+    replaced when the next one's metadata row is written; names of deleted ones stay there.
+    """
+    if keep < 1:
+        raise ValueError("the build in force can't be removed")
+    latest_first = Window.orderBy(F.col("created_at").desc(), "build")  # one row per build
+    builds = _builds(spark, index_dir).select(
+        "build",
+        F.row_number().over(latest_first).alias("place"),
+        F.lag("created_at").over(latest_first).alias("replaced_at"),
+    )
+    age = F.current_timestamp().cast("double") - F.col("replaced_at").cast("double")
+    old = [row["build"] for row in builds.where((F.col("place") > keep) & (age >= grace_seconds)).collect()]
+    for build in old:
+        remove(spark, f"{index_dir}/{build}")
+    return old
+
+
 def load_index(spark: SparkSession, index_dir: str) -> Index:
     """Tables of a stored index; ``Index not found`` if any part is missing."""
     meta = read_metadata(spark, index_dir).first()

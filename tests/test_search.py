@@ -274,6 +274,8 @@ def test_a_failed_rebuild_leaves_the_index_as_it_was(spark, tmp_path):
     assert len(list((tmp_path / "index").glob("build-*"))) == 1
     build_index(spark, str(lines), target, dim=DIM)
     assert len(search_index(spark, "gamma", target, threshold=None).collect()) == 2
+    assert len(list((tmp_path / "index").glob("build-*"))) == 2  # replaced, but searches may still read it
+    store.remove_old_builds(spark, target, grace_seconds=0)
     assert len(list((tmp_path / "index").glob("build-*"))) == 1
     assert store.read_metadata(spark, target).first().entry_count == 2
 
@@ -290,3 +292,22 @@ def test_a_build_leaves_no_scratch_tables(spark, tmp_path, monkeypatch):
         session.materialise(spark.range(3), "rows")
         raise RuntimeError
     assert list(shared.iterdir()) == []
+
+
+def test_a_rebuild_leaves_earlier_searches_alone(spark, tmp_path):
+    """A search described before a rebuild gives the earlier build's rows, until old builds are removed."""
+    documents, content, title = tables(spark)
+    folder = save_index(documents, str(tmp_path / "index"), content_vectors=content, title_vectors=title, dim=DIM)
+    earlier = search_index(spark, asked(spark), folder, threshold=None, limit=3, decimals=6)
+    first = store.load_index(spark, folder)
+    save_index(documents.where("id < 5"), folder, content_vectors=content, title_vectors=title, dim=DIM)
+    assert {q: [i for i, _ in rows] for q, rows in ranked(earlier).items()} == {
+        q: [i for i, _ in rows] for q, rows in expected(threshold=None, limit=3).items()
+    }
+    assert first.entries.count() == len(DOCS) and store.load_index(spark, folder).entries.count() == 5
+    assert store.remove_old_builds(spark, folder) == []  # replaced a moment ago
+    assert store.remove_old_builds(spark, folder, keep=2, grace_seconds=0) == []
+    assert len(store.remove_old_builds(spark, folder, grace_seconds=0)) == 1
+    assert store.load_index(spark, folder).entries.count() == 5
+    with pytest.raises(ValueError, match="in force"):
+        store.remove_old_builds(spark, folder, keep=0)
