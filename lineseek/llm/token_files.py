@@ -21,6 +21,7 @@ from lineseek.llm.tokens import default_tokenizer, id_lists, portions, shared_en
 from lineseek.llm.work import shuffle_partitions, tidy
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 1000
+CACHED_WORDS = 600_000
 DELTA_COLUMNS = ("doc_id", "part", "local_start", "n_tokens")
 
 
@@ -45,7 +46,7 @@ def write_token_files(
     tokenizer = tokenizer or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, written, part = shared_encoder(tokenizer), 0, TaskContext.get().partitionId()
+        encoder, written, part = shared_encoder(tokenizer, CACHED_WORDS), 0, TaskContext.get().partitionId()
         for batch in portions(batches, 1):
             ids, bounds = with_end(*encoder.encode(batch.column(1)), end_id)
             yield pa.RecordBatch.from_arrays(

@@ -48,7 +48,8 @@ def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_
 class WordEncoder:
     """``encode`` gives what ``Tokenizer.encode(text, add_special_tokens=False)`` gives."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+        self.cached_words = cached_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,7 +68,7 @@ class WordEncoder:
     def _forget_rare(self) -> None:
         """Keep the words met again since they were noted, unless they fill half of the cache."""
         kept = np.flatnonzero(self.met_again)
-        if len(kept) > CACHED_WORDS // 2:
+        if len(kept) > self.cached_words // 2:
             return self._forget()
         words, numbers = list(self.places), np.fromiter(self.places.values(), np.int64, len(self.places))
         lengths = self.lengths[kept]
@@ -109,7 +110,7 @@ class WordEncoder:
         places = np.fromiter(map(self.places.get, listed, repeat(-1)), np.int64, len(listed))
         missing = np.flatnonzero(places < 0)
         if len(missing):
-            if len(self.places) + len(missing) > CACHED_WORDS:
+            if len(self.places) + len(missing) > self.cached_words:
                 self._forget_rare()
                 places = np.fromiter(map(self.places.get, listed, repeat(-1)), np.int64, len(listed))
                 missing = np.flatnonzero(places < 0)
@@ -154,11 +155,13 @@ class WordEncoder:
 _encoder: tuple[str, WordEncoder] | None = None
 
 
-def shared_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process: it and its words serve all tasks that use ``path``."""
+def shared_encoder(path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
+    """The encoder of this worker process: it and its words serve all tasks that use ``path``.
+    A word takes some 200 bytes."""
     global _encoder
     if _encoder is None or _encoder[0] != path:
         _encoder = path, WordEncoder(path)
+    _encoder[1].cached_words = cached_words
     return _encoder[1]
 
 
