@@ -48,8 +48,8 @@ def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_
 class WordEncoder:
     """``encode`` gives what ``Tokenizer.encode(text, add_special_tokens=False)`` gives."""
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
-        self.cached_words = cached_words
+    def __init__(self, path: str, cached_words: int | None = None):
+        self.cached_words = CACHED_WORDS if cached_words is None else cached_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
