@@ -2,40 +2,45 @@
 
 Documents are counted into cells (source, language, topic). Raking gives every
 cell a factor so that the weighted tokens meet the target share of each source,
-each language and each topic. A document is kept with its cell's factor, scaled
-so that the largest is 1, against a hash of its id: the same documents stay on
-every run.
+each language and each topic. A document is kept with its cell's factor as
+probability, against a hash of its id: the same documents stay on every run.
 
-Where a few rare values would decide how much is kept, a budget of tokens does
-instead: cells of a factor above 1 are kept whole, the others are raked again,
-and values too rare for their target stay below it.
+A budget says how many tokens to keep. A cell can't give more than it holds, so a
+value's goal is its share of the budget or all its tokens, whichever is less, and
+what it lacks goes to the others. Without a budget factors have no upper bound and
+are scaled in the end, so that the largest is 1.
 
 All of it is DataFrame operations. The cell table has a row per cell, whatever
-the number of documents, is rewritten once a round, and no side is broadcast by
-hint, so sources may be many.
+the number of documents, is rewritten once a round, and is broadcast only if it
+was counted to be small, so sources may be many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineseek.llm.work import materialise
+from lineseek.session import broadcast_if_few
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS = 10
+ROUNDS = 25  # at most
+TOLERANCE = 1e-4  # rounds end when no value is off its goal by more than this share of the budget
 TEMPERS = {"source": 0.7, "lang": 0.7, "topic": 1.0}  # targets not given: the corpus' own shares to this power
 NONE = "(none)"
-LEAST_KEPT = 0.45  # share of tokens that the registered query and the pipeline keep at least
-RARE = 0.001  # values with a smaller share of the tokens have no say in the budget
+WORD = r"[^\x20\x09-\x0D]+"
+BUDGET = 0.5  # share of the tokens that the registered query and the pipeline keep
 LEVEL_STEPS = 100
+DECIMALS = 9  # of a probability; a draw has steps of 2e-10
 
 
 def word_count(text: Column) -> Column:
     """Runs of anything but ASCII white space; null has none."""
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    words = F.regexp_count(text, F.lit(WORD))
     return F.coalesce(words, F.lit(0)).cast("long")
 
 
@@ -76,21 +81,13 @@ def target_shares(cells: DataFrame, dimension: str, given: Mapping[str, float] |
     return weighed.select(dimension, (F.col("weight") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (dimensions, tokens > 0) with ``factor``: weighted tokens
-    ``tokens * factor`` meet the target shares, dimension after dimension."""
-    cells = cells.select("*", F.lit(1.0).alias("factor"))
-    for _ in range(rounds):
-        for dimension, target in targets.items():
-            held = cells.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("factor")).alias("held"))
-            change = held.join(target, dimension).select(
-                dimension, F.when(F.col("held") > 0, F.col("target") / F.col("held")).otherwise(0.0).alias("change")
-            )
-            cells = cells.join(change, dimension).select(
-                *DIMENSIONS, "tokens", (F.col("factor") * F.col("change")).alias("factor")
-            )
-        cells = materialise(cells, "cells")
-    return cells
+class Calibration(NamedTuple):
+    """``cells``: dimensions, ``tokens`` and ``probability``; ``residual``: the largest
+    distance of a value from its goal, as a share of the budget; ``rounds`` taken."""
+
+    cells: DataFrame
+    residual: float
+    rounds: int
 
 
 def level(rows: DataFrame, held: Column, want: Column, goal: float) -> float:
@@ -108,68 +105,94 @@ def level(rows: DataFrame, held: Column, want: Column, goal: float) -> float:
     return at
 
 
-def tokens_kept(raked: DataFrame) -> float:
-    """Tokens kept when the largest factor is scaled to 1."""
-    weighted, largest = raked.agg(F.sum(F.col("tokens") * F.col("factor")), F.max("factor")).first()
-    return weighted / largest if largest else 0.0
-
-
-def token_budget(
-    cells: DataFrame, raked: DataFrame, given: Mapping[str, Mapping[str, float]], rounds: int, least_kept: float
-) -> float:
-    """Tokens to keep: as many as the targets allow, with all values or without
-    the rare ones, and at least the share ``least_kept`` of those with a target."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    reachable = raked.where("factor > 0").agg(F.sum("tokens")).first()[0] or 0
-    common = cells
-    for name in DIMENSIONS:
-        values = cells.groupBy(name).agg(F.sum("tokens").alias("held")).where(F.col("held") >= RARE * total)
-        common = common.join(values.select(name), name, "left_semi")
-    common = materialise(common, "cells")
-    budget = max(tokens_kept(raked), least_kept * reachable)
-    held = common.agg(F.sum("tokens")).first()[0] or 0
-    if 0 < held < total:
-        wanted = {name: target_shares(common, name, given.get(name)) for name in DIMENSIONS}
-        again = rake(common, wanted, rounds)
-        open_ = again.where("factor > 0").agg(F.sum("tokens")).first()[0]
-        if open_:
-            budget = max(budget, tokens_kept(again) / open_ * reachable)
-    return min(budget, float(reachable))
-
-
-def rake_within(raked: DataFrame, targets: Mapping[str, DataFrame], budget: float, rounds: int) -> DataFrame:
-    """``raked`` with factors for which ``tokens * least(factor, 1)`` adds up to ``budget``.
-
-    A value's goal is its target share of the budget, and all its tokens if it
-    has less; what it lacks goes to the others. Cells kept whole count in full,
-    and the others of their value are raked to what is left of its goal.
+def calibrate(
+    cells: DataFrame,
+    targets: Mapping[str, DataFrame],
+    budget: float | None = None,
+    *,
+    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
+) -> Calibration:
+    """Factors at which ``tokens * least(factor, most)`` meets the goal of every value.
+
+    ``most`` is 1 with a budget, a share of the tokens of the values with a target,
+    and without bound otherwise. One dimension after the other is raked: a value above
+    its goal is scaled down to it, one below gives what it lacks to its cells below
+    ``most``. A value whose cells all are at ``most`` stays. Rounds end when all goals
+    are met to ``tolerance``, or with the last.
     """
-    raked = raked.where("factor > 0")
-    weighted = F.col("tokens") * F.col("factor")
+    most = float("inf") if budget is None else 1.0
+    for target in targets.values():
+        cells = cells.join(target.where("target > 0").drop("target"), target.columns[0], "left_semi")
+    cells = materialise(cells.select(*DIMENSIONS, "tokens"), "cells")
+    reachable = cells.agg(F.sum("tokens")).first()[0] or 0
+    wanted = reachable * (1.0 if budget is None else budget)
     goals = {}
     for name, target in targets.items():
-        held = materialise(raked.groupBy(name).agg(F.sum("tokens").alias("held")).join(target, name), "goals")
-        at = level(held, F.col("held"), F.col("target"), budget)
-        goals[name] = held.select(name, F.least("held", F.col("target") * at).alias("goal"))
-    cells = raked.withColumn("factor", F.col("factor") * level(raked, F.col("tokens"), weighted, budget))
-    rising = F.when(F.col("factor") < 1, weighted).otherwise(0.0)
-    short = F.col("goal") - F.col("held")
+        held = materialise(cells.groupBy(name).agg(F.sum("tokens").alias("held")).join(target, name), "goals")
+        bound = F.lit(most) if budget is None else F.col("held")
+        goals[name] = materialise(
+            held.select(name, F.least(bound, F.col("target") * level(held, bound, F.col("target"), wanted)).alias("goal")),
+            "goals",
+        )
+    weighted = F.col("tokens") * F.least(F.col("factor"), F.lit(most))
+    rising = F.when(F.col("factor") < most, F.col("tokens") * F.col("factor")).otherwise(0.0)
     change = (
-        F.when(F.col("held") > F.col("goal"), F.col("goal") / F.col("held"))
-        .when(F.col("rising") > F.col("goal") * 1e-9, 1 + short / F.col("rising"))
+        F.when(F.col("given") > F.col("goal"), F.col("goal") / F.col("given"))
+        .when(F.col("rising") > F.col("goal") * 1e-9, 1 + (F.col("goal") - F.col("given")) / F.col("rising"))
         .otherwise(1.0)
     )
-    for _ in range(rounds):
+    cells = cells.withColumn("factor", F.lit(1.0 if budget is None else budget))
+    residual, taken = 0.0, 0
+    while wanted and taken < rounds:
         for name, goal in goals.items():
-            held = cells.groupBy(name).agg(
-                F.sum(F.least(F.col("tokens"), weighted)).alias("held"), F.sum(rising).alias("rising")
-            )
-            changes = held.join(goal, name).select(name, change.alias("change"))
+            given = cells.groupBy(name).agg(F.sum(weighted).alias("given"), F.sum(rising).alias("rising"))
+            changes = given.join(goal, name).select(name, change.alias("change"))
             cells = cells.join(changes, name).select(
                 *DIMENSIONS, "tokens", (F.col("factor") * F.col("change")).alias("factor")
             )
         cells = materialise(cells, "cells")
-    return cells.withColumn("factor", F.col("factor") * level(cells, F.col("tokens"), weighted, budget))
+        off = [
+            cells.groupBy(name).agg(F.sum(weighted).alias("given")).join(goal, name)
+            .agg(F.max(F.abs(F.col("given") - F.col("goal"))).alias("off"))
+            for name, goal in goals.items()
+        ]
+        residual = reduce(DataFrame.union, off).agg(F.max("off")).first()[0] / wanted
+        taken += 1
+        if residual <= tolerance:
+            break
+    largest = (cells.agg(F.max("factor")).first()[0] or 1.0) if budget is None else 1.0
+    probability = F.round(F.least(F.col("factor") / F.lit(largest), F.lit(1.0)), DECIMALS)
+    return Calibration(cells.select(*DIMENSIONS, "tokens", probability.alias("probability")), residual, taken)
+
+
+def calibrate_documents(
+    rows: DataFrame,
+    targets: Mapping[str, Mapping[str, float]] | None,
+    budget: float | None,
+    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
+) -> Calibration:
+    """``calibrate`` for rows of :func:`document_cells`."""
+    cells = materialise(
+        rows.where("tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells"
+    )
+    wanted = {name: target_shares(cells, name, (targets or {}).get(name)) for name in DIMENSIONS}
+    return calibrate(cells, wanted, budget, rounds=rounds, tolerance=tolerance)
+
+
+def with_probability(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """``rows`` with the ``probability`` of their cell; 0 without words or cell.
+
+    The cells go to every task if they are few; else Spark chooses the join."""
+    named = cells.select(*(F.col(name).alias(f"cell_{name}") for name in DIMENSIONS), "probability")
+    same = [F.col(name) == F.col(f"cell_{name}") for name in DIMENSIONS]
+    joined = rows.join(
+        broadcast_if_few(named, cells.count()), same[0] & same[1] & same[2] & (F.col("tokens") > 0), "left"
+    )
+    return joined.select(
+        *(F.col(name) for name in rows.columns), F.coalesce("probability", F.lit(0.0)).alias("probability")
+    )
 
 
 def draw(identity: Column) -> Column:
@@ -187,18 +210,18 @@ def mix(
     source_col: str = "source",
     lang_col: str = "lang",
     topic: Column | None = None,
+    budget: float | None = None,
     rounds: int = ROUNDS,
-    least_kept: float | None = None,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """``id_col, source, lang, topic, tokens, probability, kept`` for every row.
 
     ``targets`` names wanted weights per dimension, e.g. ``{"lang": {"en": 3,
     "de": 1}}``; values not named get none. Without them a dimension's target
-    is its own share of tokens to the power 0.7 (topics: 1). The rarest value then
-    decides how much is kept. With ``least_kept`` a budget does (``token_budget``):
-    what the targets allow without rare values, or that share of the tokens;
-    values that have too few tokens for their target are kept whole. Rows without a word have
-    probability 0. Null source or language is a value of its own, a null id
+    is its own share of tokens to the power 0.7 (topics: 1). ``budget`` is the share
+    of the tokens with a target to keep; a value with too few tokens is then kept
+    whole. Without it the rarest value decides how much is kept. Rows without a word
+    have probability 0. Null source or language is a value of its own, a null id
     draws as the empty text. Repeated rows draw alike. Other columns don't
     matter. An empty table gives no rows.
     """
@@ -208,21 +231,8 @@ def mix(
         ),
         "mixing",
     )
-    cells = materialise(
-        rows.where("tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells"
-    )
-    wanted = {name: target_shares(cells, name, (targets or {}).get(name)) for name in DIMENSIONS}
-    raked = rake(cells, wanted, rounds)
-    largest = raked.agg(F.max("factor")).first()[0] or 1.0
-    if least_kept is not None:
-        budget = token_budget(cells, raked, targets or {}, rounds, least_kept)
-        if budget > tokens_kept(raked) * (1 + 1e-9):
-            raked, largest = rake_within(raked, wanted, budget, rounds), 1.0
-    probability = F.least(F.coalesce(F.col("factor") / F.lit(largest), F.lit(0.0)), F.lit(1.0))
-    raked = raked.select(*(F.col(name).alias(f"cell_{name}") for name in DIMENSIONS), "factor")
-    same = [F.col(name) == F.col(f"cell_{name}") for name in DIMENSIONS]
-    joined = rows.join(raked, same[0] & same[1] & same[2] & (F.col("tokens") > 0), "left")
-    return joined.select("id", *DIMENSIONS, "tokens", probability.alias("probability")).select(
+    found = calibrate_documents(rows, targets, budget, rounds, tolerance)
+    return with_probability(rows, found.cells).select(
         F.col("id").alias(id_col),
         *DIMENSIONS,
         "tokens",
@@ -231,30 +241,35 @@ def mix(
     )
 
 
-def sample_mixed(documents: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, **columns) -> DataFrame:
+def sample_mixed(
+    documents: DataFrame,
+    targets: Mapping[str, Mapping[str, float]] | None = None,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    topic: Column | None = None,
+    budget: float | None = None,
+    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
     """The rows of ``documents`` that :func:`mix` keeps, all columns as they were.
 
-    The ids of the rows left out, distinct, are what is joined; a row with a
-    null id stays only if its cell's probability is 1.
+    One pass counts the cells, a second looks each row's cell up and draws; where
+    the cells are few no row is moved.
     """
-    id_col = columns.get("id_col", "doc_id")
-    judged = mix(documents, targets, **columns)
-    names = {name: columns.get(name, default) for name, default in
-             (("text_col", "text"), ("source_col", "source"), ("lang_col", "lang"))}
-    lost = judged.where(~F.col("kept")).select(
-        F.col(id_col).alias("lost_id"), *(F.col(name).alias(f"lost_{name}") for name in (*DIMENSIONS, "tokens"))
-    ).distinct()
+    names = {"id_col": id_col, "text_col": text_col, "source_col": source_col, "lang_col": lang_col, "topic": topic}
+    found = calibrate_documents(document_cells(documents, **names), targets, budget, rounds, tolerance)
     whole = documents.select(F.struct("*").alias("row"))
-    topic = columns.get("topic")
-    parts = {
-        "id": F.col(f"row.{id_col}"),
-        "source": F.coalesce(F.col(f"row.{names['source_col']}"), F.lit(NONE)),
-        "lang": F.coalesce(F.col(f"row.{names['lang_col']}"), F.lit(NONE)),
-        "topic": topic_of(F.col(f"row.{names['text_col']}")) if topic is None else topic,
-        "tokens": word_count(F.col(f"row.{names['text_col']}")),
-    }
-    keyed = whole.select("row", *(value.alias(name) for name, value in parts.items()))
-    matched = F.col("id").eqNullSafe(F.col("lost_id"))
-    for name in (*DIMENSIONS, "tokens"):
-        matched = matched & (F.col(name) == F.col(f"lost_{name}"))
-    return keyed.join(lost, matched, "left_anti").select("row.*")
+    text = F.col(f"row.{text_col}")
+    keyed = whole.select(
+        "row",
+        F.col(f"row.{id_col}").alias("id"),
+        F.coalesce(F.col(f"row.{source_col}"), F.lit(NONE)).alias("source"),
+        F.coalesce(F.col(f"row.{lang_col}"), F.lit(NONE)).alias("lang"),
+        (topic_of(text) if topic is None else topic).alias("topic"),
+        F.coalesce(F.rlike(text, F.lit(WORD)), F.lit(False)).cast("int").alias("tokens"),
+    )
+    drawn = with_probability(keyed, found.cells)
+    return drawn.where(draw(F.col("id")) < F.col("probability")).select("row.*")

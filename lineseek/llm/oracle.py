@@ -68,8 +68,9 @@ FROM rolling r JOIN kept k ON k.conv_id = r.conv_id
 """
 
 
-def mixing(rounds: int = 10) -> str:
-    """Raking written out, one step after the other."""
+def mixing(rounds: int = 25, budget: float = 0.5, tolerance: float = 1e-4) -> str:
+    """Raking to a budget written out, one step after the other. The level at which
+    capped goals add up to the budget comes from values sorted by held / target."""
     steps = [
         """rows_ AS MATERIALIZED (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
@@ -79,32 +80,53 @@ def mixing(rounds: int = 10) -> str:
               ELSE 'prose' END AS topic,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens
   FROM documents)""",
-        """step_0 AS MATERIALIZED (
-  SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(1.0 AS DOUBLE) AS factor
+        f"""cells_0_topic AS MATERIALIZED (
+  SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens, CAST({budget} AS DOUBLE) AS factor
   FROM rows_ WHERE tokens > 0 GROUP BY ALL)""",
+        f"wanted AS MATERIALIZED (SELECT sum(tokens) * {budget} AS wanted FROM cells_0_topic)",
+        "off_0 AS (SELECT CAST(1 AS DOUBLE) AS off)",
     ]
     for name, temper in (("source", 0.7), ("lang", 0.7), ("topic", 1.0)):
         steps.append(
-            f"""target_{name} AS MATERIALIZED (
-  SELECT {name}, weight / sum(weight) OVER () AS target FROM (
-    SELECT {name}, pow(CAST(sum(tokens) AS DOUBLE), {temper}) AS weight FROM step_0 GROUP BY {name}))"""
+            f"""held_{name} AS (
+  SELECT {name}, sum(tokens) AS held, pow(sum(tokens), {temper}) AS want FROM cells_0_topic GROUP BY {name}),
+goal_{name} AS MATERIALIZED (
+  SELECT {name}, least(held, want * (SELECT max(mark) FROM (
+    SELECT (wanted - coalesce(sum(held) OVER before, 0)) / sum(want) OVER after AS mark, held / want AS filled
+    FROM held_{name}, wanted
+    WINDOW before AS (ORDER BY held / want, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           after AS (ORDER BY held / want, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    WHERE mark <= filled)) AS goal
+  FROM held_{name})"""
         )
-    step = 0
-    for _ in range(rounds):
+    before = "cells_0_topic"
+    for step in range(1, rounds + 1):
         for name in ("source", "lang", "topic"):
             steps.append(
-                f"""step_{step + 1} AS MATERIALIZED (
-  SELECT s.source, s.lang, s.topic, s.tokens,
-         s.factor * t.target / sum(s.tokens * s.factor) OVER (PARTITION BY s.{name}) AS factor
-  FROM step_{step} s JOIN target_{name} t USING ({name}))"""
+                f"""change_{step}_{name} AS (
+  SELECT {name}, CASE WHEN given > goal THEN goal / given
+                      WHEN rising > goal * 1e-9 THEN 1 + (goal - given) / rising ELSE 1 END AS change
+  FROM (SELECT {name}, sum(tokens * least(factor, 1)) AS given,
+               sum(CASE WHEN factor < 1 THEN tokens * factor ELSE 0 END) AS rising FROM {before} GROUP BY {name})
+  JOIN goal_{name} USING ({name})),
+cells_{step}_{name} AS MATERIALIZED (
+  SELECT source, lang, topic, tokens,
+         factor * CASE WHEN off > {tolerance} THEN change ELSE 1 END AS factor
+  FROM {before} JOIN change_{step}_{name} USING ({name}), off_{step - 1})"""
             )
-            step += 1
+            before = f"cells_{step}_{name}"
+        parts = " UNION ALL ".join(
+            f"SELECT max(abs(given - goal)) AS off FROM (SELECT {name}, sum(tokens * least(factor, 1)) AS given"
+            f" FROM {before} GROUP BY {name}) JOIN goal_{name} USING ({name})"
+            for name in ("source", "lang", "topic")
+        )
+        steps.append(f"off_{step} AS MATERIALIZED (SELECT max(off) / any_value(wanted) AS off FROM ({parts}), wanted)")
     return (
         "WITH " + ",\n".join(steps) + f""",
 judged AS (
   SELECT r.doc_id, r.source, r.lang, r.topic, r.tokens,
-         coalesce(s.factor / (SELECT max(factor) FROM step_{step}), 0) AS probability
-  FROM rows_ r LEFT JOIN step_{step} s
+         CASE WHEN s.factor IS NULL THEN 0 ELSE round(least(s.factor, 1), 9) END AS probability
+  FROM rows_ r LEFT JOIN {before} s
     ON r.source = s.source AND r.lang = s.lang AND r.topic = s.topic AND r.tokens > 0)
 SELECT *, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < probability AS kept
 FROM judged"""

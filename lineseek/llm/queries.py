@@ -10,7 +10,7 @@ from lineseek.llm.chat import maximal_conversations
 from lineseek.llm.divergence import source_divergence
 from lineseek.llm.exact_dedup import exact_duplicates
 from lineseek.llm.language import identify_held_out
-from lineseek.llm.mixing import LEAST_KEPT, mix
+from lineseek.llm.mixing import BUDGET, mix
 from lineseek.llm.near_dup import near_duplicates
 from lineseek.llm.packing import pack_documents
 from lineseek.llm.periodic import periodic_runs
@@ -75,7 +75,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), least_kept=LEAST_KEPT)
+    return mix(table(spark, sf_dir, "documents"), budget=BUDGET)
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
