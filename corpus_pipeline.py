@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lineseek.llm.exact_dedup import drop_exact_duplicates
 from lineseek.llm.language import fit_labelled, keep_identified
-from lineseek.llm.mixing import LEAST_KEPT, sample_mixed
+from lineseek.llm.mixing import BUDGET, sample_mixed
 from lineseek.llm.near_dup import drop_near_duplicates
 from lineseek.llm.packing import pack_documents
 from lineseek.llm.work import materialise
@@ -40,9 +40,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics approach their tempered shares;
-    values too rare to decide the budget are kept whole."""
-    return sample_mixed(docs, least_kept=LEAST_KEPT)
+    """Documents with half of the tokens, drawn so that sources, languages and topics meet their
+    tempered shares; values with too few tokens for theirs are kept whole."""
+    return sample_mixed(docs, budget=BUDGET)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
