@@ -263,6 +263,55 @@ def _listed(tokens: str) -> str:
 
 _lemma = "CASE WHEN t LIKE '%s' AND length(t) >= 4 THEN left(t, length(t) - 1) ELSE t END"
 
+
+def _word_space(dim: int = 16, window: int = 4, min_count: int = 5, rounds: int = 2) -> str:
+    """Word vectors as rows ``word, j, v``: columns are made orthonormal one by one."""
+    steps = [
+        f"tokens AS MATERIALIZED (SELECT doc_id, {_kept('text')} AS w FROM documents)",
+        f"""placed AS MATERIALIZED (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM tokens),
+frequent AS MATERIALIZED (SELECT word FROM placed GROUP BY word HAVING count(*) >= {min_count}),
+counts AS MATERIALIZED (
+  SELECT word, context, count(*) AS n FROM (
+    SELECT x.word, y.word AS context FROM placed x JOIN placed y
+      ON x.doc_id = y.doc_id AND abs(x.place - y.place) BETWEEN 1 AND {window})
+  WHERE word IN (FROM frequent) AND context IN (FROM frequent) GROUP BY ALL),
+sums AS MATERIALIZED (SELECT word, sum(n)::DOUBLE AS n FROM counts GROUP BY word),
+matrix AS MATERIALIZED (
+  SELECT c.word, c.context, ln(c.n * (SELECT sum(n) FROM sums) / (s.n * t.n)) AS weight
+  FROM counts c JOIN sums s ON s.word = c.word JOIN sums t ON t.word = c.context
+  WHERE ln(c.n * (SELECT sum(n) FROM sums) / (s.n * t.n)) > 0),
+basis_0 AS MATERIALIZED (
+  SELECT word, j, CASE WHEN substr(md5(word || ':0'), CAST(j + 1 AS INTEGER), 1) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE AS v
+  FROM (SELECT DISTINCT word FROM matrix), range({dim}) r(j))""",
+    ]
+    product = "SELECT m.word, j, sum(weight * v) AS v FROM matrix m JOIN {} b ON b.word = m.context GROUP BY ALL"
+    for step in range(1, rounds + 1):
+        steps.append(f"y_{step} AS MATERIALIZED ({product.format(f'basis_{step - 1}')})")
+        made = []
+        for j in range(dim):
+            name, own = f"q_{step}_{j}", f"(SELECT word, v FROM y_{step} WHERE j = {j})"
+            if made:
+                before = " UNION ALL ".join(f"SELECT word, {i} AS i, v FROM {q}" for i, q in enumerate(made))
+                steps.append(f"""b_{step}_{j} AS MATERIALIZED ({before}),
+d_{step}_{j} AS MATERIALIZED (SELECT i, sum(b.v * y.v) AS dot FROM b_{step}_{j} b JOIN {own} y USING (word) GROUP BY i),
+l_{step}_{j} AS MATERIALIZED (
+  SELECT y.word, any_value(y.v) - sum(b.v * d.dot) AS v
+  FROM {own} y JOIN b_{step}_{j} b USING (word) JOIN d_{step}_{j} d USING (i) GROUP BY y.word)""")
+                left = f"l_{step}_{j}"
+            else:
+                left = own
+            steps.append(f"{name} AS MATERIALIZED (SELECT word, v / sqrt(sum(v * v) OVER ()) AS v FROM {left})")
+            made.append(name)
+        steps.append(
+            f"basis_{step} AS MATERIALIZED ("
+            + " UNION ALL ".join(f"SELECT word, {i} AS j, v FROM {q}" for i, q in enumerate(made)) + ")"
+        )
+    steps.append(f"""space AS MATERIALIZED (
+  SELECT word, j, v::FLOAT::DOUBLE AS v FROM ({product.format(f'basis_{rounds}')}))""")
+    return ",\n".join(steps)
+
+
 ORACLE: dict[str, str] = {
     "normalise_text": f"SELECT doc_id, {_normal('text')} AS normalised FROM documents",
     "tokenise": _listed(_tokens("text")),
@@ -354,6 +403,21 @@ ORACLE: dict[str, str] = {
              round(coalesce(any_value(total), 0) / coalesce(nullif(any_value(norm), 0), 1), 3) AS weighted
       FROM documents LEFT JOIN (SELECT id, sum(v * (slot + 1))::DOUBLE AS total, sqrt(sum(v * v)::DOUBLE) AS norm
                                 FROM slots GROUP BY id) ON id = doc_id GROUP BY doc_id""",
+    "cooccurrence_embed": _with(_word_space()) + """,
+      means AS (SELECT doc_id, j, sum(v) / count(*) AS v FROM placed JOIN space USING (word) GROUP BY ALL)
+      SELECT doc_id AS id, round(coalesce(norm, 0), 5) AS norm FROM documents
+      LEFT JOIN (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM means GROUP BY doc_id) USING (doc_id)""",
+    "cooccurrence_words": _with(_word_space()) + f""",
+      asked AS (SELECT DISTINCT unnest({_kept("text")}) AS word FROM benchmark),
+      norms AS MATERIALIZED (SELECT word, sqrt(sum(v * v)) AS norm FROM space GROUP BY word),
+      pairs AS (
+        SELECT x.word AS token, y.word, sum(x.v * y.v) AS dot
+        FROM space x JOIN asked a ON a.word = x.word JOIN space y ON y.j = x.j AND y.word <> x.word GROUP BY ALL),
+      scored AS (
+        SELECT token, p.word, round(dot / (s.norm * t.norm), 6) AS similarity
+        FROM pairs p JOIN norms s ON s.word = p.token JOIN norms t ON t.word = p.word)
+      SELECT token, CAST(row_number() OVER (PARTITION BY token ORDER BY similarity DESC, word) AS INTEGER) AS rank,
+             word, similarity FROM scored QUALIFY rank <= 3""",
     "keyword_topk": _best_scores(TFIDF),
     "bm25_topk": _best_scores(BM25),
     "index_roundtrip": _ranked(HYBRID_ALL, None),

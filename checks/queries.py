@@ -24,6 +24,7 @@ from lineseek.operators.vectors import (
     train_word_vectors,
     word_vectors,
 )
+from lineseek.operators.word_space import embed_by_words, word_space
 from lineseek.plans.analyze import analyze
 from lineseek.plans.build import build_index, save_index, signals_of, tokenised
 from lineseek.plans.search import keyword_scores, keyword_search, score_all, search, search_index
@@ -179,6 +180,29 @@ def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_words(asked, word_vectors(_word_model(spark, sf_dir)))
 
 
+SPACE_DIM = 16
+
+
+def _word_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = corpus.table(spark, sf_dir, "documents").select(content_words(F.col("text")).alias("words"))
+    return word_space(texts, "words", dim=SPACE_DIM)
+
+
+def cooccurrence_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of each text's vector."""
+    texts = preprocess_text(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("processed").alias("text"))
+    embedded = embed_by_words(_word_space(spark, sf_dir), texts, dim=SPACE_DIM)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x))
+    return embedded.select("id", F.round(norm, 5).alias("norm"))
+
+
+def cooccurrence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = corpus.table(spark, sf_dir, "benchmark").select(
+        F.explode(content_words(F.col("text"))).alias("token")
+    ).distinct()
+    return nearest_words(asked, _word_space(spark, sf_dir), decimals=DECIMALS)
+
+
 # -- queries -------------------------------------------------------------------
 
 def synonym_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,6 +388,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearest_approx": approx_neighbours,
     "word2vec_embed": word2vec_embed,
     "nearest_words": similar_words,
+    "cooccurrence_embed": cooccurrence_embed,
+    "cooccurrence_words": cooccurrence_words,
     "expand_synonyms": synonym_expansion,
     "query_terms": all_query_terms,
     "title_similarity": title_similarity,

@@ -42,14 +42,17 @@ def expand_similar_words(queries: DataFrame, word_vectors: DataFrame, count: int
     return tokens.join(near, "token").select("query_id", F.col("word").alias("expansion")).distinct()
 
 
-def nearest_words(tokens: DataFrame, word_vectors: DataFrame, count: int = WORDS_PER_TOKEN) -> DataFrame:
-    """``token, rank, word, similarity`` over ``word_vectors(word, vector)``."""
+def nearest_words(
+    tokens: DataFrame, word_vectors: DataFrame, count: int = WORDS_PER_TOKEN, decimals: int | None = None
+) -> DataFrame:
+    """``token, rank, word, similarity`` over ``word_vectors(word, vector)``; similarities
+    rounded to ``decimals`` before they are ranked, ties by word."""
     vocabulary = word_vectors.select(F.col("word").alias("id"), F.col("vector").alias("vec"))
     asked = tokens.join(word_vectors, tokens["token"] == word_vectors["word"]).select(
         F.col("token").alias("query_id"), F.col("vector").alias("query_vec")
     )
     # One extra neighbour, because a word is always nearest to itself.
-    near = nearest_exact(vocabulary, asked, count + 1).where(F.col("id") != F.col("query_id"))
+    near = nearest_exact(vocabulary, asked, count + 1, decimals).where(F.col("id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy("rank")
     return (
         near.withColumn("rank", F.row_number().over(order))
