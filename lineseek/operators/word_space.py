@@ -1,8 +1,8 @@
 """Word vectors from co-occurrence counts, by randomised subspace iteration.
 
 1. Pairs of words at most ``window`` places apart are counted, weighted by positive
-   pointwise mutual information and kept as a sparse symmetric matrix in rows
-   ``word, context, weight``.
+   pointwise mutual information and kept as a sparse symmetric matrix, one row
+   ``left, right, weight`` per pair.
 2. A matrix of one short row per word, of random signs taken from the words' md5,
    is multiplied by it and made orthonormal, ``rounds`` times over. It then spans the
    directions in which the counts vary most.
@@ -32,11 +32,12 @@ DEPENDENT = 1e-10  # share of a column's square that must be left for it to coun
 
 
 def cooccurrences(documents: DataFrame, column: str, window: int = WINDOW, min_count: int = MIN_COUNT) -> DataFrame:
-    """``word, context, count`` over the token arrays in ``column``, in both directions.
+    """``left, right, count`` over the token arrays in ``column``, a pair in one order of its words;
+    a word next to itself counts twice, once for each direction.
 
     Words that occur less than ``min_count`` times are left out after pairs were formed,
     so they keep the others apart. Null arrays count as empty. Pairs are summed within
-    each task before they move, in one order of the two words.
+    each task before they move.
     """
     words = F.coalesce(F.col(column), F.array().cast("array<string>"))
 
@@ -49,7 +50,9 @@ def cooccurrences(documents: DataFrame, column: str, window: int = WINDOW, min_c
         )
 
     pairs = documents.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), apart))).alias("pair"))
-    counted = pairs.groupBy("pair.left", "pair.right").agg(F.count("*").alias("count"))
+    counted = pairs.groupBy("pair.left", "pair.right").agg(
+        F.sum(F.when(F.col("pair.left") == F.col("pair.right"), 2).otherwise(1)).alias("count")
+    )
     frequent = materialise(
         documents.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_count).select("word"),
@@ -57,26 +60,26 @@ def cooccurrences(documents: DataFrame, column: str, window: int = WINDOW, min_c
     )
     for side in ("left", "right"):
         counted = counted.join(frequent.withColumnRenamed("word", side), side, "left_semi")
-    ways = F.when(
-        F.col("left") == F.col("right"),
-        F.array(F.struct(F.col("left").alias("word"), F.col("right").alias("context"), (2 * F.col("count")).alias("count"))),
-    ).otherwise(
-        F.array(
-            F.struct(F.col("left").alias("word"), F.col("right").alias("context"), F.col("count")),
-            F.struct(F.col("right").alias("word"), F.col("left").alias("context"), F.col("count")),
-        )
+    return counted
+
+
+def both_ways(pairs: DataFrame, value: str) -> DataFrame:
+    """``word, context, value`` from ``left, right, value``, in both directions."""
+    ways = F.array(
+        F.struct(F.col("left").alias("word"), F.col("right").alias("context"), F.col(value)),
+        F.struct(F.col("right").alias("word"), F.col("left").alias("context"), F.col(value)),
     )
-    return counted.select(F.inline(ways))
+    return pairs.select(F.inline(F.slice(ways, F.lit(1), F.when(F.col("left") == F.col("right"), 1).otherwise(2))))
 
 
 def association(counts: DataFrame) -> DataFrame:
-    """``word, context, weight``: ln(count * all / (word's * context's)), where it is above 0."""
+    """``left, right, weight``: ln(count * all / (left's * right's)), where it is above 0."""
     counts = materialise(counts, "cooccurrences")
-    sums = materialise(counts.groupBy("word").agg(F.sum("count").alias("n_word")), "words")
-    total = sums.agg(F.sum("n_word")).first()[0] or 0
-    by_context = sums.select(F.col("word").alias("context"), F.col("n_word").alias("n_context"))
-    share = (F.col("count").cast("double") * F.lit(float(total))) / (F.col("n_word").cast("double") * F.col("n_context"))
-    weighed = counts.join(sums, "word").join(by_context, "context").select("word", "context", F.ln(share).alias("weight"))
+    sums = materialise(both_ways(counts, "count").groupBy("word").agg(F.sum("count").alias("n")), "words")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    left, right = (sums.select(F.col("word").alias(side), F.col("n").alias(f"n_{side}")) for side in ("left", "right"))
+    share = (F.col("count").cast("double") * F.lit(float(total))) / (F.col("n_left").cast("double") * F.col("n_right"))
+    weighed = counts.join(left, "left").join(right, "right").select("left", "right", F.ln(share).alias("weight"))
     return weighed.where(F.col("weight") > 0)
 
 
@@ -140,7 +143,8 @@ def word_space(
     An empty table, or one without such words, gives no rows. Repeated documents
     count as often as they occur; other columns don't matter.
     """
-    matrix = materialise(association(cooccurrences(documents, column, window, min_count)), "association")
+    weights = materialise(association(cooccurrences(documents, column, window, min_count)), "association")
+    matrix = both_ways(weights, "weight")
     vectors = matrix.select("word").distinct().select("word", random_signs(F.col("word"), dim).alias("vector"))
     for _ in range(rounds):
         product = materialise(_product(matrix, vectors, dim), "vectors")

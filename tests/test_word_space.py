@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lineseek.operators.query import nearest_words
-from lineseek.operators.word_space import association, cooccurrences, embed_by_words, random_signs, word_space
+from lineseek.operators.word_space import association, both_ways, cooccurrences, embed_by_words, random_signs, word_space
 from pyspark.sql import functions as F
 
 TEXTS = [
@@ -34,7 +34,7 @@ def counted(window, least):
 
 @pytest.mark.parametrize(("window", "least"), [(1, 1), (3, 3), (50, 2)])
 def test_counts(spark, window, least):
-    got = cooccurrences(table(spark), "words", window, least).collect()
+    got = both_ways(cooccurrences(table(spark), "words", window, least), "count").collect()
     assert {(r.word, r.context): r["count"] for r in got} == counted(window, least)
     assert len(got) == len(counted(window, least))
 
