@@ -10,6 +10,9 @@ from lineseek.session import let
 # Size units, 1024 steps, the last one is not exceeded.
 SIZE_UNITS = ["B", "KB", "MB", "GB", "TB"]
 
+SURE_DIGITS = 15  # two decimals of so few digits are never the same normal double
+LEAST_NORMAL = 2.0**-1022
+
 
 def number_text_length(value: Column) -> Column:
     """Length of a double written in ECMAScript's shortest form.
@@ -19,31 +22,37 @@ def number_text_length(value: Column) -> Column:
     exponent with an explicit sign and no trailing ``.0``.
     """
 
+    def spelt(size: Column, text: Column, plain: Column) -> Column:
+        short = F.length(text) <= SURE_DIGITS + 1  # the point is one of the places
+        return F.when(plain & short, F.length(text)).otherwise(_laid_out_length(size, text))
+
     def length(x: Column) -> Column:
         size = F.abs(x)
         integral = (size < 2.0**53) & (size == F.floor(size))
         plain = (size >= 1e-3) & (size < 1e7)  # Spark prints these without an exponent
         unsigned = (
             F.when(integral, F.length(F.floor(size).cast("string")))
-            .when(plain, F.length(size.cast("string")))
             .when(size == float("inf"), 8)
-            .otherwise(let(size.cast("string"), _scientific_length))
+            .otherwise(let(size.cast("string"), lambda text: spelt(size, text, plain)))
         )
         return unsigned + F.when(x < 0, 1).otherwise(0)
 
     return let(value, length).cast("bigint")
 
 
-def _scientific_length(text: Column) -> Column:
-    """ECMAScript length from Spark's ``d.dddE±x`` text of a positive double."""
+def _laid_out_length(size: Column, text: Column) -> Column:
+    """ECMAScript length of the positive double ``size`` that Spark prints as ``text``."""
     mantissa = F.substring_index(text, "E", 1)
-    figures = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), "^0+|0+$", "")
+    unpointed = F.regexp_replace(mantissa, r"\.", "")
     power = F.when(text.contains("E"), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
-    leading = F.length(F.regexp_extract(F.regexp_replace(mantissa, r"\.", ""), "^0*", 0))
+    leading = F.length(F.regexp_extract(unpointed, "^0*", 0))
     whole = F.length(F.substring_index(mantissa, ".", 1))
+    printed = F.struct(
+        F.regexp_replace(unpointed, "^0+|0+$", "").alias("figures"), (whole + power - leading).alias("point")
+    )
 
     def laid_out(part: Column) -> Column:
-        digits, point = part["digits"], part["point"]
+        digits, point = F.length(part["figures"]), part["point"]
         exponent = F.length(F.abs(point - 1).cast("string"))
         return (
             F.when((point >= digits) & (point <= 21), point)
@@ -53,7 +62,37 @@ def _scientific_length(text: Column) -> Column:
             .otherwise(digits + 3 + exponent)
         )
 
-    return let(F.struct(F.length(figures).alias("digits"), (whole + power - leading).alias("point")), laid_out)
+    return let(let(printed, lambda part: _shortest(size, part)), laid_out)
+
+
+def _shortest(size: Column, printed: Column) -> Column:
+    """``figures, point`` of the fewest digits that read back as ``size``.
+
+    Spark's own digits name the double but may be more than it needs. If fewer do, the
+    decimal of that many digits just below or just above them does, so both are
+    cast back, for every number of digits that leaves a doubt: all for a subnormal
+    number, from 15 on for another.
+    """
+    figures, point = printed["figures"], printed["point"]
+    held = F.length(figures)
+
+    def decimal(units: Column, places: Column) -> Column:
+        digits = units.cast("string")
+        return F.struct(
+            F.regexp_replace(digits, "0+$", "").alias("figures"),
+            (point + F.length(digits) - places).alias("point"),  # one more place if all digits were nines
+        )
+
+    def around(places: Column) -> Column:
+        below = figures.substr(F.lit(1), places).cast("bigint")
+        return F.array(decimal(below, places), decimal(below + 1, places))
+
+    def reads_back(found: Column) -> Column:
+        return F.concat(F.lit("0."), found["figures"], F.lit("E"), found["point"].cast("string")).cast("double") == size
+
+    fewest = F.when(size < LEAST_NORMAL, 1).otherwise(SURE_DIGITS)
+    tried = F.flatten(F.transform(F.sequence(fewest, held), around))
+    return F.when(held <= fewest, printed).otherwise(F.element_at(F.filter(tried, reads_back), 1))
 
 
 def to_fixed(value: Column, places: int) -> Column:

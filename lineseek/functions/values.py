@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lineseek.functions.numbers import number_text_length
 from lineseek.functions.text import utf16_length
+from lineseek.session import let
 
 
 def kind_of(value: Column) -> Column:
@@ -20,8 +21,19 @@ def string_of(value: Column, kind: Column) -> Column:
 
 
 def array_head(value: Column, kind: Column) -> Column:
-    """JSON text of element 0 of an array; null for an empty array or another type."""
-    return F.when(kind.startswith("ARRAY"), F.to_json(F.variant_get(value, "$[0]", "variant")))
+    """JSON text of element 0 of an array; null for an empty array or another type.
+
+    A number too large for a double is printed as ``"Infinity"``; where the text of the
+    innermost first element is that, its own type tells the number from the string.
+    """
+
+    def told_apart(text: Column) -> Column:
+        depth = F.length(F.regexp_extract(text, r"^\[*", 0))
+        innermost = F.variant_get(value, F.concat(F.lit("$"), F.repeat(F.lit("[0]"), depth + 1)), "variant")
+        number = text.rlike(r'^\[*"-?Infinity"') & (kind_of(innermost) != "STRING")
+        return F.when(number, F.regexp_replace(text, '"(-?Infinity)"', "$1")).otherwise(text)
+
+    return F.when(kind.startswith("ARRAY"), let(F.to_json(F.variant_get(value, "$[0]", "variant")), told_apart))
 
 
 def array_type(head: Column) -> Column:

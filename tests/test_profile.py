@@ -1,5 +1,8 @@
 import json
+import math
 import random
+import struct
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +68,12 @@ def test_sample_collection(spark, tmp_path):
         (["1e-7"], ("number", 4)),
         (["-12.5"], ("number", 5)),
         (["123456789012345678901234567890"], ("number", 22)),
+        (["2e23"], ("number", 5)),
+        (["5e-324"], ("number", 6)),
+        (["[1e400]"], ("array_of_number", 1)),
+        (['[[-1e400,"a"],1]'], ("array_of_array_of_number", 2)),
+        (['["Infinity"]'], ("array_of_string", 1)),
+        (['[[["-Infinity"]]]'], ("array_of_array_of_array_of_string", 1)),
     ],
 )
 def test_types_and_lengths(lines_of, values, expected):
@@ -178,6 +187,36 @@ def test_number_text_length(spark):
         assert n == len(NUMBERS[x]), x
 
 
+def spelt(x):
+    """ECMAScript's text of a positive finite double, from Python's shortest digits."""
+    sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
+    figures, point = "".join(map(str, digits)), len(digits) + exponent
+    if len(figures) <= point <= 21:
+        return figures + "0" * (point - len(figures))
+    if 0 < point <= 21:
+        return figures[:point] + "." + figures[point:]
+    if -6 < point <= 0:
+        return "0." + "0" * -point + figures
+    tail = f"e{'+' if point > 0 else '-'}{abs(point - 1)}"
+    return figures[0] + ("." + figures[1:] if figures[1:] else "") + tail
+
+
+def test_number_text_is_the_shortest(spark):
+    """Doubles of any bits, subnormal ones, and those that Java prints with a digit too many."""
+    rng = random.Random(5)
+    bits = [rng.getrandbits(63) for _ in range(6000)] + [rng.getrandbits(rng.randint(1, 52)) for _ in range(3000)]
+    bits += [1, 2, 3, (1 << 52) - 1, 1 << 52, (0x7FF << 52) - 1]
+    values = [struct.unpack("<d", struct.pack("<Q", b))[0] for b in bits]
+    values += [float(f"{rng.randint(1, 99)}e{rng.randint(-320, 300)}") for _ in range(4000)]
+    values += [rng.randint(1, 10**9) / 10 ** rng.randint(0, 12) for _ in range(3000)]
+    values += [rng.random() * 10 ** rng.randint(-4, 8) for _ in range(3000)]
+    values += [2e23, 2e-44, 8.41e21, 9.999999999999999e22, 9007199254740993.0, 1.1e-320]
+    values = [x for x in values if math.isfinite(x) and x > 0]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for x, n in df.select("x", number_text_length(F.col("x"))).collect():
+        assert n == len(spelt(x)), (x, spelt(x))
+
+
 def test_to_fixed_rounds_the_binary_value(spark):
     cases = {1.005: "1.00", 2.675: "2.67", 1.255: "1.25", 0.125: "0.13", 10.0: "10.00", -1.005: "-1.00", 8.345: "8.35",
              0.004: "0.00", 99.999: "100.00"}
