@@ -82,6 +82,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """``materialise`` into as many buckets by ``keys`` as a shuffle has partitions.
+
+    Nothing is shuffled for it: each task adds a file to the buckets it has rows for.
+    A join on ``keys`` then moves the other side only. The catalog knows the table
+    only while it is written; its files are kept and removed like all others.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        df.write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+        return spark.table(name).select("*")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @contextmanager
 def last_duplicate_key_wins(spark: SparkSession):
     """Let parsed JSON objects repeat a key (the last one counts).

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lineseek.functions.numbers import format_size
 from lineseek.functions.values import field_path, is_falsy, kind_of
-from lineseek.session import bind, last_duplicate_key_wins, let, materialise
+from lineseek.session import bind, last_duplicate_key_wins, let, materialise, materialise_bucketed
 
 
 def scan_lines(spark: SparkSession, path: str, up_to_file: str | None = None) -> DataFrame:
@@ -141,25 +141,27 @@ def number_documents(extracted: DataFrame) -> DataFrame:
 
     The documents are written once with a row number taken after the filter, so
     rows of a file block are numbered without gaps. The blocks' counts give each
-    block its first id; no row is shuffled or sorted for numbering. Writing first
+    block its first id. The table is bucketed by block, so these first ids come to
+    the rows, and no content is shuffled, however many blocks there are. Writing first
     matters: how files are split may differ between two scans when executors
     come and go, and the numbers must not.
     """
-    staged = materialise(
+    staged = materialise_bucketed(
         extracted.select(
             F.col("pos.file").alias("_file"),
             F.col("pos.block").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
             *[c for c in extracted.columns if c != "pos"],
         ),
-        "documents",
+        "documents", "_file", "_block",
     )
     blocks = staged.groupBy("_file", "_block").agg(
         F.min("_row").alias("_first"), F.count("*").alias("_rows")
     )
     starts = running_start(blocks, ["_file", "_block"], "_rows", "_start").drop("_rows")
+    # a block's entry is small beside the block, so a bucket's entries fit where its contents do
     return (
-        staged.join(materialise(starts, "blocks"), ["_file", "_block"])
+        staged.join(materialise(starts, "blocks").hint("shuffle_hash"), ["_file", "_block"])
         .withColumn("id", F.col("_start") + F.col("_row") - F.col("_first"))
         .select("id", *[c for c in extracted.columns if c != "pos"])
     )

@@ -1,4 +1,6 @@
+import itertools
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,28 @@ def test_ids_are_dense_in_file_order(spark, setting, tmp_path, split):
     assert sorted(r.id for r in rows) == list(range(len(expected)))
 
 
+def test_numbering_moves_no_contents(spark, setting, tmp_path):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.enabled", "false")
+    setting("spark.sql.files.maxPartitionBytes", "300")
+    write(tmp_path / "in", "a.jsonl", [json.dumps({"content": f"c {i}", "n": i}) for i in range(200)])
+    documents = read_documents(spark, str(tmp_path / "in"))
+    plan = documents._jdf.queryExecution().executedPlan().treeString().splitlines()
+    assert any("Exchange" in line for line in plan) and any("content#" in line for line in plan)
+    for at, line in enumerate(plan):
+        if "Exchange" in line:
+            depth = line.index("Exchange")
+            below = itertools.takewhile(lambda x: re.search(r"[A-Za-z*]", x).start() > depth, plan[at + 1 :])
+            assert not any("content#" in x for x in below), "\n".join(plan)
+    assert [r.content for r in documents.orderBy("id").collect()] == [f"c {i}" for i in range(200)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lineseek")]
+
+
+def test_no_documents(spark, tmp_path):
+    write(tmp_path / "in", "a.jsonl", ["{broken", ""])
+    assert read_documents(spark, str(tmp_path / "in")).collect() == []
+
+
 def test_carriage_returns_and_blank_lines(spark, tmp_path):
     write(tmp_path / "in", "x.jsonl", ['{"a":1}', "", " \t ", '{"a":2}'], end="\r\n")
     assert scan_lines(spark, str(tmp_path / "in")).count() == 2
