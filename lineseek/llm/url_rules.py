@@ -5,14 +5,19 @@ that any URL it fits must contain as whole tokens. A rule is filed under the
 one of its tokens that is rarest among the URLs judged. A URL's own tokens
 fetch candidate rules from that index; all else is never tried.
 
-Everything is a projection over the URL table, so no row moves. The rules
-travel in the plan; the URLs' frequencies of rule tokens are counted first
-(one row per rule token comes back).
+The index is a hash table: an array with about two slots a token, where the
+checksum of a token names its slot. Reading an array's element takes one step, so
+a URL pays for its own tokens and the rules they fetch, whatever the number of
+rules. The table is one constant of the plan (some 150 bytes a rule), so
+everything is a projection over the URL table and no row moves. The URLs'
+frequencies of rule tokens are counted first (one row per rule token comes back).
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -71,20 +76,43 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def _rule_literal(rule: UrlRule) -> Column:
-    return F.struct(
-        F.lit(rule.regex).alias("regex"),
-        F.lit(rule.kind).alias("kind"),
-        F.lit(rule.length).alias("length"),
-        F.lit(rule.verdict).alias("verdict"),
-        F.lit(rule.name).cast("string").alias("name"),
-    )
+ENTRY = "struct<token:string,regex:string,kind:int,length:int,verdict:string,name:string>"
+
+
+def _constant(value: object, kind: str) -> Column:
+    """``value`` as one constant of the plan, read from one text however much it holds."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _entry(token: str | None, rule: UrlRule) -> dict:
+    return {"token": token, "regex": rule.regex, "kind": rule.kind, "length": rule.length,
+            "verdict": rule.verdict, "name": rule.name}
 
 
 def _token_counts(tokens: DataFrame, wanted: list[str]) -> dict[str, int]:
-    known = F.array_intersect("tokens", F.array(*map(F.lit, wanted)))
-    rows = tokens.select(F.explode(known).alias("token")).groupBy("token").count().collect()
-    return {row["token"]: row["count"] for row in rows}
+    """How many URLs hold each of the ``wanted`` tokens; one row a token reaches the driver."""
+    known = tokens.sparkSession.range(1).select(F.explode(_constant(wanted, "array<string>")).alias("token"))
+    held = tokens.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    return {row["token"]: row["count"] for row in held.join(known, "token", "left_semi").collect()}
+
+
+def _slots(filed: dict[str, list[UrlRule]]) -> list[list[dict]]:
+    """The hash table: at crc32(token) modulo its size, the rules filed under the token."""
+    slots: list[list[dict]] = [[] for _ in range(2 * len(filed))]
+    for token, rules in filed.items():
+        slots[zlib.crc32(token.encode()) % len(slots)] += [_entry(token, rule) for rule in rules]
+    return slots
+
+
+def _fetched(index: list[list[dict]]) -> Column:
+    """The rules that ``index`` files under one of the URL's ``tokens``."""
+    table = _constant(index, f"array<array<{ENTRY}>>")
+
+    def under(token: Column) -> Column:
+        slot = F.pmod(F.crc32(token.cast("binary")), F.lit(len(index))).cast("int")
+        return F.filter(F.get(table, slot), lambda rule: rule["token"] == token)
+
+    return F.flatten(F.transform("tokens", under))
 
 
 def judge_urls(
@@ -113,27 +141,20 @@ def judge_urls(
 
     wanted = sorted({token for rule in rules for token in rule.tokens})
     counts = _token_counts(parts, wanted) if wanted else {}
-    filed: dict[str | None, list[Column]] = {}
+    filed: dict[str | None, list[UrlRule]] = {}
     for rule in rules:
         rarest = min(rule.tokens, key=lambda token: (counts.get(token, 0), token), default=None)
-        filed.setdefault(rarest, []).append(_rule_literal(rule))
+        filed.setdefault(rarest, []).append(rule)
 
-    none = F.slice(F.array(_rule_literal(pattern_rule(default, "^$"))), 1, 0)
-    candidates = F.array(*filed.pop(None)) if None in filed else none
+    candidates = _constant([_entry(None, rule) for rule in filed.pop(None, [])], f"array<{ENTRY}>")
     if filed:
-        index = F.map_from_arrays(
-            F.array(*map(F.lit, filed)), F.array(*(F.array(*found) for found in filed.values()))
-        )
-        fetched = F.transform(
-            F.array_intersect("tokens", F.array(*map(F.lit, filed))), lambda token: F.element_at(index, token)
-        )
-        candidates = F.concat(candidates, F.flatten(fetched))
+        candidates = F.concat(candidates, _fetched(_slots(filed)))
     fitting = F.filter(candidates, lambda rule: F.regexp_like(key, rule["regex"]))
     best = F.array_max(
         F.transform(
             fitting,
-            lambda rule: F.struct(rule["kind"], rule["length"], rule["verdict"], rule["name"]).cast(
-                "struct<kind:int,length:int,verdict:string,name:string>"
+            lambda rule: F.struct(
+                *(rule[part].alias(part) for part in ("kind", "length", "verdict", "name"))
             ),
         )
     )

@@ -47,6 +47,24 @@ def test_only_the_rarest_token_files_a_rule(spark):
     assert {row.page_id for row in judged.collect() if row.verdict == "block"} == {0}
 
 
+def test_fifty_thousand_rules(spark, rng):
+    """Rules of which few are fetched for any URL, some under one common token."""
+    rules = [site_rule("block" if i % 2 else "allow", f"host{i}.net/a{i % 7}/") for i in range(49_000)]
+    rules += [pattern_rule("block", f"/shared/{i}x$", "shared") for i in range(1000)]
+    urls = [f"http://www.host{rng.randrange(60_000)}.net/a{rng.randrange(7)}/p" for _ in range(3000)]
+    urls += [f"http://z.org/shared/{i}x" for i in range(990, 1010)]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules, default="none").collect()
+
+    def want(url):
+        if "shared" in url:
+            return "block" if int(url.rsplit("/", 1)[1][:-1]) < 1000 else "none"
+        number, folder = map(int, re.search(r"host(\d+)\.net/a(\d)", url).groups())
+        return ("block" if number % 2 else "allow") if number < 49_000 and number % 7 == folder else "none"
+
+    assert {row.page_id: row.verdict for row in got} == {i: want(url) for i, url in enumerate(urls)}
+    assert {row.verdict for row in got} == {"allow", "block", "none"}
+
+
 def test_rules_without_tokens_or_rules_at_all(spark):
     df = spark.createDataFrame([(1, "http://a.com/x;y", "", "", 1, "")], SCHEMA)
     assert judge_urls(df, [pattern_rule("block", ";")]).first().verdict == "block"
