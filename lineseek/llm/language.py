@@ -27,7 +27,7 @@ from lineseek.llm.work import tidy
 
 MARK = "▁"
 LONGEST_PIECE, LONGEST_WORD = 10, 32
-SAMPLE_PER_LANGUAGE, WORDS_PER_LANGUAGE, EM_ROUNDS = 300, 15_000, 4
+SAMPLE_PER_LANGUAGE, EM_ROUNDS = 300, 4
 UNKNOWN = 1e-7  # probability of a letter outside the vocabulary, in any language
 SMOOTHING = 0.05
 CACHED_WORDS = 150_000
@@ -148,9 +148,9 @@ def letter_runs(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{1,%d}" % LONGEST_WORD), F.lit(0))
 
 
-def sample_words(labelled: DataFrame, *, per_language: int, words_per_language: int) -> DataFrame:
-    """``lang, word, n`` of the sample: the ``per_language`` rows of each language
-    with the smallest hash of their id, and its most frequent words.
+def sample_words(labelled: DataFrame, *, per_language: int) -> DataFrame:
+    """``lang, word, count`` of the sample: all words of the ``per_language`` rows of
+    each language with the smallest hash of their id.
 
     What is sent to all tasks is the sample's ids: ``per_language`` per language.
     """
@@ -163,9 +163,7 @@ def sample_words(labelled: DataFrame, *, per_language: int, words_per_language:
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     chosen = near.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language)
     texts = labelled.join(F.broadcast(chosen.select("id", "lang")), ["id", "lang"], "left_semi")
-    words = texts.select("lang", F.explode(letter_runs(F.col("text"))).alias("word")).groupBy("lang", "word").count()
-    frequent = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("count").desc(), "word"))
-    return words.withColumn("place", frequent).where(F.col("place") <= words_per_language).drop("place")
+    return texts.select("lang", F.explode(letter_runs(F.col("text"))).alias("word")).groupBy("lang", "word").count()
 
 
 def fit(
@@ -173,14 +171,14 @@ def fit(
     *,
     pieces: list[str] | None = None,
     per_language: int = SAMPLE_PER_LANGUAGE,
-    words_per_language: int = WORDS_PER_LANGUAGE,
     rounds: int = EM_ROUNDS,
 ) -> LanguageModel:
     """Fit on ``labelled`` (id, lang, text), of which a bounded sample is used:
-    at most ``per_language`` rows and ``words_per_language`` distinct words of each language."""
+    at most ``per_language`` rows of each language, with all their words. The order in
+    which words are added up is fixed, so the same rows give the same model."""
     pieces = pieces or default_pieces()
     table = PieceTable(pieces)
-    rows = sample_words(labelled, per_language=per_language, words_per_language=words_per_language).collect()
+    rows = sorted(sample_words(labelled, per_language=per_language).collect())
     languages = sorted({row["lang"] for row in rows})
     probabilities = np.zeros((table.size, len(languages)))
     for column, language in enumerate(languages):
@@ -188,6 +186,7 @@ def fit(
         words, weights = [row["word"] for row in mine], np.array([row["count"] for row in mine], float)
         groups = [(table.spans(letters), weights[places]) for places, letters in by_length(words)]
         current = np.full(table.size, 1.0 / (table.size - 1))
+        current[0] = 0.0  # what is no piece has no probability, from the first round on
         for _ in range(rounds):
             counts = sum(expected_counts(spans, current, held) for spans, held in groups) + SMOOTHING
             counts[0] = 0.0

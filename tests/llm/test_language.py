@@ -73,6 +73,52 @@ def test_held_out_accuracy(spark, data):
     assert sum(row.lang_pred == row.lang for row in held) >= 0.97 * len(held)
 
 
+def brute_fit(texts, table_size, rounds=4):
+    """Expectation maximisation over listed segmentations, with the same start and smoothing."""
+    words = [word for text in texts for word in text.split()]
+    p = np.full(table_size, 1.0 / (table_size - 1))
+    for _ in range(rounds):
+        counts = np.full(table_size, 0.05)
+        for word in words:
+            whole = chance(word, p)
+            for s in segmentations("▁" + word):
+                part = np.prod([p[PIECES.index(x) + 1] if x in PIECES else UNKNOWN for x in s]) / whole
+                for x in s:
+                    if x in PIECES:
+                        counts[PIECES.index(x) + 1] += part
+        counts[0] = 0.0
+        p = counts / counts.sum()
+    return p
+
+
+def test_whole_prediction_against_brute_force(spark, rng):
+    """Model, language and posterior, from all words of the sample, however many."""
+    def made(letters, n):
+        return " ".join("".join(rng.choices(letters, k=rng.randint(1, 5))) for _ in range(n))
+
+    texts = {"x": [made("aab", 30) for _ in range(4)], "y": [made("abbb", 30) for _ in range(4)]}
+    rows = [(i, text, lang) for i, (lang, text) in enumerate((l, t) for l in texts for t in texts[l])]
+    model = fit(spark.createDataFrame(rows, "id bigint, text string, lang string"), pieces=PIECES)
+    want = {lang: brute_fit(texts[lang], len(PIECES) + 1) for lang in texts}
+    assert model.languages == ["x", "y"]
+    assert np.allclose(model.probabilities, np.array([want["x"], want["y"]]).T)
+
+    asked = [(i, made("ab", rng.randint(1, 4))) for i in range(60)] + [(60, "c"), (61, "a c b"), (62, "a"), (62, "a")]
+    got = predict(spark.createDataFrame(asked, "doc_id bigint, text string"), model).collect()
+    assert len(got) == len(asked)
+    for row in got:
+        words = dict(asked)[row.doc_id].split()
+        x, y = (np.prod([chance(word, want[lang]) for word in words]) for lang in ("x", "y"))
+        assert row.lang_pred == ("x" if x >= y else "y") and row.score == pytest.approx(max(x, y) / (x + y))
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "the and of", lang) for i, lang in enumerate(["b", "a"] * 3)]
+    model = fit(spark.createDataFrame(rows, "id bigint, text string, lang string"))
+    got = predict(spark.createDataFrame([(1, "the of"), (2, "日")], "doc_id bigint, text string"), model).collect()
+    assert [(row.lang_pred, row.score) for row in got] == [("a", pytest.approx(0.5))] * 2
+
+
 EDGE = [(1, None), (2, ""), (3, "123 .,!"), (4, "the and of " * 20_000), (5, "und die der " * 5), (5, "und die der " * 5),
         (None, "the and"), (6, "日本語"), (7, "e" * 5000)]
 
