@@ -152,13 +152,14 @@ def sample_words(labelled: DataFrame, *, per_language: int) -> DataFrame:
     """``lang, word, count`` of the sample: all words of the ``per_language`` rows of
     each language with the smallest hash of their id.
 
-    What is sent to all tasks is the sample's ids: ``per_language`` per language.
+    What is sent to all tasks is a count and the ``per_language`` sampled ids of each
+    language, less than the model's own column of probabilities for it.
     """
     # by its language's count, a row whose hash is too large to be chosen is left out before anything is ordered
     counts = labelled.groupBy(F.col("lang").alias("counted")).count()
     wanted = F.least(F.lit(1.0), F.lit(2.0 * per_language + 50) / F.col("count"))
     place_of = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = labelled.select("id", "lang").join(counts, F.col("lang") == F.col("counted")).where(place_of < wanted)
+    near = labelled.select("id", "lang").join(F.broadcast(counts), F.col("lang") == F.col("counted")).where(place_of < wanted)
     order = [F.pmod(F.xxhash64("id"), F.lit(1 << 30)), F.col("id")]
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     chosen = near.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language)
