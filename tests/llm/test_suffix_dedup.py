@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lineseek.llm import suffix_dedup
-from lineseek.llm.suffix_dedup import COVER, COVER_PERIOD, remove_repeats, resolve, sliding_least
+from lineseek.llm.suffix_dedup import COVER, COVER_PERIOD, _by_bucket, remove_repeats, resolve, sliding_least
 
 SCHEMA = "doc_id bigint, text string, block string, bucket int, kind string"
 
@@ -94,3 +94,12 @@ def test_sliding_least(rng):
     values = np.array([rng.randrange(1000) for _ in range(300)], np.uint64)
     for width in (1, 2, 63, 64):
         assert list(sliding_least(values, width)) == [min(values[i : i + width]) for i in range(300 - width + 1)]
+
+
+@pytest.mark.parametrize("bits", [4, 16, 21])
+def test_buckets_of_any_number(rng, bits):
+    hashes = np.array([rng.getrandbits(64) for _ in range(4000)] + [0, 2**64 - 1], np.uint64)
+    order, buckets, starts = _by_bucket(hashes, bits)
+    for bucket, start, end in zip(buckets, starts, [*starts[1:], len(hashes)]):
+        assert list(order[start:end]) == [i for i, h in enumerate(hashes.tolist()) if h >> (64 - bits) == bucket]
+    assert len(set(buckets)) == len({h >> (64 - bits) for h in hashes.tolist()})
