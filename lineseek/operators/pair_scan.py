@@ -22,6 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineseek.operators.edit_distance import Titles, code_points
 from lineseek.session import materialise
 
 # Tasks get the functions below themselves, so executors need not have this package.
@@ -49,7 +50,7 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[:, :width], np.minimum(lengths, width)
 
 
-def _cosines(column: pa.Array, queries: np.ndarray, squares: np.ndarray) -> np.ndarray:
+def vector_cosines(column: pa.Array, queries: np.ndarray, squares: np.ndarray) -> np.ndarray:
     """Query x document cosines on vectors cut to the shorter length of each pair.
 
     ``squares`` holds the queries' running sums of squares, so the norm of a query
@@ -74,6 +75,8 @@ class _QueryBlock:
         width = len(vectors[0])
         self.vectors = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(self.ids), width)
         self.squares = np.pad(np.cumsum(self.vectors**2, axis=1), ((0, 0), (1, 0)))
+        self.texts = [code_points(text).tolist() for text in rows.column("text").to_pylist()]
+        self.alphabet = np.unique(np.array([point for text in self.texts for point in text], np.uint32))
         self.text_lengths, self.weak_keyword, self.floor = (
             rows.column(name).to_numpy().astype(np.float64)[:, None] for name in ("text_length", "weak_keyword", "floor")
         )
@@ -101,11 +104,11 @@ def _written(rows: pa.Table | pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _read(packed: pa.Scalar) -> pa.Table:
+def read_rows(packed: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(packed.as_buffer()).read_all()
 
 
-def _pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, DOCS_PER_ROW):
             row = pa.array([_written(batch.slice(start, DOCS_PER_ROW))], pa.binary())
@@ -119,7 +122,7 @@ def _pack_queries(group: pa.Table) -> pa.Table:
 
 def _query_blocks(packed: pa.Scalar) -> list[_QueryBlock]:
     """The queries of a packed row, by length of their vectors."""
-    rows = _read(packed)
+    rows = read_rows(packed)
     lists = rows.column("hits").combine_chunks()
     owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy())
     listed = lists.flatten()
@@ -139,13 +142,16 @@ class _TopBounds:
         self.given = given
         self.best = None if k is None else np.full((len(given), k), -np.inf)
 
-    def floor(self, sure: np.ndarray) -> np.ndarray:
+    def floor(self, sure: np.ndarray, keep: bool = True) -> np.ndarray:
+        """With the scores of more documents; those that come again with better ones aren't to be kept yet."""
         if self.best is None:
             return self.given
         k = self.best.shape[1]
         merged = np.concatenate([self.best, sure], axis=1)
-        self.best = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-        return np.maximum(self.best[:, :1], self.given)
+        best = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+        if keep:
+            self.best = best
+        return np.maximum(best[:, :1], self.given)
 
 
 def candidate_pairs(
@@ -171,7 +177,8 @@ def candidate_pairs(
 
     A score is the weighted sum of vector, keyword and title parts. Here the
     vector parts are exact, keyword parts lie between bounds, and the title's text
-    similarity is at most the ratio of the two lengths. A pair is dropped only if
+    similarity is at most the ratio of the two lengths; only pairs that this doesn't rule
+    out get an edit distance, and then their title part is exact. A pair is dropped only if
     its upper bound is below the threshold, or below the lower bounds of
     ``limit`` other documents of the query: those the task has seen, or, with
     many queries, those of a sample that is scanned first. ``margin`` keeps
@@ -180,6 +187,7 @@ def candidate_pairs(
     half_title = title_weight / 2
     limit = limit if limit is None else max(limit, 1)
     n_queries = queries.count() if n_queries is None else n_queries
+    few = n_queries <= FEW_QUERIES
     id_type = signals.schema["id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = (
@@ -187,13 +195,14 @@ def candidate_pairs(
         "semantic_similarity double, title_relevance double, at_least double"
     )
     scanned = signals.select(
-        "id", "title", "content_vec", "title_vec", F.char_length(F.lower("title")).alias("title_length")
+        "id", "title", "content_vec", "title_vec", F.char_length(F.lower("title")).alias("title_length"),
+        F.lower("title").alias("lower_title"),
     )
     asked = queries.select(
         "query_id",
         F.coalesce("query_vec", F.array().cast("array<float>")).cast("array<float>").alias("query_vec"),
-        F.char_length(F.lower(F.coalesce("query", F.lit("")))).alias("text_length"),
-    )
+        F.lower(F.coalesce("query", F.lit(""))).alias("text"),
+    ).withColumn("text_length", F.char_length("text"))
     if hits is None:
         lists = F.array().cast(f"array<struct<id:{id_type},keyword:double>>")
         asked = asked.withColumns({"hits": lists, "weak_keyword": F.lit(0.0)})
@@ -209,12 +218,13 @@ def candidate_pairs(
         for batch in batches:
             for i in range(batch.num_rows):
                 number = batch.column("query_block")[i].as_py()
-                if number not in known:
-                    known = {number: _query_blocks(batch.column("queries")[i])}
+                if batch.column("queries")[i].is_valid:
+                    known = known if few else {}
+                    known[number] = _query_blocks(batch.column("queries")[i])
                 blocks = known[number]
                 if number not in tops:
                     tops[number] = [_TopBounds(block.floor, limit) for block in blocks]
-                documents = _read(batch.column("documents")[i]).combine_chunks().to_batches()
+                documents = read_rows(batch.column("documents")[i]).combine_chunks().to_batches()
                 step = max(1, CELLS // max(1, sum(len(block.ids) for block in blocks)))
                 for part in documents:
                     for start in range(0, part.num_rows, step):
@@ -222,7 +232,7 @@ def candidate_pairs(
                             yield from survivors(part.slice(start, step), block, top)
 
     def survivors(part: pa.RecordBatch, block: _QueryBlock, top: _TopBounds) -> Iterator[pa.RecordBatch]:
-        content = _cosines(part.column("content_vec"), block.vectors, block.squares)
+        content = vector_cosines(part.column("content_vec"), block.vectors, block.squares)
         title = np.zeros_like(content)
         at_most = semantic_weight * content
         if keyword_weight:
@@ -233,16 +243,26 @@ def candidate_pairs(
         else:
             at_least = at_most
         if half_title:
-            title = _cosines(part.column("title_vec"), block.vectors, block.squares)
+            title = vector_cosines(part.column("title_vec"), block.vectors, block.squares)
             lengths = pc.fill_null(part.column("title_length"), 0).to_numpy(zero_copy_only=False)
             longer = np.maximum(block.text_lengths, lengths)
             shorter = np.minimum(block.text_lengths, lengths)
             ratio = np.divide(shorter, longer, out=np.zeros_like(longer), where=longer > 0)
-            at_least = at_least + half_title * title + np.minimum(half_title * ratio, 0.0)
-            at_most = at_most + half_title * title + np.maximum(half_title * ratio, 0.0)
-        keep = at_most >= top.floor(at_least) - margin
+            sure, possible = at_least + half_title * title, at_most + half_title * title
+            at_least = sure + np.minimum(half_title * ratio, 0.0)
+            at_most = possible + np.maximum(half_title * ratio, 0.0)
+        keep = at_most >= top.floor(at_least, not half_title) - margin
         if threshold is not None:
             keep &= at_most >= threshold - margin
+        if half_title and (limit is not None or threshold is not None):
+            titles = Titles(part.column("lower_title"), block.alphabet)
+            for q in np.flatnonzero(keep.any(axis=1)):
+                rows = np.flatnonzero(keep[q])
+                match = half_title * titles.matches(block.texts[q], rows)
+                at_least[q, rows], at_most[q, rows] = sure[q, rows] + match, possible[q, rows] + match
+            keep &= at_most >= top.floor(at_least) - margin
+            if threshold is not None:
+                keep &= at_most >= threshold - margin
         query_at, doc_at = np.nonzero(keep)
         if len(doc_at) == 0:
             return
@@ -260,13 +280,18 @@ def candidate_pairs(
         )
 
     def pairs(documents: DataFrame, asked: DataFrame) -> DataFrame:
-        packed = documents.mapInArrow(_pack_documents, "documents binary")
+        packed = documents.mapInArrow(pack_rows, "documents binary")
         place = F.pmod(F.xxhash64("query_id"), F.lit(n_queries // QUERIES_PER_SCAN + 1))
         blocks = asked.withColumn("query_block", place).groupBy("query_block").applyInArrow(
             _pack_queries, "query_block bigint, queries binary"
         )
-        few = n_queries <= FEW_QUERIES
-        return packed.crossJoin(F.broadcast(blocks) if few else materialise(blocks, "query-blocks")).mapInArrow(scan, schema)
+        if not few:
+            return packed.crossJoin(materialise(blocks, "query-blocks")).mapInArrow(scan, schema)
+        # A task's first row of documents meets all blocks before its second does: beyond
+        # those pairs a block goes by its number, so that a batch holds its bytes once.
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        once = F.when(place <= n_queries // QUERIES_PER_SCAN, F.col("queries")).alias("queries")
+        return packed.crossJoin(F.broadcast(blocks)).select("documents", "query_block", once).mapInArrow(scan, schema)
 
     asked = asked.withColumn("floor", F.lit(float("-inf")))
     if limit is not None and n_queries >= SAMPLE_FROM:

@@ -157,3 +157,14 @@ def test_best_titles(spark, monkeypatch):
         want = sorted(((-match(title), i) for i, title in titles))[:6]
         mine = sorted((r.rank, r.id, r.title_match) for r in got if r.query_id == q)
         assert [(i, pytest.approx(s)) for _, i, s in mine] == [(i, -s) for s, i in want]
+
+
+def test_best_titles_of_equal_ones_and_without_pairs_as_rows(spark, capsys):
+    """The least ids of equal titles, and no edit distance per pair in the plan."""
+    rows = spark.range(3000).select(F.col("id"), F.lit("same title").alias("title"))
+    asked = spark.createDataFrame([(0, "Same titles"), (1, "same title")], "query_id bigint, query string")
+    best = best_titles(rows, asked, 3)
+    assert sorted((r.query_id, r.rank, r.id) for r in best.collect()) == [(q, k + 1, k) for q in (0, 1) for k in range(3)]
+    capsys.readouterr()
+    best.explain()
+    assert "levenshtein" not in capsys.readouterr().out.lower()
