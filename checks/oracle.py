@@ -350,10 +350,15 @@ ORACLE: dict[str, str] = {
                   FROM corpus CROSS JOIN (SELECT item_id AS query_id, text AS query FROM benchmark)))
           WHERE rank <= 10""",
     "hybrid_score": _with(*HYBRID_ALL)
-    + """SELECT query_id, count(*) AS pairs, round(sum(score), 3) AS total, round(min(score), 5) AS least,
-                round(max(score), 5) AS most, round(sum(semantic), 3) AS semantic, round(sum(keyword), 3) AS keyword,
-                round(sum(title_cos), 3) AS title, round(sum(title_match), 3) AS title_match
-         FROM scored GROUP BY query_id""",
+    + """SELECT * FROM (
+           SELECT query_id, count(*) AS pairs, round(sum(score), 3) AS total, round(min(score), 5) AS least,
+                  round(max(score), 5) AS most, round(sum(semantic), 3) AS semantic, round(sum(keyword), 3) AS keyword,
+                  round(sum(title_cos), 3) AS title, round(sum(title_match), 3) AS title_match
+           FROM scored GROUP BY query_id)
+         LEFT JOIN (
+           SELECT query_id, id, title AS document_title, score, round(semantic, 6) AS semantic_similarity,
+                  round(keyword, 6) AS keyword_relevance, round(title_cos, 6) AS title_relevance
+           FROM scored WHERE score >= 0.25) USING (query_id)""",
     "hybrid_threshold": _with(*HYBRID_ALL) + f"SELECT {HYBRID_COLUMNS} FROM scored WHERE score >= 0.5",
     "hybrid_topk": _ranked(HYBRID_ALL, None),
     "search_view": _with(*HYBRID_ALL)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lineseek.functions.text import content_words, join_words
 from lineseek.operators.keyword import bm25_scores, term_bucket, tfidf_scores, weighted_postings
+from lineseek.operators.full_scan import every_pair
 from lineseek.operators.lemmas import lemmatise
 from lineseek.operators.pair_scan import candidate_pairs
 from lineseek.operators.query import expand_similar_words, expand_synonyms, query_terms
-from lineseek.operators.ranking import add_keyword, add_query, drop_outranked, score_pairs, top_results
+from lineseek.operators.ranking import add_keyword, add_query, add_score, drop_outranked, score_pairs, top_results
 from lineseek.operators.retrieval import best_documents, keyword_hits
 from lineseek.operators.vectors import best_per_query
 from lineseek.plans.build import Embed
@@ -145,20 +146,18 @@ def score_all(
     index: Index, queries: DataFrame, *, semantic_weight: float = 0.7, title_weight: float = 0.3,
     scoring: str = "tfidf", decimals: int | None = None,
 ) -> DataFrame:
-    """``query_id, id, score`` and its parts for every query and document, to look at how scores are
-    distributed. As many rows as pairs: unlike ``search``, nothing is left out."""
+    """``query_id, id, title, score`` and its parts for every query and document, to look at how scores
+    are distributed. As many rows as pairs: unlike ``search``, nothing is left out."""
     vectors = materialise(_query_vectors(queries, None, None), "queries")
     texts = vectors.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
     n_queries = texts.count()
     terms, n_terms, matched = _matched(index, texts, scoring, {})
-    hits = _strong_hits(matched, terms, index.n_docs, n_queries, n_terms)
-    found = candidate_pairs(
-        index.signals, vectors, semantic_weight=semantic_weight, title_weight=title_weight,
-        n_queries=n_queries, threshold=None, limit=None,
-    ).drop("at_least")
-    rated = _rated(found, texts, terms, matched, hits, n_terms, n_queries)
-    return score_pairs(rated, semantic_weight, title_weight, decimals).select(
-        "query_id", "id", "score", "semantic_similarity", "keyword_relevance", "title_relevance", "title_match"
+    best = keyword_hits(matched, terms, 1, index.n_docs, n_queries, n_terms).select("query_id", F.col("score").alias("best"))
+    copies = vectors.groupBy("query_id").agg(F.count("*").alias("copies"))
+    asked = texts.join(vectors.select("query_id", "query_vec"), "query_id").join(copies, "query_id").join(best, "query_id", "left")
+    rated = every_pair(index.signals, asked, terms, matched, index.n_docs, n_queries)
+    return add_score(rated, semantic_weight, title_weight, decimals).select(
+        "query_id", "id", "title", "score", "semantic_similarity", "keyword_relevance", "title_relevance", "title_match"
     )
 
 
