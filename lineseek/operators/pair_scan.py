@@ -134,6 +134,17 @@ def _query_blocks(packed: pa.Scalar) -> list[_QueryBlock]:
     return [_QueryBlock(rows.filter(pa.array(widths == width)), hits) for width in np.unique(widths)]
 
 
+def _first_of_equal(ids: pa.Array, rows: np.ndarray, limit: int, *parts: np.ndarray) -> np.ndarray:
+    """Which of ``rows`` are among the ``limit`` least ids of those with the same parts of a score."""
+    by_id = rows[pc.array_sort_indices(ids.take(pa.array(rows)), null_placement="at_start").to_numpy()]
+    values = np.stack([part[by_id] for part in parts])
+    order = np.lexsort(values)  # stable: ids stay in order
+    values = values[:, order]
+    new = np.append(True, (values[:, 1:] != values[:, :-1]).any(axis=0))
+    place = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    return np.isin(rows, by_id[order[place < limit]])
+
+
 class _TopBounds:
     """Per query, the k-th best score that documents seen so far are sure to reach,
     and no less than the floor it came with."""
@@ -263,6 +274,11 @@ def candidate_pairs(
             keep &= at_most >= top.floor(at_least) - margin
             if threshold is not None:
                 keep &= at_most >= threshold - margin
+        if limit is not None:
+            settled = at_least == at_most
+            for q in np.flatnonzero((keep & settled).sum(axis=1) > limit):
+                rows = np.flatnonzero(keep[q] & settled[q])
+                keep[q, rows[~_first_of_equal(part.column("id"), rows, limit, content[q], title[q], at_most[q])]] = False
         query_at, doc_at = np.nonzero(keep)
         if len(doc_at) == 0:
             return

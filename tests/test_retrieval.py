@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineseek import index_tables
+from lineseek.operators import lemmas as lemma_module
 from lineseek.operators import pair_scan, ranking, retrieval
 from lineseek.operators.ranking import best_titles
 from lineseek.operators.retrieval import best_documents, keyword_hits
 from lineseek.operators.vectors import nearest_exact
 from lineseek.plans.search import keyword_search
+from lineseek.session import broadcast_if_few
 
 rng = random.Random(4)
 TERMS = [f"t{i}" for i in range(40)]
@@ -168,3 +170,54 @@ def test_best_titles_of_equal_ones_and_without_pairs_as_rows(spark, capsys):
     capsys.readouterr()
     best.explain()
     assert "levenshtein" not in capsys.readouterr().out.lower()
+
+
+def test_many_rows_are_not_gathered_however_small_they_look(spark):
+    """Catalyst would broadcast this table; it is told that it has many rows."""
+    few = spark.range(5).withColumnRenamed("id", "key")
+    rows = spark.range(1000).select((F.col("id") % 5).alias("key"))
+    plan = rows.join(broadcast_if_few(few, 10**6), "key")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert "Broadcast" in rows.join(broadcast_if_few(few, 5), "key")._jdf.queryExecution().executedPlan().toString()
+
+
+def _tied(spark, n, tasks):
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), 2)
+    signals = spark.range(n).repartition(tasks).select(
+        "id", F.lit("web").alias("title"), zeros.alias("content_vec"), zeros.alias("title_vec")
+    )
+    asked = spark.createDataFrame(
+        [(q, "some text", None) for q in range(3)], "query_id bigint, query string, query_vec array<float>"
+    )
+    return pair_scan.candidate_pairs(signals, asked, semantic_weight=0.7, title_weight=0.3, threshold=None, limit=4)
+
+
+def test_ties_leave_the_scan_by_id(spark):
+    found = _tied(spark, 3000, 2).collect()
+    assert len(found) <= 3 * 2 * 4 * 2  # queries, tasks, limit, rows of documents in a task
+    for q in range(3):
+        assert sorted(r.id for r in found if r.query_id == q)[:4] == [0, 1, 2, 3]
+
+
+def test_queries_go_along_once_a_task(spark, monkeypatch):
+    """Not with every row of documents, of which a batch holds many."""
+    monkeypatch.setattr(pair_scan, "DOCS_PER_ROW", 10)
+    monkeypatch.setattr(pair_scan, "QUERIES_PER_SCAN", 1)
+    found = _tied(spark, 300, 2)
+    assert {r.query_id for r in found.collect()} == {0, 1, 2}
+    assert "monotonically_increasing_id" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_lemmas_are_joined_once_and_without_texts(spark, monkeypatch):
+    written = []
+    keep = lemma_module.materialise
+    monkeypatch.setattr(lemma_module, "materialise", lambda df, label: written.append(df.columns) or keep(df, label))
+    documents = spark.createDataFrame(
+        [(0, "Cats sat", "cats cats dogs", "{}"), (1, "", "mats", "{}"), (2, None, None, "{}")],
+        "id bigint, title string, content string, original_entry string",
+    )
+    lemmas = spark.createDataFrame([("cats", "cat"), ("mats", "mat")], "token string, lemma string")
+    index = index_tables(documents, dim=2, lemmas=lemmas)
+    got = {(r.doc_id, r.term): (r.tf, r.doc_len) for r in index.postings.collect()}
+    assert got == {(0, "cat"): (5, 9), (0, "dogs"): (1, 9), (0, "sat"): (3, 9), (1, "mat"): (1, 1)}
+    assert len(written) == 1 and not {"content", "title", "original_entry"} & set(written[0])
