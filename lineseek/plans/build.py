@@ -23,7 +23,21 @@ def tokenised(documents: DataFrame, lemmas: DataFrame | None = None) -> DataFram
     words = documents.withColumn("content_tokens", content_words(F.col("content"))).withColumn(
         "title_tokens", content_words(F.col("title"))
     )
-    return lemmatise(lemmatise(words, "content_tokens", lemmas), "title_tokens", lemmas)
+    return words if lemmas is None else _lemmatised(words, lemmas)
+
+
+def _lemmatised(words: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Both token arrays as one, so that rows are written and joined once."""
+    kept = [name for name in words.columns if name not in ("content_tokens", "title_tokens")]
+    both = words.select(
+        *kept, F.concat("content_tokens", "title_tokens").alias("_both"), F.size("content_tokens").alias("_content")
+    )
+    rest = F.size("_both") - F.col("_content")
+    return lemmatise(both, "_both", lemmas).select(
+        *kept,
+        F.slice("_both", F.lit(1), F.col("_content")).alias("content_tokens"),
+        F.slice("_both", F.col("_content") + 1, rest).alias("title_tokens"),
+    )
 
 
 def _processed(documents: DataFrame, lemmas: DataFrame | None) -> DataFrame:
@@ -61,7 +75,10 @@ def index_tables(
     The postings are written to the shared folder, because document frequencies
     and matches both read them and the texts should be taken apart once.
     """
-    posted = materialise(postings(tokenised(documents, lemmas)), "postings")
+    words = tokenised(documents.select("id", "title", "content")).drop("title", "content")
+    if lemmas is not None:  # no text goes along where tokens are joined
+        words = _lemmatised(words, lemmas)
+    posted = materialise(postings(words), "postings")
     n_docs = documents.agg(F.count("*")).scalar()
     return store.Index(
         entries=documents,
