@@ -177,6 +177,7 @@ def candidate_pairs(
     threshold: float | None,
     limit: int | None,
     margin: float = 1e-9,
+    repeated_ids: bool = False,
 ) -> DataFrame:
     """``query_id, id, title, semantic_similarity, title_relevance, at_least`` of pairs that
     may score at least ``threshold`` and be among the ``limit`` best of a query.
@@ -193,12 +194,15 @@ def candidate_pairs(
     its upper bound is below the threshold, or below the lower bounds of
     ``limit`` other documents of the query: those the task has seen, or, with
     many queries, those of a sample that is scanned first. ``margin`` keeps
-    pairs whose difference is a matter of rounding.
+    pairs whose difference is a matter of rounding. ``repeated_ids`` tells that several queries or
+    documents may have one id: such pairs are scored together later on, by more than they have
+    here, so they are held against the looser bounds alone.
     """
     half_title = title_weight / 2
     limit = limit if limit is None else max(limit, 1)
     n_queries = queries.count() if n_queries is None else n_queries
     few = n_queries <= FEW_QUERIES
+    exact_titles = bool(half_title) and not repeated_ids and not (limit is None and threshold is None)
     id_type = signals.schema["id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = (
@@ -262,10 +266,10 @@ def candidate_pairs(
             sure, possible = at_least + half_title * title, at_most + half_title * title
             at_least = sure + np.minimum(half_title * ratio, 0.0)
             at_most = possible + np.maximum(half_title * ratio, 0.0)
-        keep = at_most >= top.floor(at_least, not half_title) - margin
+        keep = at_most >= top.floor(at_least, not exact_titles) - margin
         if threshold is not None:
             keep &= at_most >= threshold - margin
-        if half_title and (limit is not None or threshold is not None):
+        if exact_titles:
             titles = Titles(part.column("lower_title"), block.alphabet)
             for q in np.flatnonzero(keep.any(axis=1)):
                 rows = np.flatnonzero(keep[q])
@@ -274,7 +278,7 @@ def candidate_pairs(
             keep &= at_most >= top.floor(at_least) - margin
             if threshold is not None:
                 keep &= at_most >= threshold - margin
-        if limit is not None:
+        if limit is not None and not repeated_ids:
             settled = at_least == at_most
             for q in np.flatnonzero((keep & settled).sum(axis=1) > limit):
                 rows = np.flatnonzero(keep[q] & settled[q])

@@ -193,9 +193,11 @@ def search(
         index, texts, scoring, {"synonyms": synonyms, "word_vectors": word_vectors, "lemmas": lemmas}
     )
     hits = _strong_hits(matched, terms, index.n_docs, n_queries, n_terms)
+    documents, ids = index.signals.agg(F.count("*"), F.count_distinct("id")).first()
     found = candidate_pairs(
         index.signals,
         vectors,
+        repeated_ids=documents != ids or n_queries != texts.agg(F.count_distinct("query_id")).first()[0],
         semantic_weight=semantic_weight,
         title_weight=title_weight,
         keyword_weight=1.0 - semantic_weight,
