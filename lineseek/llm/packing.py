@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineseek.llm.tokens import default_tokenizer, id_lists, portions, shared_encoder, with_end
+from lineseek.llm.tokens import default_tokenizer, drop_shared_encoder, id_lists, portions, shared_encoder, with_end
 from lineseek.llm.work import materialise, shuffle_partitions, tidy
 
 SEQUENCE_TOKENS = 2048
 PRICINGS, CONFIGS_PER_PRICING, PASSES = 40, 48, 3
+CUT_BYTES, CUT_WORDS = 1 << 20, 100_000  # texts encoded at once, and words a worker remembers meanwhile
 STEP = 0.5  # share of a length's demand that one configuration may cover at a step
 
 Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -152,26 +153,29 @@ def token_pieces(
     tokenizer = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(tokenizer)
-        for batch in portions(batches, 1):
-            ids, bounds = with_end(*encoder.encode(batch.column(1)), end_id)
-            pieces = -(-np.diff(bounds) // capacity)
-            document = np.repeat(np.arange(len(batch)), pieces)
-            piece = np.arange(len(document)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = bounds[document] + piece * capacity
-            end = np.minimum(start + capacity, bounds[document + 1])
-            raw = memoryview(ids).cast("B")
-            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start, end, strict=True)]
-            columns = [
-                batch.column(0).take(pa.array(document)),
-                pa.array(piece.astype(np.int32)),
-                pa.array(piece * capacity),
-                pa.array(end - start),
-                pa.array(sums, pa.int64()),
-            ]
-            if with_ids:
-                columns.append(id_lists(ids, np.append(start, len(ids))))
-            yield pa.RecordBatch.from_arrays(columns, names)
+        encoder = shared_encoder(tokenizer, CUT_WORDS)
+        try:
+            for batch in portions(batches, 1, CUT_BYTES):
+                ids, bounds = with_end(*encoder.encode(batch.column(1)), end_id)
+                pieces = -(-np.diff(bounds) // capacity)
+                document = np.repeat(np.arange(len(batch)), pieces)
+                piece = np.arange(len(document)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = bounds[document] + piece * capacity
+                end = np.minimum(start + capacity, bounds[document + 1])
+                raw = memoryview(ids).cast("B")
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start, end, strict=True)]
+                columns = [
+                    batch.column(0).take(pa.array(document)),
+                    pa.array(piece.astype(np.int32)),
+                    pa.array(piece * capacity),
+                    pa.array(end - start),
+                    pa.array(sums, pa.int64()),
+                ]
+                if with_ids:
+                    columns.append(id_lists(ids, np.append(start, len(ids))))
+                yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            drop_shared_encoder()
 
     names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -141,3 +141,27 @@ def test_knapsack_is_optimal(rng):
 def test_best_fit_takes_the_fullest():
     assert best_fit_decreasing(Counter({7: 1, 6: 1, 3: 1, 4: 1}), 10) == Counter({((7, 1), (3, 1)): 1, ((6, 1), (4, 1)): 1})
     assert packing.SEQUENCE_TOKENS == 2048
+
+
+def test_packing_leaves_no_encoder_in_its_worker(monkeypatch):
+    """A worker lives on and serves other stages, which need the memory."""
+    taken = {}
+
+    class Rows:
+        schema = {"id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self: "bigint"})()})()}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, stage, schema):
+            taken["stage"] = stage
+            return self
+
+        def withColumnRenamed(self, old, new):
+            return self
+
+    monkeypatch.setattr(packing.F, "col", lambda name: type("Column", (), {"alias": lambda self, other: self})())
+    packing.token_pieces(Rows())
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["id", "text"])
+    assert [b.num_rows for b in taken["stage"](iter([batch]))] == [1]
+    assert tokens._encoder is None
