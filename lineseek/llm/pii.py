@@ -5,7 +5,7 @@ try again, so a telephone number with a card number after it is neither. To
 find what they miss, generators propose every run of digit groups, every quad
 and every text around an ``@`` that could be one (far more than are). The base
 spans teach: a candidate that is one is right; one that breaks its kind's
-rule, or overlaps a base span, is wrong. Trees boosted on a bounded sample of
+rule, or overlaps a base span, is wrong. Trees boosted on all of
 these judge the rest by their form and context, and a threshold per kind,
 calibrated on documents held out, decides.
 
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineseek.llm.boosting import Boosted, calibrated_threshold, fit
+from lineseek.llm.boosting import Boosted, fit_counted
 from lineseek.llm.tokens import portions
 from lineseek.llm.work import materialise, tidy
 
@@ -35,7 +35,6 @@ EMAIL, IP, CARD, PHONE = range(4)
 #: Limits of the rules.
 OCTET, CARD_DIGITS, PHONE_DIGITS = 255, (14, 19), (10, 15)
 
-SAMPLE_PER_LABEL = 2000  # candidates of a kind and label that the trees are fitted to and calibrated on
 HELD_OUT = 4  # one document of so many calibrates
 PRECISION = 0.99
 LEAST_GROUP = 3  # digits of each group of a proposed card number
@@ -274,29 +273,20 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def fit_models(judged: DataFrame, sample: int = SAMPLE_PER_LABEL) -> list[tuple[Boosted | None, float]]:
-    """A model and a threshold per kind, from at most ``sample`` candidates of each kind and label.
+def fit_models(judged: DataFrame) -> list[tuple[Boosted | None, float]]:
+    """A model and a threshold per kind, from all candidates with a label.
 
-    The sample is the least hashes, so it doesn't depend on the order of rows;
-    one document of ``HELD_OUT``, by the hash of its id, calibrates.
+    One document of ``HELD_OUT``, by the hash of its id, calibrates. Candidates alike in
+    their features are one row with its number.
     """
     each = judged.select("doc_id", F.explode("candidates").alias("c")).where("c.label IS NOT NULL")
-    each = each.select(
-        "c.*",
-        F.xxhash64(F.col("doc_id").cast("string"), F.col("c.kind"), F.col("c.start"), F.col("c.end")).alias("hash"),
-        (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(HELD_OUT)) == 0).alias("held_out"),
-    )
-    places = Window.partitionBy("kind", "label").orderBy("hash", "held_out", "features")
-    chosen = each.withColumn("place", F.row_number().over(places)).where(F.col("place") <= sample)
-    rows = sorted(chosen.select("kind", "label", "place", "held_out", "features").collect(), key=lambda r: r[:3])
+    held_out = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(HELD_OUT)) == 0, F.lit(False))
+    each = each.select("c.kind", "c.label", held_out.alias("held_out"), "c.features")
+    alike = materialise(each.groupBy("kind", "label", "held_out", "features").agg(F.count("*").alias("n")), "pii-labels")
+    found = fit_counted(alike, FEATURES, PRECISION)
     models: list[tuple[Boosted | None, float]] = []
     for kind in range(len(KINDS)):
-        own = [row for row in rows if row.kind == kind]
-        values = np.array([row.features for row in own], float).reshape(len(own), FEATURES)
-        labels = np.array([row.label for row in own], float)
-        held = np.array([row.held_out for row in own], bool)
-        model = fit(values[~held], labels[~held])
-        bound = calibrated_threshold(model.probability(values[held]), labels[held], PRECISION) if model else float("inf")
+        model, bound = found.get(kind, (None, float("inf")))
         models.append((model, max(bound, 0.5)))
     return models
 
@@ -355,22 +345,22 @@ def _redact_batches(models: list[tuple[Boosted | None, float]]):
 
 
 def find_personal_data(
-    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_PER_LABEL
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col``, ``n_email, n_ip, n_card, n_phone`` (base spans), ``base_sha256``, ``spans``, ``n_added`` for every row.
 
     ``spans`` lists base and added spans as ``kind:start:end``, by start, then
     kind, joined by commas; ``base_sha256`` is the digest of the base ones written
     that way. Null and empty texts have none. Repeated rows, also of one id,
-    are judged each for itself; null ids are kept. Where the sample of a kind has
+    are judged each for itself; null ids are kept. Where a kind has
     only right or only wrong candidates, nothing is added. Other columns don't
     matter. An empty table gives no rows. A document is one task's work; no row
-    moves but those of the sample.
+    moves but the features of candidates with a label.
     """
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     judged = materialise(rows.mapInArrow(_judge_batches, JUDGED.format(id_type=id_type)), "pii")
-    models = fit_models(judged, sample)
+    models = fit_models(judged)
     schema = f"doc_id {id_type}, " + ", ".join(f"n_{name} bigint" for name in KINDS)
     found = judged.mapInArrow(_redact_batches(models), f"{schema}, base_sha256 string, spans string, n_added bigint")
     return found.withColumnRenamed("doc_id", id_col)
