@@ -27,6 +27,7 @@ BINS = 32
 SCALE = 2.0**32  # slopes and weights are summed in whole multiples of 1 / SCALE
 CHANCES = 1 << 16  # steps between 0 and 1 at which a threshold may lie
 ROWS_PER_TASK = 20_000  # of distinct binned rows
+SUMMING = 4  # tasks that end a level: it has at most some 26,000 cells, whatever the shuffle partitions
 TREES, DEPTH, RATE, RIDGE, LEAST_WEIGHT = 60, 4, 0.2, 1.0, 1.0
 
 
@@ -210,7 +211,7 @@ def _level(binned: DataFrame, growing: dict[int, _Growing], width: int, level: i
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kind", "cell", "g", "h"])
 
     added = binned.select("kind", "label", "held_out", "bins", "n").mapInArrow(add, "kind int, cell bigint, g bigint, h bigint")
-    found = added.groupBy("kind", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    found = added.groupBy("kind", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).coalesce(SUMMING).toArrow()
     kinds, cell, g, h = (found[name].to_numpy() for name in ("kind", "cell", "g", "h"))
     out = {}
     for kind in growing:
