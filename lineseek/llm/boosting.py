@@ -245,7 +245,9 @@ def fit_counted(rows: DataFrame, width: int, precision: float) -> dict[int, tupl
             growing[kind] = _Growing(model, np.full((TREES, 2**DEPTH - 1), BINS))
     if not growing:
         return {}
-    few = binned.coalesce(1 + binned.count() // ROWS_PER_TASK)
+    tasks = 1 + binned.count() // ROWS_PER_TASK
+    # each level reads these rows again: one file a task, not one for each shuffle partition
+    few = materialise(binned.coalesce(tasks), "binned-few").coalesce(tasks)
     train, held = few.where(~F.col("held_out")), few.where("held_out")
     for tree in range(TREES):
         for level in range(DEPTH):

@@ -35,3 +35,24 @@ def test_more_than_a_sample_of_a_kind_and_label(spark, monkeypatch):
     df = spark.createDataFrame(table, "kind int, label int, held_out boolean, n bigint, features array<double>")
     model, bound = fit_counted(df, 1, 0.9)[0]
     assert model.offset == pytest.approx(np.log(1001 / 4001)) and bound == float("inf")
+
+
+def test_levels_read_few_files_whatever_the_shuffle_partitions(spark, monkeypatch, setting):
+    monkeypatch.setattr(boosting, "TREES", 2)
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 100)
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    setting("spark.sql.shuffle.partitions", "40")
+    files, level = [], boosting._level
+
+    def counted(binned, *rest):
+        files.append(len(binned.inputFiles()))
+        return level(binned, *rest)
+
+    monkeypatch.setattr(boosting, "_level", counted)
+    table = [(0, int(i > 90), False, 1 + i % 3, [float(i % 32), float(i // 32)]) for i in range(250)]
+    df = spark.createDataFrame(table, "kind int, label int, held_out boolean, n bigint, features array<double>")
+    many = fit_counted(df, 2, 0.9)[0][0]
+    assert len(files) == 2 * boosting.DEPTH and max(files) <= 3
+    setting("spark.sql.shuffle.partitions", "1")
+    again = fit_counted(df, 2, 0.9)[0][0]
+    assert np.array_equal(many.leaves, again.leaves) and np.array_equal(many.cuts, again.cuts)
