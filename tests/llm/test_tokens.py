@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from lineseek.llm import packing, tokens
+from lineseek.llm import packing, queries, tokens
 from lineseek.llm.packing import best_fit_decreasing, knapsack, pack_documents, plan_sequences
 from lineseek.llm.token_files import token_digests, token_index, write_token_files
 from lineseek.llm.tokens import WordEncoder, default_tokenizer, slices
@@ -165,3 +165,19 @@ def test_packing_leaves_no_encoder_in_its_worker(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["id", "text"])
     assert [b.num_rows for b in taken["stage"](iter([batch]))] == [1]
     assert tokens._encoder is None
+
+
+def test_packing_query_keeps_its_workers_encoder(spark, monkeypatch):
+    """The query has its workers' memory to itself; the rows are those of an encoder given back."""
+    rows = spark.createDataFrame([(i, "some words and more") for i in range(8)], "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(queries, "table", lambda *_: rows)
+    stages, pieces = [], packing.token_pieces
+
+    def watched(documents, **options):
+        stages.append(options.get("keep_encoder"))
+        return pieces(documents, **options)
+
+    monkeypatch.setattr(packing, "token_pieces", watched)
+    kept = queries.op5_best_fit_packing(spark, "").collect()
+    assert stages == [True]
+    assert sorted(kept) == sorted(packing.pack_documents(rows).collect())
