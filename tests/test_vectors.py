@@ -115,3 +115,11 @@ def test_word_vectors(spark):
     assert [r.word for r in sorted(near, key=lambda r: r["rank"])] == want
     queries = spark.createDataFrame([(0, "a fox")], "query_id bigint, query string")
     assert {r.expansion for r in expand_similar_words(queries, vectors).collect()} == set(want)
+
+
+def test_word_vectors_are_stored(spark):
+    """No plan over them holds the rows that the driver has."""
+    docs = spark.createDataFrame([(["red", "fox", "runs"],)] * 20, "words array<string>")
+    vectors = word_vectors(train_word_vectors(docs, "words", dim=4, min_count=1))
+    assert "LocalRelation" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.word: len(r.vector) for r in vectors.collect()} == {"red": 4, "fox": 4, "runs": 4}
