@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineseek.llm.work import shuffle_partitions
+from lineseek.llm.work import materialise, shuffle_partitions
 
 SCALE = 256.0
 BLOCK_BYTES = 2 << 20
@@ -179,10 +179,10 @@ def top_k(
         return rows.select("vec_id", whole_numbers(F.col("vec")).alias("vec"))
 
     spark = vectors.sparkSession
-    held = blocks(clean(vectors).distinct())
+    held = materialise(blocks(clean(vectors).distinct()), "blocks")
     asked = blocks(clean(queries).distinct(), QUERIES_PER_BLOCK)
-    # vector blocks are dealt to groups; each query block goes to every group
-    groups = 2 * shuffle_partitions(spark)
+    # vector blocks are dealt to groups, no more than these can fill; each query block goes to every group
+    groups = 2 * min(shuffle_partitions(spark), max(1, held.count()))
     held = held.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
     asked = asked.select(
         F.col("dim").alias("query_dim"),
@@ -190,6 +190,8 @@ def top_k(
         F.col("ids").alias("query_ids"),
         F.col("vectors").alias("queries"),
     )
+    # Spark's estimate of the copies leaves out how many there are: it would broadcast them through the driver
+    asked = asked.hint("merge")
     paired = held.join(asked, (F.col("part") == F.col("query_part")) & (F.col("dim") == F.col("query_dim")))
     found = paired.select("dim", "block", "ids", "vectors", "query_ids", "queries").mapInArrow(
         _search(k), "query_id bigint, vec_id bigint, score bigint"

@@ -66,6 +66,22 @@ def test_huge_components_hold_at_the_limit(spark):
     assert got[0] == (0, 1, 2**63 - 1) and len(got) == 2
 
 
+def test_copies_of_queries_are_not_broadcast(spark, monkeypatch):
+    """They go to each group of vector blocks, past the driver, whatever size Spark takes them for."""
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 64)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "100MB")
+    try:
+        df = spark.createDataFrame([(i, [float(i % 5), 1.0], 1, "b", "i", 0.5) for i in range(40)], SCHEMA)
+        found = top_k(df, df.where("vec_id % 2 = 0"), 3)
+        assert len(found.collect()) == 60
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert top_k(df, df).collect() == []
